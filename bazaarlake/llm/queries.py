@@ -19,6 +19,12 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_duplicates
 
@@ -62,6 +68,7 @@ from marked group by doc_id
 def llm_queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
