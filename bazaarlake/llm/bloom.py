@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 PROBES = 4
 BLOCK_BYTES = 1 << 16
@@ -61,3 +65,37 @@ def hits(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
         return np.zeros(0, dtype=bool)
     pos = positions(hashes, bits)
     return ((packed[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def bits_for(items: int, most_log2: int = 27) -> int:
+    """Filter size for ``items`` hashes: about 8 to 16 bits each, at most ``2 ** most_log2`` (16 MB) in all."""
+    return 1 << min(most_log2, max(16, int(8 * items).bit_length()))
+
+
+def gathered(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, twice: bool) -> bytes:
+    """The merged once-seen or twice-seen filter of all hashes in ``source``: ``bits // 8`` bytes, whatever the input."""
+
+    def build(batches):
+        pair = OnceTwice(bits)
+        for batch in batches:
+            pair.add(hashes_of(batch))
+        rows = list(pair.blocks())
+        for k in range(0, len(rows), 64):
+            part = rows[k : k + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())],
+                ["block", "once", "twice"],
+            )
+
+    def fold(key, table):
+        once, again = table.column("once").to_pylist(), table.column("twice").to_pylist()
+        merged = merge(once, again) if twice else np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in once]).tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([merged], pa.binary())})
+
+    builders = max(1, source.sparkSession.sparkContext.defaultParallelism)
+    parts = source.coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
+    size = min(BLOCK_BYTES, bits // 8)
+    whole = bytearray(bits // 8)
+    for row in parts.groupBy("block").applyInArrow(fold, "block int, bits binary").collect():
+        whole[row.block * size : (row.block + 1) * size] = row.bits
+    return bytes(whole)

@@ -42,36 +42,12 @@ def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), dtype=np.uint64)
 
 
-def _twice_filter(docs: DataFrame, bits: int, least: int) -> bytes:
-    """The merged twice-seen filter over all lines; its size is ``bits``, bounded by a parameter."""
-    spark = docs.sparkSession
+def _batch_hashes(least: int):
+    def of(batch):
+        found = [_hashes(_distinct(t, least)) for t in batch.column("text").to_pylist()]
+        return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
-    def build(batches):
-        pair = bloom.OnceTwice(bits)
-        for batch in batches:
-            found = [_hashes(_distinct(t, least)) for t in batch.column("text").to_pylist()]
-            if found:
-                pair.add(np.concatenate(found))
-        rows = list(pair.blocks())
-        for k in range(0, len(rows), 64):
-            part = rows[k : k + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), pa.array([r[2] for r in part], pa.binary())],
-                ["block", "once", "twice"],
-            )
-
-    builders = max(1, spark.sparkContext.defaultParallelism)
-    parts = docs.select("text").coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
-
-    def fold(key, table):
-        merged = bloom.merge(table.column("once").to_pylist(), table.column("twice").to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "twice": pa.array([merged], pa.binary())})
-
-    size = min(bloom.BLOCK_BYTES, bits // 8)
-    whole = bytearray(bits // 8)
-    for row in parts.groupBy("block").applyInArrow(fold, "block int, twice binary").collect():
-        whole[row.block * size : (row.block + 1) * size] = row.twice
-    return bytes(whole)
+    return of
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, max_filter_bits_log2: int = 27) -> DataFrame:
@@ -80,8 +56,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chars = F.coalesce(F.col("text"), F.lit(""))
     lines = src.agg(F.sum(F.length(chars) - F.length(F.replace(chars, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = 1 << min(max_filter_bits_log2, max(16, int(8 * lines).bit_length()))
-    twice = spark.sparkContext.broadcast(_twice_filter(src, bits, min_chars))
+    bits = bloom.bits_for(lines, max_filter_bits_log2)
+    twice = spark.sparkContext.broadcast(bloom.gathered(src.select("text"), _batch_hashes(min_chars), bits, twice=True))
 
     def suspects(batches):
         packed = np.frombuffer(twice.value, np.uint8)

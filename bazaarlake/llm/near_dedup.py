@@ -128,6 +128,37 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(judge, "a long, b long")
 
 
+def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int) -> DataFrame:
+    """Components (``node``, ``label``) of the verified links among texts that share a bucket.
+
+    ``met`` holds (``band``, ``rep``, ``n``, ``low``): the buckets of several
+    texts, their sizes and smallest members; ``texts`` holds (``doc_id``,
+    ``text``) of each ``rep``.
+    """
+    small = met.where(F.col("n") <= small_bucket)
+    by_band = small.select("band", F.col("rep").alias("a")).join(small.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
+    # The hub of a large bucket's second star is the member that meets most others over all bands: the one most copies resemble.
+    large = met.where(F.col("n") > small_bucket)
+    reach = met.groupBy("rep").agg(F.sum("n").alias("reach"))
+    hub = large.join(reach, "rep").groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
+    stars = large.join(hub, "band")
+    star_pairs = stars.select("rep", F.explode(F.array("low", "hub")).alias("with")).where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b"))
+    pairs = stored(by_band.unionByName(star_pairs).distinct(), "near-pairs")
+    edges = stored(verified(pairs, texts, threshold), "near-edges")
+    labels = components(edges)
+
+    # Members of a large bucket outside its hub's component: compare them with all the bucket has of other components.
+    named = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("band", "rep", "hub", "label")
+    hub_label = named.where("rep = hub").select("band", F.col("label").alias("hub_label"))
+    named = named.join(hub_label, "band")
+    rest = named.where("label <> hub_label").select("band", F.col("rep").alias("x"), F.col("label").alias("x_label"))
+    more = rest.join(named.select("band", "rep", "label"), "band").where("x_label <> label").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    if more.limit(1).count():
+        labels = components(edges.unionByName(stored(verified(more, texts, threshold), "near-edges")))
+    return labels
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 25, rows: int = 4, small_bucket: int = 12
 ) -> DataFrame:
@@ -151,30 +182,9 @@ def near_duplicates(
     crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
     met = stored(banded.join(crowded, "band"), "near-buckets")  # (band, rep, n, low) of buckets with several texts
 
-    small = met.where(F.col("n") <= small_bucket)
-    by_band = small.select("band", F.col("rep").alias("a")).join(small.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
-    # The hub of a large bucket's second star is the member that meets most texts over all bands: the one most copies resemble.
-    large = met.where(F.col("n") > small_bucket)
-    reach = met.groupBy("rep").agg(F.sum("n").alias("reach"))
-    hub = large.join(reach, "rep").groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
-    stars = large.join(hub, "band")
-    star_pairs = stars.select("rep", F.explode(F.array("low", "hub")).alias("with")).where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b"))
-    pairs = stored(by_band.unionByName(star_pairs).distinct(), "near-pairs")
-
     needed = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = stored(src.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    edges = stored(verified(pairs, texts, threshold), "near-edges")
-    labels = components(edges)
-
-    # Members of a large bucket outside its hub's component: compare them with all the bucket has of other components.
-    named = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("band", "rep", "hub", "label")
-    hub_label = named.where("rep = hub").select("band", F.col("label").alias("hub_label"))
-    named = named.join(hub_label, "band")
-    rest = named.where("label <> hub_label").select("band", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-    more = rest.join(named.select("band", "rep", "label"), "band").where("x_label <> label").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if more.limit(1).count():
-        labels = components(edges.unionByName(stored(verified(more, texts, threshold), "near-edges")))
+    labels = linked(met, texts, threshold, small_bucket)
 
     classes = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("label", "rep").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))

@@ -25,6 +25,12 @@ def op4_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_duplicates
 
@@ -69,6 +75,7 @@ def llm_queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_line_dedup": op10_line_dedup,
     }
