@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import fold, read_table
 
 
 def tokenizer(name: str) -> str:
@@ -37,6 +37,14 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    from .language_id import identify, learning_rows, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify(docs, train(learning_rows(docs)))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_line_dedup(spark, sf_dir):
     from .line_dedup import drop_repeated_lines
 
@@ -77,6 +85,7 @@ def llm_queries():
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_language_id": op8_language_id,
         "op10_line_dedup": op10_line_dedup,
     }
 
