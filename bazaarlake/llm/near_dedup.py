@@ -7,8 +7,8 @@ and of each signature coordinate the dart of smallest rank. Two texts agree in
 a coordinate with the probability of their weighted Jaccard similarity.
 
 Copies are merged first. Texts that agree in a whole band meet in a bucket.
-Small buckets give all their pairs. Large ones give two stars; members that a
-star leaves outside its component are then compared with the whole bucket.
+Small buckets give all their pairs. Large ones give three stars; members that
+these leave outside the component are then compared with the whole bucket.
 Pairs are verified exactly, and components of the verified pairs are classes.
 """
 
@@ -141,8 +141,10 @@ def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int
     large = met.where(F.col("n") > small_bucket)
     reach = met.groupBy("rep").agg(F.sum("n").alias("reach"))
     hub = large.join(reach, "rep").groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
-    stars = large.join(hub, "band")
-    star_pairs = stars.select("rep", F.explode(F.array("low", "hub")).alias("with")).where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b"))
+    # A third star has another hub in each band, so a text meets some ten different ones.
+    dealt = large.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep", "band")).alias("dealt"))
+    stars = large.join(hub, "band").join(dealt, "band")
+    star_pairs = stars.select("rep", F.explode(F.array("low", "hub", "dealt")).alias("with")).where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b"))
     pairs = stored(by_band.unionByName(star_pairs).distinct(), "near-pairs")
     edges = stored(verified(pairs, texts, threshold), "near-edges")
     labels = components(edges)
