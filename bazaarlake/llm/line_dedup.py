@@ -104,13 +104,17 @@ def drop_repeated_lines(
 
         kept, dropped = [], []
         for t, gone in zip(texts, drop_keys):
+            if t is None:
+                kept.append(None)
+                dropped.append(0)
+                continue
             lines, out = t.split("\n"), set(gone)
             left = [x for x, k in zip(lines, line_keys(t)) if k not in out]
             kept.append("\n".join(left))
             dropped.append(len(lines) - len(left))
         return pd.DataFrame({"text": kept, "dropped": dropped})
 
-    touched = joined.where(F.col("_lines").isNotNull()).withColumn("_new", rebuild(text, F.col("_lines")))
-    touched = touched.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in names], n_lines.alias("n_lines"), F.col("_new.dropped").alias("n_dropped"))
-    whole = joined.where(F.col("_lines").isNull()).select(*names, n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    return whole.unionByName(touched)
+    lost = F.col("_lines").isNotNull()
+    done = joined.withColumn("_new", rebuild(F.when(lost, text), F.col("_lines")))  # texts that lose nothing stay in the JVM
+    out = [F.when(lost, F.col("_new.text")).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c) for c in names]
+    return done.select(*out, n_lines.alias("n_lines"), F.coalesce(F.col("_new.dropped"), F.lit(0)).cast("long").alias("n_dropped"))
