@@ -1,6 +1,7 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the texts (`repartitionByRange`), each task
+Sampled splitters range-partition the texts (`repartitionByRange`) by their
+first characters and, among equal ones, by hash; each task
 sorts its range externally, equal texts become neighbours, and a window over
 the sorted texts compares neighbours in full and keeps one id of each run.
 
@@ -55,9 +56,11 @@ def exact_duplicates(
         "_salt", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"), F.lit(0))
     )
     best = F.max if keep == "max" else F.min
-    run = Window.partitionBy("_text", "_salt")
+    # Splitters are sampled on a short prefix and the hash, so what the driver gathers for them does not grow with text length.
+    spread = spread.withColumn("_head", F.substring("_text", 1, 32))
+    run = Window.partitionBy("_head", "_hash", "_salt", "_text")
     digests = (
-        spread.repartitionByRange(ranges, "_text", "_salt")
+        spread.repartitionByRange(ranges, "_head", "_hash", "_salt")
         .withColumn("_lead", best("_id").over(run))
         .withColumn("_run", F.count(F.lit(1)).over(run))
         .select("_id", "_lead", "_run", "_salt", F.col("_salts").isNotNull().alias("_hot"), "_hash", F.sha2("_text", 256).alias("text_sha256"),
