@@ -2,14 +2,423 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import timefeatures as tf
+from ..operators import cohorts, enrich, merchants, products, rfm, validation, windows
+from ..sources import io
+from . import jobs
+from .fixtures import table, with_tables
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def oracle_sql():
-    return {}
+def _out(spark: SparkSession) -> str:
+    """A folder for what a query writes: in the shared folder of the session if it names one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/bazaarlake-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-bazaarlake-")
+
+
+def _dims(s, d):
+    return table(s, d, "users"), table(s, d, "products"), table(s, d, "merchants")
+
+
+def _enriched(s, d, tx="tx_line", broadcast=False):
+    return enrich.enrich(table(s, d, tx), *_dims(s, d), broadcast=broadcast)
+
+
+def _windowed(s, d):
+    return windows.window_analysis(_enriched(s, d, "tx_events"))
+
+
+def _suspicious(s, d):
+    return windows.detect_suspicious(_windowed(s, d))
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _text_dates(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes])
+
+
+def _text_arrays(df: DataFrame) -> DataFrame:
+    return df.select(*[F.concat_ws(",", c).alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
+
+
+# Sources and sinks: written by Spark in the source's format and read back.
+def read_csv_transactions(s, d):
+    path = _out(s)
+    io.write_csv(table(s, d, "tx_events"), path, "transactions")
+    return io.read_transactions(s, f"{path}/transactions")
+
+
+def read_json_users(s, d):
+    path = f"{_out(s)}/users"
+    table(s, d, "users").write.mode("overwrite").json(path)
+    return _text_arrays(io.read_users(s, path))
+
+
+def read_parquet_products(s, d):
+    path = f"{_out(s)}/products"
+    table(s, d, "products").write.mode("overwrite").parquet(path)
+    return io.read_products(s, path)
+
+
+def read_csv_merchants(s, d):
+    path = _out(s)
+    io.write_csv(table(s, d, "merchants"), path, "merchants")
+    return io.read_merchants(s, f"{path}/merchants")
+
+
+def _raw(s, d, tx="tx_dirty"):
+    users, prods, merch = _dims(s, d)
+    return {"transactions": table(s, d, tx), "users": users, "products": prods, "merchants": merch}
+
+
+def roundtrip_validated(s, d):
+    path = _out(s)
+    io.write_validated(jobs.run_validation(_raw(s, d))[0], path)
+    return io.read_validated(s, path)["transactions"]
+
+
+def roundtrip_enriched(s, d):
+    path = _out(s)
+    io.write_enriched(_enriched(s, d), path)
+    return io.read_enriched(s, path)
+
+
+def write_results(s, d):
+    """The whole pipeline on the dirty events, and the rows of each result read back from CSV and Parquet."""
+    path, raw = _out(s), _raw(s, d)
+    io.write_csv(raw["transactions"], f"{path}/in", "transactions")
+    raw["users"].write.mode("overwrite").json(f"{path}/in/users")
+    raw["products"].write.mode("overwrite").parquet(f"{path}/in/products")
+    io.write_csv(raw["merchants"], f"{path}/in", "merchants")
+    names = jobs.run_all(s, {n: f"{path}/in/{n}" for n in io.VALIDATED}, f"{path}/out")
+    counted = None
+    for name in sorted(names):
+        one = s.read.option("header", True).csv(f"{path}/out/{name}").agg(F.count(F.lit(1)).alias("csv_rows"))
+        one = one.crossJoin(s.read.parquet(f"{path}/out/{name}_parquet").agg(F.count(F.lit(1)).alias("parquet_rows"))).select(F.lit(name).alias("result"), "csv_rows", "parquet_rows")
+        counted = one if counted is None else counted.unionByName(one)
+    return counted
+
+
+def _split(name: str, rejected: bool) -> Query:
+    rule = getattr(validation, f"validate_{name}")
+
+    def run(s, d):
+        source = table(s, d, "tx_dirty" if name == "transactions" else name)
+        return _text_arrays(rule(source)[1 if rejected else 0])
+
+    return run
+
+
+def null_count(s, d):
+    return validation.count_nulls(validation.reunited(*validation.validate_transactions(table(s, d, "tx_dirty"))))
+
+
+def _orphans(key: str, dimension: str) -> Query:
+    return lambda s, d: validation.orphans(table(s, d, "tx_dirty"), table(s, d, dimension), key)
+
+
+def quality_report(s, d):
+    return validation.quality_report(**_raw(s, d))
+
+
+def time_features(s, d):
+    return tf.with_time_features(table(s, d, "tx_dirty").select("transaction_id", "timestamp"))
+
+
+def parsed_prefix_dates(s, d):
+    return _text_dates(tf.with_parsed_dates(table(s, d, "tx_dirty").select("transaction_id", "timestamp")))
+
+
+def enrich_broadcast(s, d):
+    return _text_arrays(enrich.enrich_broadcast(table(s, d, "tx_line"), *_dims(s, d)))
+
+
+def broadcast_merchant_join(s, d):
+    return enrich.broadcast_merchant_join(table(s, d, "tx_line"), table(s, d, "merchants"))
+
+
+_WINDOW_COLUMNS = ["transaction_id", "user_id", "amount", "transaction_datetime", "transaction_date", "cumulative_amount_7d", "active_days_7d", "active_user_7d", "days_since_previous_transaction"]
+_FLAGS = ["amount_above_300_percent", "night_transaction", "previous_transaction_less_than_5min", "crypto_payment", "suspicion_score"]
+
+
+def window_analysis(s, d):
+    df = _text_dates(_windowed(s, d).select(*_WINDOW_COLUMNS))
+    return _rounded(_rounded(df, "cumulative_amount_7d"), "days_since_previous_transaction", digits=9)
+
+
+def suspicious(s, d):
+    return _rounded(_suspicious(s, d).select("transaction_id", "historical_average_amount", *_FLAGS, "is_suspicious"), "historical_average_amount", digits=9)
+
+
+def suspicious_count(s, d):
+    return _suspicious(s, d).where("is_suspicious = 1").agg(F.count(F.lit(1)).alias("suspicious_transactions"))
+
+
+def top_suspicious(s, d):
+    return _rounded(windows.top_suspicious(_suspicious(s, d)), "historical_average_amount", digits=9)
+
+
+_SALES = ["sales_Jeune", "sales_Adulte", "sales_Age_Moyen", "sales_Senior"]
+
+
+def merchant_report(s, d):
+    return _rounded(merchants.merchant_report(_enriched(s, d)), *_SALES)
+
+
+def merchant_report_with_suspicion(s, d):
+    enriched = _enriched(s, d, "tx_events")
+    flagged = windows.detect_suspicious(windows.window_analysis(enriched))
+    return _rounded(merchants.merchant_report_with_suspicion(enriched, flagged), *_SALES)
+
+
+def cohort_analysis(s, d):
+    return _text_dates(cohorts.cohort_analysis(table(s, d, "tx_line")))
+
+
+def _rfm(s, d):
+    return rfm.rfm(table(s, d, "tx_line"), table(s, d, "users"))
+
+
+def flagship(s, d):
+    return merchant_report(s, d)
+
+
+def queries() -> dict[str, Query]:
+    found: dict[str, Query] = {
+        "read_csv_transactions": read_csv_transactions,
+        "read_json_users": read_json_users,
+        "read_parquet_products": read_parquet_products,
+        "read_csv_merchants": read_csv_merchants,
+        "roundtrip_validated": roundtrip_validated,
+        "roundtrip_enriched": roundtrip_enriched,
+        "null_count": null_count,
+        "orphan_users": _orphans("user_id", "users"),
+        "orphan_products": _orphans("product_id", "products"),
+        "orphan_merchants": _orphans("merchant_id", "merchants"),
+        "quality_report": quality_report,
+        "time_features": time_features,
+        "parsed_prefix_dates": parsed_prefix_dates,
+        "enrich": _enriched,
+        "enrich_broadcast": enrich_broadcast,
+        "broadcast_merchant_join": broadcast_merchant_join,
+        "window_analysis": window_analysis,
+        "suspicious": suspicious,
+        "suspicious_count": suspicious_count,
+        "top_suspicious": top_suspicious,
+        "merchant_report": merchant_report,
+        "merchant_report_with_suspicion": merchant_report_with_suspicion,
+        "merchant_revenue_ranking": lambda s, d: merchants.merchant_revenue_ranking(_enriched(s, d)),
+        "merchant_kpi_describe": lambda s, d: merchants.kpi_describe(merchants.merchant_report(_enriched(s, d))),
+        "cohort_analysis": cohort_analysis,
+        "best_cohort_3m": lambda s, d: cohorts.best_cohort_at(cohort_analysis(s, d)),
+        "rfm": _rfm,
+        "rfm_crosstab": lambda s, d: rfm.rfm_crosstab(_rfm(s, d)),
+        "rfm_distribution": lambda s, d: rfm.rfm_distribution(_rfm(s, d)),
+        "top_products": lambda s, d: products.top_products(_enriched(s, d)),
+        "category_region": lambda s, d: products.category_region(_enriched(s, d)),
+        "payment_period": lambda s, d: products.payment_period(_enriched(s, d)),
+        "global_kpi_formatted": lambda s, d: merchants.global_kpi_formatted(_enriched(s, d)),
+        "global_kpi": lambda s, d: merchants.global_kpi(_enriched(s, d)),
+        "write_results": write_results,
+    }
+    for name in io.VALIDATED:
+        found[f"validate_{name}_valid"] = _split(name, rejected=False)
+        found[f"validate_{name}_rejected"] = _split(name, rejected=True)
+    return found
+
+
+# DuckDB -----------------------------------------------------------------
+
+_DIMS = ("users", "products", "merchants")
+
+
+def _r2(x: str, digits: int = 2) -> str:
+    # Through text, as Spark rounds the shortest decimal form of a double, half up.
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38,16)), {digits}) as double)"
+
+
+def _parsed(x: str) -> str:
+    return f"case when length({x}) = 14 then try_strptime({x}, '%Y%m%d%H%M%S') end"
+
+
+def _features(ts: str) -> str:
+    return f"""cast(hour({ts}) as integer) as "hour", upper(dayname({ts})) as day_of_week, upper(monthname({ts})) as "month",
+  case when {ts} is null then null when dayofweek({ts}) in (0, 6) then 1 else 0 end as is_weekend,
+  case when {ts} is null then null when hour({ts}) between 6 and 11 then 'Morning' when hour({ts}) between 12 and 17 then 'Afternoon'
+       when hour({ts}) between 18 and 21 then 'Evening' else 'Night' end as day_period,
+  case when {ts} is null then null when hour({ts}) between 9 and 17 then 1 else 0 end as is_working_hours"""
+
+
+def _enriched_sql(tx: str) -> str:
+    return f"""enriched as (
+select j.*, {_features("ts_full")},
+  cast(row_number() over (partition by user_id order by "timestamp" nulls first, transaction_id) as integer) as transaction_rank,
+  count(*) over (partition by user_id) as transaction_count,
+  case when age < 25 then 'Jeune' when age between 26 and 44 then 'Adulte' when age between 45 and 64 then 'Âge Moyen' when age >= 65 then 'Senior' end as age_group
+from (select t.transaction_id, t.user_id, t.product_id, t.merchant_id, t.amount, t."timestamp", t.location, t.payment_method, t.category as transaction_category,
+        u.age, u.annual_income, u.city, u.customer_segment, p.name as product_name, p.category as product_category, p.price, p.rating, p.stock,
+        m.name as merchant_name, m.category as merchant_category, m.region, m.commission_rate, {_parsed('t."timestamp"')} as ts_full
+      from {tx} t left join users u on t.user_id = u.user_id left join products p on t.product_id = p.product_id left join merchants m on t.merchant_id = m.merchant_id) j)"""
+
+
+def _with_enriched(tx: str) -> str:
+    return with_tables(tx, *_DIMS) + ",\n" + _enriched_sql(tx)
+
+
+_WINDOWED = f"""windowed as (
+select *, {_r2("cum")} as cumulative_amount_7d, case when active_days_7d >= 5 then 1 else 0 end as active_user_7d,
+  (epoch(transaction_datetime) - epoch(before)) / 86400.0 as days_since_previous_transaction
+from (select *, cast(transaction_datetime as date) as transaction_date,
+        sum(amount) over frame as cum,
+        case when transaction_datetime is null then 0 else cast(count(distinct cast(transaction_datetime as date)) over frame as integer) end as active_days_7d,
+        lag(transaction_datetime) over (partition by user_id order by transaction_datetime nulls first, transaction_id) as before
+      from (select *, {_parsed('substring("timestamp", 1, 14)')} as transaction_datetime from enriched) a
+      window frame as (partition by user_id order by epoch(transaction_datetime) range between 604800 preceding and current row)) b)"""
+
+_FLAGGED = """flagged as (
+select *, case when suspicion_score >= 2 then 1 else 0 end as is_suspicious
+from (select *, amount_above_300_percent + night_transaction + previous_transaction_less_than_5min + crypto_payment as suspicion_score
+  from (select *,
+      case when hist is not null and amount > 3 * hist then 1 else 0 end as amount_above_300_percent,
+      case when day_period = 'Night' then 1 else 0 end as night_transaction,
+      case when days_since_previous_transaction < 300 / 86400.0 then 1 else 0 end as previous_transaction_less_than_5min,
+      case when upper(payment_method) = 'CRYPTO' then 1 else 0 end as crypto_payment
+    from (select *, avg(amount) over (partition by user_id order by transaction_datetime nulls first, transaction_id rows between unbounded preceding and 1 preceding) as hist from windowed) a) b) c)"""
+
+_EVENTS_FLAGGED = _with_enriched("tx_events") + ",\n" + _WINDOWED + ",\n" + _FLAGGED
+_ENRICHED_COLUMNS = ", ".join(f'"{c}"' for c in [*enrich.ENRICHED, *tf.TIME_FEATURES, "transaction_rank", "transaction_count", "age_group"])
+
+
+def _merchant_sql(extra: str = "", joined: str = "") -> str:
+    each = {name: f"sum(case when age_group = '{label}' then amount else 0.0 end)" for name, label in merchants._GROUPS.items()}
+    sales = ", ".join(f"{_r2(total)} as {name}" for name, total in each.items())
+    return f"""select k.*, cast(dense_rank() over (partition by merchant_category order by total_revenue desc) as integer) as rank_in_category,
+  cast(dense_rank() over (partition by region order by total_revenue desc) as integer) as rank_in_region{extra}
+from (select merchant_id, merchant_name, merchant_category, region, commission_rate, {_r2("sum(amount)")} as total_revenue, count(*) as transaction_count,
+        count(distinct user_id) as unique_customers, {_r2("avg(amount)")} as average_transaction_amount, {_r2("sum(amount * commission_rate)")} as total_commission, {sales}
+      from enriched where merchant_id is not null group by all) k {joined}"""
+
+
+_COHORT = f"""monthly as (
+  select user_id, amount, cast(date_trunc('month', ts) as date) as mon
+  from (select user_id, amount, {_parsed('substring("timestamp", 1, 14)')} as ts from tx_line) a where ts is not null and user_id is not null),
+firsts as (select user_id, min(mon) as cohort_month from monthly group by user_id),
+acts as (
+  select cohort_month, cast(date_diff('month', cohort_month, mon) as integer) as period_index, count(distinct user_id) as active_users, {_r2("sum(amount)")} as revenue
+  from monthly join firsts using (user_id) group by 1, 2),
+cohorts as (
+  select cohort_month, period_index, cohort_size, active_users, {_r2("active_users / cohort_size * 100")} as retention_rate, revenue, {_r2("revenue / active_users")} as revenue_per_user
+  from acts join (select cohort_month, count(*) as cohort_size from firsts group by 1) z using (cohort_month))"""
+
+_RFM = f"""dated as (select user_id, amount, {_parsed('substring("timestamp", 1, 14)')} as ts from tx_line),
+metrics as (
+  select user_id, cast(date_diff('day', cast(max(ts) as date), cast((select max(ts) from dated) as date)) as integer) as recency, count(*) as frequency, {_r2("sum(amount)")} as monetary
+  from dated where ts is not null group by user_id),
+scored as (
+  select *, cast(6 - ntile(5) over (order by recency, user_id) as integer) as r, cast(ntile(5) over (order by frequency, user_id) as integer) as f,
+    cast(ntile(5) over (order by monetary, user_id) as integer) as m from metrics),
+rfm as (
+  select s.user_id, recency, frequency, monetary, r as recency_score, f as frequency_score, m as monetary_score,
+    case when r >= 4 and f >= 4 and m >= 4 then 'Champions' when f >= 4 and m >= 3 then 'Clients fidèles' when r >= 4 and f <= 2 then 'Nouveaux'
+         when r <= 2 and f >= 3 then 'À risque' when r <= 2 and f <= 2 then 'Perdus' else 'Clients fidèles' end as rfm_segment, customer_segment
+  from scored s left join users u on s.user_id = u.user_id)"""
+
+_BROKEN = {
+    "transactions": "case when amount is null or amount <= 0 then 'amount invalide (<= 0 ou nul)' when \"timestamp\" is null or length(\"timestamp\") <> 14 then 'timestamp mal formé (doit faire 14 caractères)' end",
+    "users": "case when age is null or age < 16 or age > 100 then 'age hors intervalle autorisé' when annual_income is null or annual_income <= 0 then 'annual_income invalide (<= 0 ou nul)' end",
+    "products": "case when price is null or price <= 0 then 'price invalide (<= 0 ou nul)' when rating is null or rating < 1 or rating > 5 then 'rating hors intervalle autorisé' end",
+    "merchants": "case when commission_rate is null or commission_rate < 0 or commission_rate > 1 then 'commission_rate hors intervalle [0, 1]' end",
+}
+_COLUMNS = {
+    "transactions": 'transaction_id, user_id, product_id, merchant_id, amount, "timestamp", location, payment_method, category',
+    "users": "user_id, age, annual_income, city, customer_segment, array_to_string(preferred_categories, ',') as preferred_categories, registration_date",
+    "products": "product_id, name, category, price, merchant_id, rating, stock",
+    "merchants": "merchant_id, name, category, region, commission_rate, establishment_date",
+}
+
+
+def _nulls_sql(name: str) -> str:
+    plain = [c.split(" as ")[-1].strip() for c in _COLUMNS[name].replace("array_to_string(preferred_categories, ',') as ", "").split(",")]
+    return " + ".join(f"(count(*) - count({c}))" for c in plain)
+
+
+def _quality_sql() -> str:
+    parts = []
+    for name in io.VALIDATED:
+        source = "tx_dirty" if name == "transactions" else name
+        missing = [
+            f"(select count(*) from tx_dirty t where not exists (select 1 from {dim} x where x.{key} = t.{key}))" if name == "transactions" else "cast(null as bigint)"
+            for key, dim in (("user_id", "users"), ("product_id", "products"), ("merchant_id", "merchants"))
+        ]
+        parts.append(
+            f"""select '{name}' as dataset, count(*) as nb_lignes_lues, count(*) - count({_BROKEN[name]}) as nb_lignes_valides, count({_BROKEN[name]}) as nb_lignes_rejetees,
+  coalesce(round(count({_BROKEN[name]}) / nullif(count(*), 0) * 10000) / 100, 0.0) as taux_rejet, {_nulls_sql(name)} as nb_valeurs_nulles,
+  {missing[0]} as nb_refs_user_id_inexistant, {missing[1]} as nb_refs_product_id_inexistant, {missing[2]} as nb_refs_merchant_id_inexistant from {source}"""
+        )
+    return with_tables("tx_dirty", *_DIMS) + "\n" + "\nunion all\n".join(parts)
+
+
+def oracle_sql() -> dict[str, str]:
+    line = _with_enriched("tx_line")
+    valid = f"select {_COLUMNS['transactions']} from tx_dirty where {_BROKEN['transactions']} is null"
+    kpi = "count(*) as transaction_count, count(distinct user_id) as unique_customers"
+    found = {
+        "read_csv_transactions": f"{with_tables('tx_events')} select * from tx_events",
+        "read_json_users": f"{with_tables('users')} select {_COLUMNS['users']} from users",
+        "read_parquet_products": f"{with_tables('products')} select * from products",
+        "read_csv_merchants": f"{with_tables('merchants')} select * from merchants",
+        "roundtrip_validated": f"{with_tables('tx_dirty')} {valid}",
+        "roundtrip_enriched": f"{line} select {_ENRICHED_COLUMNS} from enriched",
+        "null_count": f"{with_tables('tx_dirty')} select {_nulls_sql('transactions')} as nb_nulls from tx_dirty",
+        "quality_report": _quality_sql(),
+        "time_features": f"{with_tables('tx_dirty')} select transaction_id, \"timestamp\", {_features('ts')} from (select *, {_parsed(chr(34) + 'timestamp' + chr(34))} as ts from tx_dirty) a",
+        "parsed_prefix_dates": f"""{with_tables('tx_dirty')} select transaction_id, "timestamp", ts as transaction_datetime, cast(cast(ts as date) as varchar) as transaction_date, cast(cast(date_trunc('month', ts) as date) as varchar) as transaction_month
+          from (select *, {_parsed('substring("timestamp", 1, 14)')} as ts from tx_dirty) a""",
+        "enrich": f"{line} select {_ENRICHED_COLUMNS} from enriched",
+        "enrich_broadcast": f"""{with_tables('tx_line', *_DIMS)} select t.*, u.age, u.annual_income, u.city, u.customer_segment, coalesce(array_to_string(u.preferred_categories, ','), '') as preferred_categories, u.registration_date,
+          p.name, p.category as product_category, p.price, p.merchant_id as product_merchant_id, p.rating, p.stock,
+          m.name as merchant_name, m.category as merchant_category, m.region, m.commission_rate, m.establishment_date, {_features('t.ts_full')}
+          from (select *, {_parsed('"timestamp"')} as ts_full from tx_line) t left join users u on t.user_id = u.user_id left join products p on t.product_id = p.product_id left join merchants m on t.merchant_id = m.merchant_id""".replace("select t.*,", "select t.* exclude (ts_full),"),
+        "broadcast_merchant_join": f"""{with_tables('tx_line', 'merchants')} select t.*, m.name, m.category as merchant_category, m.region, m.commission_rate, m.establishment_date
+          from tx_line t left join merchants m on t.merchant_id = m.merchant_id""",
+        "window_analysis": f"{_with_enriched('tx_events')},\n{_WINDOWED} select {', '.join('cast(transaction_date as varchar) as transaction_date' if c == 'transaction_date' else c for c in _WINDOW_COLUMNS[:-1])}, {_r2('days_since_previous_transaction', 9)} as days_since_previous_transaction from windowed",
+        "suspicious": f"{_EVENTS_FLAGGED} select transaction_id, {_r2('hist', 9)} as historical_average_amount, {', '.join(_FLAGS)}, is_suspicious from flagged",
+        "suspicious_count": f"{_EVENTS_FLAGGED} select count(*) as suspicious_transactions from flagged where is_suspicious = 1",
+        "top_suspicious": f"{_EVENTS_FLAGGED} select transaction_id, user_id, amount, {_r2('hist', 9)} as historical_average_amount, {', '.join(_FLAGS)} from flagged where is_suspicious = 1 order by amount desc, transaction_id limit 20",
+        "merchant_report": f"{line} {_merchant_sql()}",
+        "merchant_report_with_suspicion": _EVENTS_FLAGGED
+        + _merchant_sql(
+            ", coalesce(s.rate, 0.0) as suspicious_transaction_rate",
+            f"left join (select merchant_id as mid, {_r2('sum(is_suspicious) / count(*) * 100')} as rate from flagged where merchant_id is not null group by 1) s on k.merchant_id = s.mid",
+        ),
+        "merchant_revenue_ranking": f"{line} select merchant_id, {_r2('sum(amount)')} as total_revenue, {kpi} from enriched where merchant_id is not null group by merchant_id",
+        "cohort_analysis": f"{with_tables('tx_line')},\n{_COHORT} select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts",
+        "best_cohort_3m": f"{with_tables('tx_line')},\n{_COHORT} select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts where period_index = 3 order by retention_rate desc, cohort_month limit 1",
+        "rfm": f"{with_tables('tx_line', 'users')},\n{_RFM} select * from rfm",
+        "rfm_crosstab": f"{with_tables('tx_line', 'users')},\n{_RFM} select rfm_segment, customer_segment, count(*) as customer_count from rfm group by 1, 2",
+        "rfm_distribution": f"{with_tables('tx_line', 'users')},\n{_RFM} select rfm_segment, count(*) as customer_count from rfm group by 1",
+        "top_products": f"{line} select product_id, product_name, {_r2('sum(amount)')} as total_revenue, {_r2('avg(rating)')} as average_rating, min(stock) as stock from enriched where product_id is not null group by 1, 2 order by total_revenue desc, product_id limit 10",
+        "category_region": f"""{line}, cr as (select merchant_category, region, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched where merchant_category is not null group by 1, 2)
+          select cr.*, {_r2('total_revenue / tot * 100')} as category_share_percent from cr left join (select region as rg, sum(total_revenue) as tot from cr group by 1) z on cr.region = z.rg""",
+        "payment_period": f"{line} select payment_method, day_period, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched group by 1, 2",
+        "global_kpi_formatted": f"{line} select format('{{:,.2f}}', sum(amount)) as total_revenue, {kpi}, format('{{:,.2f}}', avg(amount)) as average_transaction_amount from enriched",
+        "global_kpi": f"{line} select {_r2('sum(amount)')} as total_revenue, {kpi}, {_r2('avg(amount)')} as average_transaction_amount from enriched",
+    }
+    for key, dim in (("user_id", "users"), ("product_id", "products"), ("merchant_id", "merchants")):
+        found[f"orphan_{dim}"] = f"{with_tables('tx_dirty', dim)} select * from tx_dirty t where not exists (select 1 from {dim} x where x.{key} = t.{key})"
+    for name in io.VALIDATED:
+        source = "tx_dirty" if name == "transactions" else name
+        found[f"validate_{name}_valid"] = f"{with_tables(source)} select {_COLUMNS[name]} from {source} where {_BROKEN[name]} is null"
+        found[f"validate_{name}_rejected"] = f"{with_tables(source)} select {_COLUMNS[name]}, {_BROKEN[name]} as rejection_reason from {source} where {_BROKEN[name]} is not null"
+    return found
