@@ -7,8 +7,8 @@ and of each signature coordinate the dart of smallest rank. Two texts agree in
 a coordinate with the probability of their weighted Jaccard similarity.
 
 Copies are merged first. Texts that agree in a whole band meet in a bucket.
-Small buckets give all their pairs. Large ones give three stars; members that
-these leave outside the component are then compared with the whole bucket.
+Small buckets give all their pairs. Large ones give three stars; where these
+leave several components, an exact prefix filter finds the remaining links.
 Pairs are verified exactly, and components of the verified pairs are classes.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -128,6 +128,38 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(judge, "a long, b long")
 
 
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (``a``, ``b``) of members (``rep``, ``label``) with different labels that can reach ``threshold``.
+
+    If two sets of units are that similar, they share a unit among the first
+    |x| - ceil(threshold |x|) + 1 of each, in any one order of all units. The
+    rarest units come first, so that few pairs meet by chance. A shingle that
+    occurs n times is n units, which makes the weighted similarity a plain one.
+    """
+
+    def units(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                owner, element, count = weighted_sets(words(part.column(2)))
+                at = np.repeat(np.arange(len(owner)), count)
+                layer = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+                unit = mix(element[at] * _GOLD + layer.astype(np.uint64)).astype(np.int64)
+                size = np.bincount(owner[at], minlength=hi - lo)[owner[at]]
+                rows = pa.array(owner[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(unit), pa.array(size.astype(np.int32))], ["rep", "label", "unit", "size"])
+
+    source = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "label", "text")
+    found = stored(source.mapInArrow(units, "rep long, label long, unit long, size int"), "near-units")
+    often = found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("rep").orderBy("n", "unit")
+    first = found.join(often, "unit").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    first = stored(first.where("n > 1").select("rep", "label", "unit"), "near-prefixes")
+    left = first.select("unit", F.col("rep").alias("a"), F.col("label").alias("a_label"))
+    right = first.select("unit", F.col("rep").alias("b"), F.col("label").alias("b_label"))
+    return left.join(right, (left.unit == right.unit) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))).select("a", "b").distinct()
+
+
 def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int) -> DataFrame:
     """Components (``node``, ``label``) of the verified links among texts that share a bucket.
 
@@ -149,13 +181,11 @@ def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int
     edges = stored(verified(pairs, texts, threshold), "near-edges")
     labels = components(edges)
 
-    # Members of a large bucket outside its hub's component: compare them with all the bucket has of other components.
-    named = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("band", "rep", "hub", "label")
-    hub_label = named.where("rep = hub").select("band", F.col("label").alias("hub_label"))
-    named = named.join(hub_label, "band")
-    rest = named.where("label <> hub_label").select("band", F.col("rep").alias("x"), F.col("label").alias("x_label"))
-    more = rest.join(named.select("band", "rep", "label"), "band").where("x_label <> label").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    # Large buckets that still hold several components: find what the stars missed by an exact prefix filter.
+    named = large.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
+    members = named.join(mixed, "band", "left_semi").select("rep", "label").distinct()
+    more = stored(_prefix_pairs(members, texts, threshold).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if more.limit(1).count():
         labels = components(edges.unionByName(stored(verified(more, texts, threshold), "near-edges")))
     return labels
