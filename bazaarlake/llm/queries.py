@@ -19,6 +19,15 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import learn_grammar, learning_rows, score_toxicity
+
+    docs = read_table(spark, sf_dir, "documents")
+    grammar = learn_grammar(learning_rows(docs, read_table(spark, sf_dir, "labels")))
+    found = score_toxicity(docs, grammar)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     from .near_dedup import near_duplicates
 
@@ -82,6 +91,7 @@ from marked group by doc_id
 def llm_queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_toxicity": op2_toxicity,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_exact_dedup": op6_exact_dedup,
