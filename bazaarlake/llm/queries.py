@@ -28,6 +28,12 @@ def op2_toxicity(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_sentencepiece(spark, sf_dir):
+    from .pieces import piece_digests
+
+    return piece_digests(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     from .near_dedup import near_duplicates
 
@@ -46,6 +52,12 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark, sf_dir):
+    from .neighbours import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark, sf_dir):
     from .language_id import identify, learning_rows, train
 
@@ -54,6 +66,16 @@ def op8_language_id(spark, sf_dir):
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_chat_formatting(spark, sf_dir):
+    from .chat import chat_digests, format_chat
+
+    control = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    path = tokenizer("byte_bpe_50k.json")
+    return chat_digests(format_chat(turns, path), path)
+
+
 def op10_line_dedup(spark, sf_dir):
     from .line_dedup import drop_repeated_lines
 
@@ -88,17 +110,34 @@ from marked group by doc_id
 """
 
 
+OP9_SQL = """
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<x\\1|', 'g')) + 24) as bigint) as formatted_chars
+from t group by conv_id
+"""
+
+
 def llm_queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_toxicity": op2_toxicity,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_language_id": op8_language_id,
+        "op9_chat_formatting": op9_chat_formatting,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def llm_oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
