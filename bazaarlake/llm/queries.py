@@ -125,7 +125,10 @@ from t group by conv_id
 
 
 def llm_queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_toxicity": op2_toxicity,
         "op3_sentencepiece": op3_sentencepiece,
