@@ -1 +1 @@
-"""Structured Streaming forms of the row-local operators."""
+"""Kept for streaming forms; the retail jobs are bounded batches, so there is none."""
