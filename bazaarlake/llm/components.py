@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+# Labels of at most this many nodes (16 bytes each, 4 MB) are broadcast; larger tables are joined by shuffle.
+BROADCAST_NODES = 250_000
+
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``node``, ``label``) for each node of ``edges`` (``a``, ``b``); the label is the smallest node of its component.
@@ -19,11 +22,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.where("a is not null and b is not null")
     both = stored(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), "cc-labels")
+    small = labels.count() <= BROADCAST_NODES
+    sent = F.broadcast if small else (lambda df: df)
     for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
+        near = both.join(sent(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = near.join(sent(labels), F.col("node") == F.col("a")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        step = step.join(jump, F.col("label") == F.col("via")).select("node", "before", F.least("label", "beyond").alias("label"))
+        step = step.join(sent(jump), F.col("label") == F.col("via")).select("node", "before", F.least("label", "beyond").alias("label"))
         step = stored(step, "cc-labels")
         labels = step.select("node", "label")
         if step.where("label <> before").limit(1).count() == 0:
