@@ -131,9 +131,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (``a``, ``b``) of members (``rep``, ``label``) with different labels that can reach ``threshold``.
 
-    If two sets of units are that similar, they share a unit among the first
-    |x| - ceil(threshold |x|) + 1 of each, in any one order of all units. The
-    rarest units come first, so that few pairs meet by chance. A shingle that
+    Two sets that similar have at least o = t / (1 + t) (|x| + |y|) units in
+    common, so in any one order of all units they share one among the first
+    |x| - o + 1 of x and |y| - o + 1 of y. The rarest units come first, so that few pairs meet by chance. A shingle that
     occurs n times is n units, which makes the weighted similarity a plain one.
     """
 
@@ -153,7 +153,11 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     found = stored(source.mapInArrow(units, "rep long, label long, unit long, size int"), "near-units")
     often = found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("rep").orderBy("n", "unit")
-    first = found.join(often, "unit").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    # The other set has at least threshold * |x| units, and no fewer than the smallest set of all.
+    least = found.agg(F.min("size")).first()[0] or 0
+    other = F.greatest(F.col("size") * threshold, F.lit(float(least)))
+    shared = F.ceil((F.col("size") + other) * (threshold / (1 + threshold)) - 1e-9)
+    first = found.join(often, "unit").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("size") - shared + 1)
     first = stored(first.where("n > 1").select("rep", "label", "unit"), "near-prefixes")
     left = first.select("unit", F.col("rep").alias("a"), F.col("label").alias("a_label"))
     right = first.select("unit", F.col("rep").alias("b"), F.col("label").alias("b_label"))
