@@ -69,6 +69,18 @@ def run_all(spark: SparkSession, paths: dict[str, str], output: str) -> list[str
     return list(results)
 
 
+VARIANTS = {"comparison_without_optimization": False, "comparison_optimized": True}
+
+
+def run_comparison(tables: Tables, output: str) -> None:
+    """KPIs, merchant report and cohorts from the plain and the broadcast enrichment, each variant as CSV; they must agree."""
+    for variant, broadcast in VARIANTS.items():
+        enriched = run_transformation(tables, broadcast)
+        io.write_csv(merchants.global_kpi(enriched), f"{output}/{variant}", "global_kpi")
+        io.write_csv(merchants.merchant_report(enriched), f"{output}/{variant}", "merchant_performance")
+        io.write_csv(cohorts.cohort_analysis(tables["transactions"]), f"{output}/{variant}", "cohort_analysis")
+
+
 def run_mode(spark: SparkSession, mode: str, paths: dict[str, str], output: str) -> None:
     """``ingestion``, ``transformation``, ``analytics`` or ``all``; each mode rereads what the one before wrote."""
     if mode == "ingestion":

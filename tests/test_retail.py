@@ -161,6 +161,15 @@ def test_jobs_end_to_end(spark, tmp_path, sf_dir):
         jobs.run_mode(spark, "none", paths, f"{tmp_path}/out")
 
 
+def test_comparison_variants_agree(spark, tmp_path, sf_dir):
+    tables = {n: fixtures.table(spark, sf_dir, "tx_line" if n == "transactions" else n) for n in io.VALIDATED}
+    jobs.run_comparison(tables, str(tmp_path))
+    for name in ("global_kpi", "merchant_performance", "cohort_analysis"):
+        plain, fast = (spark.read.option("header", True).csv(f"{tmp_path}/{v}/{name}") for v in jobs.VARIANTS)
+        keys = [c for c in plain.columns if not c.startswith("sales_")]
+        assert plain.count() > 0 and plain.select(keys).exceptAll(fast.select(keys)).count() == 0
+
+
 def test_every_query_has_a_name_in_both(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert set(registry.queries()) - set(registry.oracle_sql()) == {"merchant_kpi_describe", "write_results"}
