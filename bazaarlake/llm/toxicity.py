@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import fold, sampled, stored
 
 TARGETS = frozenset("you your yours u he she they him her them this that these those du dich dir ihr euch dein er sie tu toi te vous ton ta votre il elle ils tú te ti usted ustedes tu su él ella ellos".split())
@@ -119,8 +120,20 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(evidence) + self.bias))))
 
 
-def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
-    """(``stem``, ``toxic``, ``clean``): in how many different contexts texts of either label hold each stem.
+def _first_places(words: list[str], s: Settings) -> dict[str, int]:
+    """Each stem of a text with the number of the first word that has it."""
+    first: dict[str, int] = {}
+    for k, w in enumerate(words):
+        first.setdefault(w, k)
+    seen: dict[str, int] = {}
+    for w, k in first.items():
+        for x in stems(w, s):
+            seen.setdefault(x, k)
+    return seen
+
+
+def toxic_contexts(learn: DataFrame, s: Settings) -> DataFrame:
+    """(``stem``, ``toxic``): in how many different contexts toxic texts hold each stem, ``least_texts`` or more.
 
     A text gives each stem one context, the words beside its first occurrence,
     so that copies and near copies of a text count once.
@@ -128,47 +141,68 @@ def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            found, contexts, labels = [], [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = _WORD.findall(text.lower())
-                first: dict[str, int] = {}
-                for k, w in enumerate(words):
-                    if w not in first:
-                        first[w] = k
-                seen: dict[str, int] = {}
-                for w, k in first.items():
-                    for x in stems(w, s):
-                        if x not in seen:
-                            seen[x] = k
-                for x, k in seen.items():
+            found, contexts = [], []
+            for text in batch.column(0).to_pylist():
+                words = ["", *_WORD.findall(text.lower()), ""]
+                for x, k in _first_places(words[1:-1], s).items():
                     found.append(x)
-                    beside = f"{words[k - 1] if k else ''} {words[k]} {words[k + 1] if k + 1 < len(words) else ''}"
-                    contexts.append(xxhash.xxh3_64_intdigest(beside) - (1 << 63))
-                    labels.append(label)
-            table = pa.table({"stem": pa.array(found, pa.string()), "context": pa.array(contexts, pa.int64()), "toxic": pa.array(labels, pa.int64())})
-            counted = table.group_by(["stem", "context"]).aggregate([("toxic", "max")])
-            yield from pa.table({"stem": counted["stem"], "context": counted["context"], "toxic": counted["toxic_max"]}).combine_chunks().to_batches()
+                    contexts.append(xxhash.xxh3_64_intdigest(" ".join(words[k : k + 3])) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contexts, pa.int64())], ["stem", "context"])
+
+    rows = learn.where("toxic = 1").select("text").mapInArrow(emit, "stem string, context long").distinct()
+    return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("toxic")).where(F.col("toxic") >= s.least_texts)
+
+
+def _stem_hashes(found: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in found), dtype=np.uint64)
+
 
-    rows = learn.mapInArrow(emit, "stem string, context long, toxic long")
-    each = rows.groupBy("stem", "context").agg(F.max("toxic").alias("toxic"))
-    return each.groupBy("stem").agg(F.sum("toxic").alias("toxic"), (F.count(F.lit(1)) - F.sum("toxic")).alias("clean"))
+def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
+    """(``stem``, ``toxic``, ``clean``): toxic contexts, and clean texts that hold the stem.
+
+    A Bloom filter of the stems that toxic texts have (16 MB at most) keeps
+    all other stems of clean texts where they are.
+    """
+    spark = learn.sparkSession
+    toxic = stored(toxic_contexts(learn, s), "toxic-contexts")
+    bits = bloom.bits_for(toxic.count())
+    wanted = spark.sparkContext.broadcast(bloom.gathered(toxic.select("stem"), lambda b: np.unique(_stem_hashes(b.column(0).to_pylist())), bits, twice=False))
+
+    def emit(batches):
+        packed = np.frombuffer(wanted.value, np.uint8)
+        held: dict[str, bool] = {}
+        for batch in batches:
+            counts: dict[str, int] = {}
+            for text in batch.column(0).to_pylist():
+                found = {x for w in set(_WORD.findall(text.lower())) for x in stems(w, s)}
+                new = [x for x in found if x not in held]
+                held.update(zip(new, bloom.hits(packed, _stem_hashes(new), bits).tolist()))
+                for x in found:
+                    if held[x]:
+                        counts[x] = counts.get(x, 0) + 1
+                if len(held) > 1_000_000:
+                    held = {}
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "n"])
+
+    clean = learn.where("toxic = 0").select("text").mapInArrow(emit, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("clean"))
+    return toxic.join(clean, "stem", "left").select("stem", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
 
 
 def learn_grammar(learn: DataFrame, settings: Settings | None = None) -> Grammar:
     """Learn from rows (``doc_id``, ``text``, ``toxic``); without toxic or clean rows the lexicon is empty.
 
-    A stem needs so many toxic contexts that chance would give about ten such
-    stems in all at the share of toxic texts.
+    A stem needs so many toxic contexts that chance would give about one such
+    stem in all at the share of toxic texts.
     """
     s = settings or Settings()
     learn = learn.where("text is not null and toxic in (0, 1)")
     n = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Grammar({}, s)
-    counts = stored(stem_counts(learn.select("text", F.col("toxic").cast("long").alias("toxic")), s), "toxic-stems")
+    counts = stored(stem_counts(learn.select("text", "toxic"), s), "toxic-stems")
     share = n[1] / (n[0] + n[1])
-    kinds = counts.where(F.col("toxic") + F.col("clean") >= s.least_texts).count()
-    least = max(s.least_texts, math.ceil(math.log(max(kinds, 10) / 10) / math.log(1 / min(share, 0.5))))
+    kinds = counts.count()
+    least = max(s.least_texts, math.ceil(math.log(max(kinds, 10)) / math.log(1 / min(share, 0.5))))
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
     # One standard error below the estimate: few contexts make a light stem.
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
