@@ -163,18 +163,19 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
                 order = r.ranked(x)[:, : (r.probes if visits else 1)]
                 at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel().astype(np.int32))], ["id", "v", "part"])
+                visit = np.tile(np.arange(order.shape[1], dtype=np.int32), len(x))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel().astype(np.int32)), pa.array(visit)], ["id", "v", "part", "visit"])
 
         return run
 
-    kind = "id long, v array<double>, part int"
+    kind = "id long, v array<double>, part int, visit int"
     filed = entries.select("entry", "v").mapInArrow(file(False), kind)
     asked = src.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(file(True), kind)
     # A part may be large: it is cut into blocks of about ``block_rows``, and a query visits each block.
     filed = stored(filed, "ann-filed")
     sizes = filed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("blocks"))
     blocked = filed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("part", "block", "id", "v")
-    visits = asked.join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "id", "v")
+    visits = asked.join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "id", "v", "visit")
 
     def rank(left, right):
         out = {"query_id": [], "entry": [], "score": []}
@@ -183,11 +184,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             ids = right.column("id").to_numpy()
             queries = np.array(left.column("v").to_pylist(), dtype=np.float64)
             names = left.column("id").to_numpy()
+            floor = left.column("floor").to_numpy()
             keep = min(top + 1, len(ids))
             for a in range(0, len(queries), 256):
                 likes = queries[a : a + 256] @ x.T
                 best = -np.partition(-likes, keep - 1, axis=1)[:, keep - 1]
-                q, c = np.nonzero(likes >= best[:, None] - 1e-9)
+                q, c = np.nonzero(likes >= np.maximum(best, floor[a : a + 256])[:, None] - 1e-9)
                 # Summed in the same way for every pair, so that equal vectors score alike wherever they stand.
                 exact = (queries[a + q] * x[c]).sum(axis=1)
                 out["query_id"].append(names[a + q])
@@ -196,9 +198,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
         return pa.table({"query_id": pa.array(flat["query_id"].astype(np.int64)), "entry": pa.array(flat["entry"].astype(np.int64)), "score": pa.array(flat["score"].astype(np.float64))})
 
-    found = visits.groupBy("part", "block").cogroup(blocked.groupBy("part", "block")).applyInArrow(rank, "query_id long, entry long, score double")
-    # Entries are cut to the top + 1 best before their copies are listed: each brings at least one id.
+    def ranked(some):
+        return some.groupBy("part", "block").cogroup(blocked.groupBy("part", "block")).applyInArrow(rank, "query_id long, entry long, score double")
+
+    # The first part visited gives each query a score that its nearest reach; from other parts only better entries are sent.
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
+    home = ranked(visits.where("visit = 0").withColumn("floor", F.lit(float("-inf")))).withColumn("k", F.row_number().over(first)).where(F.col("k") <= top + 1)
+    home = stored(home.drop("k"), "ann-home")
+    floors = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") > top, F.col("least")).alias("least"))
+    other = visits.where("visit > 0").join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf"))))
+    found = home.unionByName(ranked(other.select("part", "block", "id", "v", "floor")))
+    # Entries are cut to the top + 1 best before their copies are listed: each brings at least one id.
     found = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= top + 1).drop("k")
     listed = found.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
