@@ -14,10 +14,13 @@ BROADCAST_NODES = 250_000
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(``node``, ``label``) for each node of ``edges`` (``a``, ``b``); the label is the smallest node of its component.
 
-    Each round takes the smallest label among neighbours and then the label of
-    that label, so paths shorten by half. Neighbours are reduced with ``min``
-    before they are shuffled, so a node with very many edges is no bottleneck.
-    Self-loops and repeated edges do no harm; null ends are ignored.
+    Labels are parents in a forest. In each round a node takes the smallest
+    grandparent among its neighbours and itself, and hands it to its parent as
+    well, so that whole trees are joined and not single nodes: rounds grow with
+    the logarithm of a component's size, also on long paths. All proposals are
+    reduced with ``min`` before they are shuffled, so a node with very many
+    edges or children is no bottleneck. Self-loops and repeated edges do no
+    harm; null ends are ignored.
     """
     both = edges.where("a is not null and b is not null")
     both = stored(both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
@@ -25,11 +28,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     small = labels.count() <= BROADCAST_NODES
     sent = F.broadcast if small else (lambda df: df)
     for _ in range(max_rounds):
-        near = both.join(sent(labels), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = near.join(sent(labels), F.col("node") == F.col("a")).select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        step = step.join(sent(jump), F.col("label") == F.col("via")).select("node", "before", F.least("label", "beyond").alias("label"))
-        step = stored(step, "cc-labels")
+        parents = labels.select(F.col("node").alias("via"), F.col("label").alias("above"))
+        known = labels.join(sent(parents), F.col("label") == F.col("via")).select("node", "label", "above")
+        near = both.join(sent(known.select("node", "above")), F.col("b") == F.col("node")).groupBy("a").agg(F.min("above").alias("near"))
+        found = known.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("above", "near").alias("best"))
+        proposed = found.select(F.explode(F.array(F.struct("node", F.col("label").alias("before"), "best"), F.struct(F.col("label").alias("node"), F.lit(None).cast("long").alias("before"), "best"))).alias("p"))
+        step = stored(proposed.select("p.*").groupBy("node").agg(F.min("best").alias("label"), F.max("before").alias("before")), "cc-labels")
         labels = step.select("node", "label")
         if step.where("label <> before").limit(1).count() == 0:
             return labels

@@ -80,6 +80,16 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("broadcast", [250_000, 0])
+def test_components_of_long_paths_settle_in_few_rounds(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("bazaarlake.llm.components.BROADCAST_NODES", broadcast)
+    ids = list(range(1500))
+    random.Random(4).shuffle(ids)
+    edges = [(ids[k], ids[k + 1]) for k in range(1499) if k != 999]
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), max_rounds=16).collect()}
+    assert got == {x: min(part) for part in (ids[:1000], ids[1000:]) for x in part}
+
+
 def near_rows(seed=5):
     rng = random.Random(seed)
     vocab = [f"w{k}" for k in range(3000)]
