@@ -161,6 +161,44 @@ def test_passages(spark):
     assert repeated_passages(docs(spark, [])).count() == 0
 
 
+def shingle_jaccard(x, y):
+    x, y = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def edited_passages(seed=21):
+    """(passage, edited passage) of 44 to 120 words: words changed, put in or left out, evenly spread."""
+    rng = random.Random(seed)
+    word = lambda: f"t{rng.randint(0, 10**7)}"
+    for n in [44, 51, 60, 75, 90, 101, 120] * 6:
+        old, kind = [word() for _ in range(n)], rng.choice(["change", "insert", "delete"] if n != 51 else ["change"])
+        new, edits = list(old), rng.choice([1, 2, 3, 6])
+        for e in range(edits, 0, -1):
+            k = e * n // (edits + 1)
+            new[k : k + (kind != "insert")] = [word()] * (kind != "delete")
+        yield old, new
+
+
+def test_edited_passages_equal_brute_force(spark):
+    rng = random.Random(22)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows, planted = [], []
+    for k, (old, new) in enumerate(edited_passages()):
+        rows += [(k, " ".join(say(30) + old + say(25))), (100 + k, " ".join(say(20) + new + say(35)))]
+        planted.append((k, new, shingle_jaccard(old, new)))
+    found = repeated_passages(docs(spark, rows)).collect()
+    texts = dict(rows)
+    spans = {(r.keep_doc_id, r.doc_id): texts[r.doc_id][r.start : r.end].split() for r in found if not r.kept}
+    near = [(k, new) for k, new, j in planted if j >= 0.8]
+    assert 10 < len(near) < len(planted)
+    assert all(spans.get((k, 100 + k)) == new for k, new in near)
+    # Of the others a part may still be near-equal, but no span is less alike than 0.8.
+    for (a, b), span in spans.items():
+        assert b == 100 + a and len(span) >= 25
+        kept = next(texts[r.doc_id][r.start : r.end].split() for r in found if r.kept and r.doc_id == a)
+        assert shingle_jaccard(kept, span) >= 0.8 or sum(r.doc_id == b for r in found) > 1
+
+
 def test_words_at_text_borders():
     w = W.words(pa.array(["ab", "cd ef", None, "", "gh"]))
     assert [int(x) for x in w.first] == [0, 1, 3, 3, 3, 4] and list(w.start) == [0, 0, 3, 0]
