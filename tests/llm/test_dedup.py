@@ -199,6 +199,22 @@ def test_edited_passages_equal_brute_force(spark):
         assert shingle_jaccard(kept, span) >= 0.8 or sum(r.doc_id == b for r in found) > 1
 
 
+def test_passages_go_to_their_borders(spark):
+    rng = random.Random(23)
+    say = lambda n, mark: " ".join(f"{mark}{rng.randint(0, 10**7)}" for _ in range(n))
+    passages = [say(n, "p") for n in [25, 26, 40, 51, 60, 100] * 4]
+    rows = [(100 * c + k, f"{say(30, 's')}, {p}. {say(20, 's')}") for c in range(3) for k, p in enumerate(passages)]
+    # One document holds a passage twice, and another has it first.
+    rows += [(98, passages[3]), (99, f"{passages[3]} {say(9, 's')} {passages[3]}")]
+    found = repeated_passages(docs(spark, rows)).collect()
+    texts = dict(rows)
+    assert all(texts[r.doc_id][r.start : r.end] == passages[3 if r.doc_id in (98, 99) else r.doc_id % 100] for r in found)
+    cleaned = {r.doc_id: r.text for r in drop_repeated_passages(docs(spark, rows)).collect()}
+    for k, t in rows:
+        assert [x for x in t.split() if x[0] == "s"] == [x for x in cleaned[k].split() if x[0] == "s"]
+        assert cleaned[k] == t if k < 98 else not any(x[0] == "p" for x in cleaned[k].split())
+
+
 def test_words_at_text_borders():
     w = W.words(pa.array(["ab", "cd ef", None, "", "gh"]))
     assert [int(x) for x in w.first] == [0, 1, 3, 3, 3, 4] and list(w.start) == [0, 0, 3, 0]
