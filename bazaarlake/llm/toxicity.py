@@ -1,15 +1,13 @@
 """Toxicity scoring with a weighted finite-state pattern grammar over clauses.
 
-Five small transducers read a clause word by word. The *insult* and *threat*
-transducers turn words into weighted symbols, *target* and *negation* mark
-words that point at someone or deny, and *reported speech* marks that the
-clause tells what another said. They run in composition: one pass over the
-words of a clause moves the joint state (insult weight open, target seen,
-negation in scope, report open) and emits a weight when a pattern is complete:
-an insult, an insult next to a target or another insult, a threat with a
-target, each weakened inside a negation's scope or a report. A text's evidence
-is the sum of its clauses' weights, so lone words count for little next to
-matched clauses.
+Words become symbols: insult, target, threat, negation, report or other. Four
+small transducers, each an explicit transition table, read them: *negation* and
+*report* hand each symbol on with a smaller weight in their scope; *insult* and
+*threat* emit where a pattern is complete: insult + target or target + insult,
+insult + insult, threat + target in either order. Their composition is one table that
+reads a clause word by word. A text's evidence is the weight of its matched
+patterns; a lone insult has a small share of its weight, and lone insults count
+by their density over the clauses, so that length alone collects nothing.
 
 The lexicon of the insult transducer is learned: word stems whose document
 frequency differs between toxic and other texts, counted by Spark over every
@@ -41,6 +39,50 @@ THREATS = frozenset("kill hurt destroy beat stab shoot burn töten umbringen sch
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 NEGATION_SCOPE, REPORT_FACTOR, NEGATION_FACTOR = 3, 0.5, 0.3
+LONE, THREAT_WEIGHT = 0.15, 3.0
+
+SYMBOLS = OTHER, INSULT, TARGET, THREAT, NEGATION, REPORT = tuple(range(6))
+#: What the insult transducer emits: nothing, a lone insult, this insult, this and the open one, the open one.
+NOTHING, ALONE, THIS, BOTH, OPEN = range(5)
+
+# A transducer: for each state and symbol (next state, output, weight). State 0 is the first.
+Table = list[list[tuple[int, object, float]]]
+
+
+def _scope(states: int, opens: int, factor: float, fades: bool) -> Table:
+    """Hands symbols on, with weight ``factor`` for ``states - 1`` words after ``opens``, or for the rest of the clause."""
+    down = [max(0, q - 1) if fades else q for q in range(states)]
+    return [[(states - 1, OTHER, 1.0) if x == opens else (down[q], x, factor if q else 1.0) for x in SYMBOLS] for q in range(states)]
+
+
+def _pattern(moves: dict[tuple[int, int], tuple[int, object]], states: int, silent: object) -> Table:
+    """A table that stays where it is, and silent, except for ``moves``."""
+    return [[(*moves.get((q, x), (q, silent)), 1.0) for x in SYMBOLS] for q in range(states)]
+
+
+def composed(first: Table, second: Table) -> Table:
+    """``second`` reads what ``first`` hands on; weights multiply."""
+    n, out = len(second), []
+    for row in first:
+        for q in range(n):
+            steps = [(p, w, second[q][y]) for p, y, w in row]
+            out.append([(p * n + r, z, w * v) for p, w, (r, z, v) in steps])
+    return out
+
+
+def side_by_side(first: Table, second: Table) -> Table:
+    """Both read the same symbols; outputs are pairs."""
+    n = len(second)
+    return [[(p * n + r, (y, z), w * v) for (p, y, w), (r, z, v) in zip(a, b)] for a in first for b in second]
+
+
+NEGATION_TABLE = _scope(NEGATION_SCOPE + 1, NEGATION, NEGATION_FACTOR, True)
+REPORT_TABLE = _scope(2, REPORT, REPORT_FACTOR, False)
+# States: nothing, target seen, insult open, insult matched.
+INSULT_TABLE = _pattern({(0, TARGET): (1, NOTHING), (0, INSULT): (2, ALONE), (1, INSULT): (3, THIS), (2, INSULT): (3, BOTH), (2, TARGET): (3, OPEN), (3, INSULT): (3, THIS)}, 4, NOTHING)
+# States: nothing, target seen, threat open.
+THREAT_TABLE = _pattern({(0, TARGET): (1, 0.0), (0, THREAT): (2, 0.0), (1, THREAT): (1, THREAT_WEIGHT), (2, TARGET): (1, THREAT_WEIGHT)}, 3, 0.0)
+GRAMMAR_TABLE = composed(NEGATION_TABLE, composed(REPORT_TABLE, side_by_side(INSULT_TABLE, THREAT_TABLE)))
 
 
 @dataclass(frozen=True)
@@ -79,42 +121,44 @@ class Grammar:
                 return w
         return 0.0
 
-    def clause(self, words: list[str], memory: dict[str, float]) -> float:
-        """Weight of a clause: the composed transducers read it once, left to right."""
-        total, last, target, denied, report, threat = 0.0, 0.0, False, 0, False, False
+    def symbol(self, word: str) -> tuple[int, float]:
+        """The word's symbol and, for an insult, its weight."""
+        if word in NEGATIONS:
+            return NEGATION, 0.0
+        if word in REPORTS:
+            return REPORT, 0.0
+        if weight := self.insult(word):
+            return INSULT, weight
+        return (THREAT if word in THREATS else TARGET if word in TARGETS else OTHER), 0.0
+
+    def clause(self, words: list[str], memory: dict[str, tuple[int, float]]) -> tuple[float, float]:
+        """Weights of a clause's matched patterns and of its lone insult; the composed table reads it once, left to right."""
+        matched, alone, share, state = 0.0, 0.0, 1.0, 0
         for word in words:
-            denied = max(0, denied - 1)
-            if word in NEGATIONS:
-                denied = NEGATION_SCOPE + 1
-                continue
-            if word in REPORTS:
-                report = True
-                continue
-            is_target = word in TARGETS
-            weight = memory.get(word)
-            if weight is None:
-                weight = memory[word] = self.insult(word)
-            emit = 0.0
-            if weight:
-                # insult; insult + insult; target + insult
-                emit = weight * (1.0 + 0.25 * (last > 0) + 0.25 * target)
-                last = weight
-            elif word in THREATS:
-                threat = True
-                emit = 3.0 if target else 0.0
-            elif is_target and (last or threat):
-                # insult + target and threat + target, seen in this order
-                emit = 0.25 * last + (3.0 if threat and not target else 0.0)
-            target = target or is_target
-            if emit:
-                total += emit * (NEGATION_FACTOR if denied else 1.0) * (REPORT_FACTOR if report else 1.0)
-        return total
-
-    def evidence(self, text: str | None, memory: dict[str, float]) -> float:
-        """Sum over the clauses of the whole text; 0 for null and empty texts."""
+            known = memory.get(word)
+            if known is None:
+                known = memory[word] = self.symbol(word)
+            state, (what, threat), factor = GRAMMAR_TABLE[state][known[0]]
+            if what:
+                weight = known[1] * factor
+                if what == ALONE:
+                    alone, share = weight, factor
+                elif what == OPEN:  # within both scopes counts once
+                    matched, alone = matched + alone * min(1.0, factor / share), 0.0
+                else:
+                    matched += weight
+                    if what == BOTH:
+                        matched, alone = matched + alone, 0.0
+            if threat:
+                matched += threat * factor
+        return matched, alone
+
+    def evidence(self, text: str | None, memory: dict[str, tuple[int, float]]) -> float:
+        """Matched patterns of all clauses of the whole text and its lone insults; 0 for null and empty texts."""
         if not text:
             return 0.0
-        return sum(self.clause(_WORD.findall(c), memory) for c in _CLAUSE.split(text.lower()) if c)
+        found = [self.clause(words, memory) for c in _CLAUSE.split(text.lower()) if (words := _WORD.findall(c))]
+        return sum(m for m, _ in found) + LONE * sum(a for _, a in found) / math.sqrt(max(len(found), 1))
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(evidence) + self.bias))))

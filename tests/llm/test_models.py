@@ -135,6 +135,31 @@ def test_toxic_grammar(spark):
     assert toxicity.learn_grammar(table.limit(0)).lexicon == {}
 
 
+def test_toxic_patterns_count_and_lone_words_do_not():
+    g = toxicity.Grammar({"scum$": 5.0, "idio": 5.0}, toxicity.Settings(), 2.0, -4.0)
+    ev = lambda t: g.evidence(t, {})
+    for text in ("you idiot", "idiot you", "idiot, thought of you", "scum idiot"):
+        assert 0 < ev("some idiot") <= 0.2 * ev(text)
+    assert ev("you kill") == ev("kill you") > 0 == ev("kill time") and ev("idiot, not you") < ev("idiot you")
+    assert ev("he said idiot you") == 0.5 * ev("idiot you")
+    calm = "a calm text. " * 100
+    assert ev(calm + "some idiot.") < 0.2 * ev("some idiot.") and ev(calm + "you idiot.") == ev("you idiot.")
+    assert ev((calm + "some idiot. ") * 9) < ev("you idiot.")
+
+
+def test_composed_table_equals_its_transducers_in_turn():
+    rng = random.Random(8)
+    for _ in range(300):
+        state, states = 0, [0, 0, 0, 0]
+        for x in rng.choices(toxicity.SYMBOLS, k=12):
+            state, out, weight = toxicity.GRAMMAR_TABLE[state][x]
+            states[0], y, w = toxicity.NEGATION_TABLE[states[0]][x]
+            states[1], y, v = toxicity.REPORT_TABLE[states[1]][y]
+            states[2], insult, _ = toxicity.INSULT_TABLE[states[2]][y]
+            states[3], threat, _ = toxicity.THREAT_TABLE[states[3]][y]
+            assert out == (insult, threat) and weight == w * v
+
+
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(30, 16))
