@@ -60,7 +60,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-ORACLE_SQL = None  # learned scores, signatures and packing have no SQL form; tests compare the stages with brute force
+ORACLE_SQL = None  # learned scores, signatures and packing have no SQL form; tests compare counts and columns of the stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
