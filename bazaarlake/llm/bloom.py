@@ -7,9 +7,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored, trimmed
 
 PROBES = 4
 BLOCK_BYTES = 1 << 16
+FAN = 64
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -21,12 +25,12 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class OnceTwice:
-    """Filters of one builder. ``once`` holds every hash, ``twice`` those that may have come before."""
+    """Filters of one builder, a bit for a bit. ``once`` holds every hash, ``twice`` those that may have come before."""
 
     def __init__(self, bits: int):
         self.bits = bits
-        self.once = np.zeros(bits, dtype=bool)
-        self.twice = np.zeros(bits, dtype=bool)
+        self.once = np.zeros(bits // 8, dtype=np.uint8)
+        self.twice = np.zeros(bits // 8, dtype=np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         """Add hashes; equal hashes in one call count as one occurrence each."""
@@ -34,37 +38,39 @@ class OnceTwice:
             return
         distinct, counts = np.unique(hashes, return_counts=True)
         pos = positions(distinct, self.bits)
-        before = self.once[pos].all(axis=1) | (counts > 1)
-        self.twice[pos[before].ravel()] = True
-        self.once[pos.ravel()] = True
+        before = _held(self.once, pos) | (counts > 1)
+        for packed, at in ((self.twice, pos[before].ravel()), (self.once, pos.ravel())):
+            np.bitwise_or.at(packed, at >> 3, np.left_shift(1, 7 - (at & 7)).astype(np.uint8))
 
     def blocks(self):
         """(block number, once bytes, twice bytes) of blocks that are not empty."""
-        once, twice = np.packbits(self.once), np.packbits(self.twice)
-        size = min(BLOCK_BYTES, len(once))
-        for k in range(len(once) // size):
-            a, b = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
+        size = min(BLOCK_BYTES, len(self.once))
+        for k in range(len(self.once) // size):
+            a, b = self.once[k * size : (k + 1) * size], self.twice[k * size : (k + 1) * size]
             if a.any():
                 yield k, a.tobytes(), b.tobytes()
 
 
-def merge(once_parts: list[bytes], twice_parts: list[bytes]) -> bytes:
-    """Twice-seen bits of one block: seen twice in a builder, or once in each of two builders."""
+def _held(packed: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return ((packed[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
+def merge(once_parts: list[bytes], twice_parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Once-seen and twice-seen bits of one block: seen twice in a builder, or once in each of two builders."""
     once = np.zeros(len(once_parts[0]), dtype=np.uint8)
     twice = once.copy()
     for a, b in zip(once_parts, twice_parts):
         a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
         twice |= b | (once & a)
         once |= a
-    return twice.tobytes()
+    return once.tobytes(), twice.tobytes()
 
 
 def hits(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Whether each hash may have been seen twice; ``packed`` is the whole twice filter."""
     if not len(hashes):
         return np.zeros(0, dtype=bool)
-    pos = positions(hashes, bits)
-    return ((packed[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
+    return _held(packed, positions(hashes, bits))
 
 
 def bits_for(items: int, most_log2: int = 27) -> int:
@@ -88,14 +94,19 @@ def gathered(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray
             )
 
     def fold(key, table):
-        once, again = table.column("once").to_pylist(), table.column("twice").to_pylist()
-        merged = merge(once, again) if twice else np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in once]).tobytes()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([merged], pa.binary())})
+        once, again = merge(table.column("once").to_pylist(), table.column("twice").to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "once": pa.array([once], pa.binary()), "twice": pa.array([again], pa.binary())})
 
+    kind = "block int, once binary, twice binary"
     builders = max(1, source.sparkSession.sparkContext.defaultParallelism)
-    parts = source.coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
+    parts = source.coalesce(builders).mapInArrow(trimmed(build), kind)
+    # A tree: at most FAN filters of a block meet in a task, whatever the number of builders.
+    while builders > FAN:
+        group = F.pmod(F.xxhash64("once", "twice"), F.lit(-(-builders // FAN))).alias("g")
+        parts = stored(parts.groupBy("block", group).applyInArrow(fold, kind), "bloom-parts")
+        builders = -(-builders // FAN)
     size = min(BLOCK_BYTES, bits // 8)
     whole = bytearray(bits // 8)
-    for row in parts.groupBy("block").applyInArrow(fold, "block int, bits binary").collect():
-        whole[row.block * size : (row.block + 1) * size] = row.bits
+    for row in parts.groupBy("block").applyInArrow(fold, kind).select("block", "twice" if twice else "once").collect():
+        whole[row[0] * size : (row[0] + 1) * size] = row[1]
     return bytes(whole)

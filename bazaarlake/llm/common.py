@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master only."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_scratch:
         _local_scratch.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
     return _local_scratch[0]
@@ -37,6 +43,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column of ``taken`` is called so, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, which is unique in ``right``; no task gets all rows of a key that is common in ``left``.
+
+    ``counts`` (``key``, ``n``) tells how often keys occur in ``left``; it is
+    counted if not given. Keys of more than a quarter of a partition's fair
+    share are hot. There are at most four times as many as partitions, so their
+    rows of ``right`` are few; these are repeated once for each share and the
+    rows of ``left`` are dealt among the copies. ``left`` is read twice.
+    """
+    spark, parts = left.sparkSession, partitions(left.sparkSession)
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col(key).isNotNull())
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(1000, total // (4 * parts))
+    hot = [(r[0], -(-r[1] // share)) for r in counts.where(F.col("n") > share).select(key, "n").collect()]
+    if not hot:
+        return left.join(right, key)
+    kind = left.schema[key].dataType.simpleString()
+    salts = F.broadcast(spark.createDataFrame(hot, f"`{key}` {kind}, _salts int"))
+    dealt = left.join(salts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    copied = right.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the machine: workers live longer than tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work`` for ``mapInArrow``; what a task has freed does not stay with its worker."""
+
+    def run(batches):
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def fold(column: str, modulus: int):
     """crc32 of the decimal id, by which labelled rows are split into learning and held-out parts."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

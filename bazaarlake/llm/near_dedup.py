@@ -7,21 +7,22 @@ and of each signature coordinate the dart of smallest rank. Two texts agree in
 a coordinate with the probability of their weighted Jaccard similarity.
 
 Copies are merged first. Texts that agree in a whole band meet in a bucket.
-Small buckets give all their pairs. Large ones give three stars; where these
-leave several components, an exact prefix filter finds the remaining links.
-Pairs are verified exactly, and components of the verified pairs are classes.
+Small buckets give all their pairs. Large ones give a star around their hub.
+Pairs are verified exactly. Where the texts around a hub are left in several
+components, blocks of them are compared in tasks that write further links
+alone. Components of the links are classes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, give_back, spread_join, stored, trimmed
 from .components import components
-from .words import mix, slices, weighted_jaccard, weighted_sets, words
+from .words import mix, slices, units, weighted_jaccard, weighted_sets, words
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +98,7 @@ def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), packed], ["doc_id", "digest", "bands"])
 
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    return src.mapInArrow(sign, "doc_id long, digest binary, bands binary")
+    return src.mapInArrow(trimmed(sign), "doc_id long, digest binary, bands binary")
 
 
 def _exploded(reps: DataFrame, bands: int) -> DataFrame:
@@ -124,79 +125,118 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 ok = weighted_jaccard(part.column(2), part.column(3)) >= threshold
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(judge, "a long, b long")
+    # ``a`` is the member of a star and ``b`` its hub, which very many pairs may have.
+    joined = spread_join(pairs.join(left, "a"), right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(judge), "a long, b long")
+
+
+def _overlaps(row: np.ndarray, unit: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many units each of the texts ``left`` shares with each of ``right``; ``row`` and ``unit`` list the units of all ``n`` texts."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    at, to = np.full(n, -1), np.full(n, -1)
+    at[left], to[right] = np.arange(len(left)), np.arange(len(right))
+    _, unit = np.unique(unit, return_inverse=True)
+    order = np.argsort(unit, kind="stable")
+    row, unit = row[order], unit[order]
+    width = 2048
+    for lo in range(0, int(unit[-1]) + 1 if len(unit) else 0, width):
+        a, b = np.searchsorted(unit, [lo, lo + width])
+        r, u = row[a:b], unit[a:b] - lo
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        mine, theirs = at[r] >= 0, to[r] >= 0
+        x[at[r[mine]], u[mine]] = 1
+        y[to[r[theirs]], u[theirs]] = 1
+        out += x @ y.T
+    return out
+
+
+def links_between(rep: np.ndarray, label: np.ndarray, block: np.ndarray, texts, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of alike texts with different labels, one or two blocks at hand; of a text's links to one label, one is enough.
+
+    Pairs within a block are left to the tile that has this block alone.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    if len(rep) < 2 or (label == label[0]).all():
+        return none, none
+    row, unit = units(words(texts))
+    size = np.bincount(row, minlength=len(rep)).astype(np.float64)
+    _, back, often = np.unique(unit, return_inverse=True, return_counts=True)
+    row, unit = row[often[back] > 1], unit[often[back] > 1]  # a unit of one text is shared by none
+    names, most = np.unique(label, return_counts=True)
+    main = label == names[most.argmax()]
+    first, alone = block == block.min(), block.min() == block.max()
+    sides = [(~main, np.ones(len(rep), bool))] if alone else [(first & ~main, ~first), (first & main, ~first & ~main)]
+    a, b = [none], [none]
+    for one, other in sides:
+        left, right = np.flatnonzero(one), np.flatnonzero(other)
+        if len(left) and len(right):
+            shared = _overlaps(row, unit, len(rep), left, right).astype(np.float64)
+            union = size[left][:, None] + size[right][None, :] - shared
+            ok = (shared >= threshold * union * (1 - 1e-12)) & (shared > 0) & (label[left][:, None] != label[right][None, :])
+            p, q = np.nonzero(ok)
+            ok = np.divide(shared[p, q], union[p, q]) >= threshold
+            p, q = p[ok], q[ok]
+            once = np.unique(np.stack([p, np.unique(label[right], return_inverse=True)[1][q]]), axis=1, return_index=True)[1] if len(p) else none
+            a.append(rep[left[p[once]]])
+            b.append(rep[right[q[once]]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def links_in_groups(members: DataFrame, texts: DataFrame, threshold: float, block_rows: int = 1000, block_bytes: int = 8_000_000) -> DataFrame:
+    """Links (``a``, ``b``) between members (``hub``, ``rep``, ``label``) of one group that have different labels.
+
+    A group is cut into blocks of about ``block_rows`` texts and ``block_bytes``
+    bytes, and each two blocks meet in a task of their own, which keeps its
+    pairs to itself and writes links alone. So a task's memory is bounded
+    whatever the group, and rows grow with its size times its blocks.
+    """
 
+    def compare(table):
+        found = links_between(*(table.column(c).to_numpy() for c in ("rep", "label", "block")), table.column("text"), threshold)
+        give_back()
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (``a``, ``b``) of members (``rep``, ``label``) with different labels that can reach ``threshold``.
+    held = stored(members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"), "near-groups")
+    sizes = held.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = sizes.select("hub", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    placed = spread_join(held, blocks, "hub", sizes.select("hub", "n")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label", "block", F.coalesce("text", F.lit("")).alias("text"))
+    return tiles.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
-    Two sets that similar have at least o = t / (1 + t) (|x| + |y|) units in
-    common, so in any one order of all units they share one among the first
-    |x| - o + 1 of x and |y| - o + 1 of y. The rarest units come first, so that few pairs meet by chance. A shingle that
-    occurs n times is n units, which makes the weighted similarity a plain one.
-    """
 
-    def units(batches):
-        for batch in batches:
-            for lo, hi in slices(batch.column(2)):
-                part = batch.slice(lo, hi - lo)
-                owner, element, count = weighted_sets(words(part.column(2)))
-                at = np.repeat(np.arange(len(owner)), count)
-                layer = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-                unit = mix(element[at] * _GOLD + layer.astype(np.uint64)).astype(np.int64)
-                size = np.bincount(owner[at], minlength=hi - lo)[owner[at]]
-                rows = pa.array(owner[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(unit), pa.array(size.astype(np.int32))], ["rep", "label", "unit", "size"])
-
-    source = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "label", "text")
-    found = stored(source.mapInArrow(units, "rep long, label long, unit long, size int"), "near-units")
-    often = found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("rep").orderBy("n", "unit")
-    # The other set has at least threshold * |x| units, and no fewer than the smallest set of all.
-    least = found.agg(F.min("size")).first()[0] or 0
-    other = F.greatest(F.col("size") * threshold, F.lit(float(least)))
-    shared = F.ceil((F.col("size") + other) * (threshold / (1 + threshold)) - 1e-9)
-    first = found.join(often, "unit").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= F.col("size") - shared + 1)
-    first = stored(first.where("n > 1").select("rep", "label", "unit"), "near-prefixes")
-    left = first.select("unit", F.col("rep").alias("a"), F.col("label").alias("a_label"))
-    right = first.select("unit", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-    return left.join(right, (left.unit == right.unit) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))).select("a", "b").distinct()
-
-
-def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int) -> DataFrame:
+def linked(met: DataFrame, texts: DataFrame, threshold: float, small_bucket: int, block_rows: int) -> DataFrame:
     """Components (``node``, ``label``) of the verified links among texts that share a bucket.
 
-    ``met`` holds (``band``, ``rep``, ``n``, ``low``): the buckets of several
-    texts, their sizes and smallest members; ``texts`` holds (``doc_id``,
-    ``text``) of each ``rep``.
+    ``met`` holds (``band``, ``rep``, ``n``): the buckets of several texts and
+    their sizes; ``texts`` holds (``doc_id``, ``text``) of each ``rep``.
     """
     small = met.where(F.col("n") <= small_bucket)
     by_band = small.select("band", F.col("rep").alias("a")).join(small.select("band", F.col("rep").alias("b")), "band").where("a < b").select("a", "b")
-    # The hub of a large bucket's second star is the member that meets most others over all bands: the one most copies resemble.
+    # The hub of a large bucket is the member that meets most others over all bands: the one most copies resemble.
     large = met.where(F.col("n") > small_bucket)
     reach = met.groupBy("rep").agg(F.sum("n").alias("reach"))
-    hub = large.join(reach, "rep").groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"))
-    # A third star has another hub in each band, so a text meets some ten different ones.
-    dealt = large.groupBy("band").agg(F.min_by("rep", F.xxhash64("rep", "band")).alias("dealt"))
-    stars = large.join(hub, "band").join(dealt, "band")
-    star_pairs = stars.select("rep", F.explode(F.array("low", "hub", "dealt")).alias("with")).where("rep <> with").select(F.least("rep", "with").alias("a"), F.greatest("rep", "with").alias("b"))
-    pairs = stored(by_band.unionByName(star_pairs).distinct(), "near-pairs")
+    hubs = large.join(reach, "rep").groupBy("band").agg(F.max_by("rep", F.struct("reach", -F.col("rep"))).alias("hub"), F.first("n").alias("n"))
+    hubs = stored(hubs, "near-hubs")
+    named = spread_join(large.select("band", "rep"), hubs.select("band", "hub"), "band", hubs.select("band", "n"))
+    stars = stored(named.select("hub", "rep").distinct(), "near-stars")
+    pairs = stored(by_band.unionByName(stars.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))).distinct(), "near-pairs")
     edges = stored(verified(pairs, texts, threshold), "near-edges")
     labels = components(edges)
 
-    # Large buckets that still hold several components: find what the stars missed by an exact prefix filter.
-    named = large.select("band", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("band")
-    members = named.join(mixed, "band", "left_semi").select("rep", "label").distinct()
-    more = stored(_prefix_pairs(members, texts, threshold).join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if more.limit(1).count():
-        labels = components(edges.unionByName(stored(verified(more, texts, threshold), "near-edges")))
-    return labels
+    # All texts of a bucket have its hub in common. Where a hub's texts are in several components, these may have links that its star missed.
+    members = stars.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members = stored(members, "near-members")
+    per_hub = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h"))
+    mixed = stored(per_hub.where("l < h").select("hub", "n"), "near-mixed")
+    if not mixed.limit(1).count():
+        return labels
+    more = stored(links_in_groups(spread_join(members, mixed.select("hub"), "hub", mixed), texts, threshold, block_rows), "near-rest")
+    return components(edges.unionByName(more)) if more.limit(1).count() else labels
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 25, rows: int = 4, small_bucket: int = 12
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 25, rows: int = 4, small_bucket: int = 12, block_rows: int = 1000
 ) -> DataFrame:
     """Classes of near-duplicate documents: one row per document.
 
@@ -207,32 +247,33 @@ def near_duplicates(
     shingle. A pair at 0.8 shares no band with probability (1 - 0.8^4)^25, two
     in a million. Texts without any word are similar to equal texts only. A
     null text counts as empty. Ids are cast to long and should be unique: rows
-    that repeat an id are one node, and rows without an id are left out. An
-    empty table gives an empty result. Other columns are ignored.
+    that repeat an id are one node, whose smallest text is compared, and rows
+    without an id are left out. An empty table gives an empty result. Other
+    columns are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     signed = stored(_signed(src, bands, rows), "near-signed")
     reps = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-reps")
 
     banded = _exploded(reps, bands)
-    crowded = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low")).where("n > 1")
-    met = stored(banded.join(crowded, "band"), "near-buckets")  # (band, rep, n, low) of buckets with several texts
+    crowded = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-crowded")
+    met = stored(spread_join(banded, crowded, "band", crowded), "near-buckets")  # (band, rep, n) of buckets with several texts
 
     needed = met.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stored(src.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    labels = linked(met, texts, threshold, small_bucket)
+    texts = stored(src.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    labels = linked(met, texts, threshold, small_bucket, block_rows)
 
-    classes = reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("label", "rep").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = classes.join(sizes, "class_id")
+    classes = stored(reps.join(labels, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("label", "rep").alias("class_id")), "near-classes")
+    sizes = stored(classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("n")), "near-sizes")
+    classes = spread_join(classes, sizes.select("class_id", "class_size"), "class_id", sizes.select("class_id", "n"))
     return (
-        signed.select("doc_id", "digest")
-        .join(classes, "digest")
+        spread_join(signed.select("doc_id", "digest"), classes, "digest", reps.select("digest", F.col("copies").alias("n")))
         .select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("copies").cast("long").alias("copies"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, all columns: the smallest id of each near-duplicate class; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh(docs.columns, "_gone")
+    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")

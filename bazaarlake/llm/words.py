@@ -47,13 +47,13 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def slices(column, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes of text, at least one row each, so that work arrays stay small."""
+def slices(column, limit: int = 1_000_000, rows: int = 1000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text and at most ``rows`` rows, at least one row each, so that work arrays stay small."""
     offsets = _buffers(column)[0]
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        stop = min(n, max(stop, row + 1))
+        stop = min(n, row + rows, max(stop, row + 1))
         yield row, stop
         row = stop
 
@@ -126,7 +126,7 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weighted_sets(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, 48-bit shingle, number of times) sorted by text and shingle; each shingle once a text."""
+    """(text number, 48-bit shingle, number of times) sorted by text and shingle; each shingle once a text. At most 65,536 texts."""
     owner, value = shingles(w)
     key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))
     fresh = np.ones(len(key), dtype=bool)
@@ -137,6 +137,14 @@ def weighted_sets(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1), count
 
 
+def units(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, unit): a shingle that occurs n times is n units, which makes the weighted similarity a plain one."""
+    owner, element, count = weighted_sets(w)
+    at = np.repeat(np.arange(len(owner)), count)
+    layer = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    return owner[at], mix(element[at] * _MIX + layer.astype(np.uint64))
+
+
 def weighted_jaccard(left, right) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts: sum of smaller counts over sum of larger counts.
 
