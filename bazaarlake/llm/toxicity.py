@@ -29,17 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import fold, sampled, stored
+from .common import fold, sampled, stored, trimmed
+from .words import mix
 
 TARGETS = frozenset("you your yours u he she they him her them this that these those du dich dir ihr euch dein er sie tu toi te vous ton ta votre il elle ils tú te ti usted ustedes tu su él ella ellos".split())
 NEGATIONS = frozenset("not no never none nor isn't aren't don't nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split())
 REPORTS = frozenset("said says say told wrote writes claimed called quoted reported sagte sagt schrieb behauptete nannte dit disait écrit affirme prétend dijo dice escribió llamó afirmó".split())
-THREATS = frozenset("kill hurt destroy beat stab shoot burn töten umbringen schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split())
+THREATS = frozenset("kill murder strangle hurt destroy beat stab shoot burn töten umbringen schlagen vernichten tuer frapper détruire brûler matar golpear destruir quemar".split())
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 NEGATION_SCOPE, REPORT_FACTOR, NEGATION_FACTOR = 3, 0.5, 0.3
 LONE, THREAT_WEIGHT = 0.15, 3.0
+REMEMBERED = 100_000  # words or stems that a task remembers before it starts afresh
 
 SYMBOLS = OTHER, INSULT, TARGET, THREAT, NEGATION, REPORT = tuple(range(6))
 #: What the insult transducer emits: nothing, a lone insult, this insult, this and the open one, the open one.
@@ -87,13 +89,13 @@ GRAMMAR_TABLE = composed(NEGATION_TABLE, composed(REPORT_TABLE, side_by_side(INS
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the rows that the score's scale is fitted on; ``stems`` the learned lexicon."""
+    """``sample`` bounds the rows that the score's scale is fitted on; ``stems`` the learned lexicon (some 20 MB)."""
 
     shortest: int = 4
     longest: int = 8
     least_texts: int = 4
     least_weight: float = 2.5
-    stems: int = 5000
+    stems: int = 200_000
     sample: int = 6000
 
 
@@ -193,7 +195,7 @@ def toxic_contexts(learn: DataFrame, s: Settings) -> DataFrame:
                     contexts.append(xxhash.xxh3_64_intdigest(" ".join(words[k : k + 3])) - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contexts, pa.int64())], ["stem", "context"])
 
-    rows = learn.where("toxic = 1").select("text").mapInArrow(emit, "stem string, context long").distinct()
+    rows = learn.where("toxic = 1").select("text").mapInArrow(trimmed(emit), "stem string, context long").distinct()
     return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("toxic")).where(F.col("toxic") >= s.least_texts)
 
 
@@ -224,11 +226,11 @@ def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
                 for x in found:
                     if held[x]:
                         counts[x] = counts.get(x, 0) + 1
-                if len(held) > 1_000_000:
+                if len(held) > REMEMBERED:
                     held = {}
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "n"])
 
-    clean = learn.where("toxic = 0").select("text").mapInArrow(emit, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("clean"))
+    clean = learn.where("toxic = 0").select("text").mapInArrow(trimmed(emit), "stem string, n long").groupBy("stem").agg(F.sum("n").alias("clean"))
     return toxic.join(clean, "stem", "left").select("stem", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
 
 
@@ -293,17 +295,41 @@ def evidence_of(docs: DataFrame, grammar: Grammar, *carry: str) -> DataFrame:
     def read(batches):
         g, memory = held.value, {}
         for batch in batches:
-            if len(memory) > 500_000:
+            if len(memory) > REMEMBERED:
                 memory = {}
             found = [g.evidence(t, memory) for t in batch.column(len(carry)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(found, pa.float64()), pa.array([g.score(e) for e in found], pa.float64())], [*carry, "evidence", "score"])
 
-    return docs.select(*carry, "text").mapInArrow(read, "".join(f"`{c}` {kinds[c]}, " for c in carry) + "evidence double, score double")
+    return docs.select(*carry, "text").mapInArrow(trimmed(read), "".join(f"`{c}` {kinds[c]}, " for c in carry) + "evidence double, score double")
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows that may be learned from: crc32 of the id mod 4 is not 2."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(fold("doc_id", 4) != 2)
+    """Labelled rows (``doc_id``, ``text``, ``toxic``) that may be learned from: crc32 of the id mod 4 is not 2.
+
+    Texts are dealt once, and those without a label hardly at all: a Bloom
+    filter of the labelled ids lets the others be left where they are. The
+    result is a stored table, as it is read several times. Null ids, null
+    texts and labels other than 0 and 1 are no learning rows. An id that
+    repeats in either table gives a row for each pair of its rows.
+    """
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    labels = stored(labels.where("toxic in (0, 1)").where(fold("doc_id", 4) != 2), "toxic-labels")
+    bits = bloom.bits_for(labels.count())
+    labelled = docs.sparkSession.sparkContext.broadcast(bloom.gathered(labels.select("doc_id"), lambda b: np.unique(_id_hashes(b.column(0))), bits, twice=False))
+
+    def keep(batches):
+        packed = np.frombuffer(labelled.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.hits(packed, _id_hashes(batch.column(0)), bits)))
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
+    found = src.mapInArrow(trimmed(keep), "doc_id long, text string")
+    # Dealt in the same way at every size, so that cost grows with the input.
+    return stored(found.join(labels.hint("merge"), "doc_id"), "toxic-learning")
+
+
+def _id_hashes(column: pa.Array) -> np.ndarray:
+    return mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1))
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -327,9 +353,9 @@ def reject_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> D
         g, memory = held.value, {}
         at = names.index("text")
         for batch in batches:
-            if len(memory) > 500_000:
+            if len(memory) > REMEMBERED:
                 memory = {}
             ok = [g.score(g.evidence(t, memory)) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, kinds)
+    return docs.mapInArrow(trimmed(keep), kinds)
