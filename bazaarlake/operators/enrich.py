@@ -15,18 +15,25 @@ ENRICHED = [
 ]
 
 
-def _maybe_broadcast(df: DataFrame, on: bool) -> DataFrame:
-    return F.broadcast(df) if on else df
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint for a table of at most ``rows`` rows; a larger one is left to be shuffled. At most ``rows + 1`` rows are counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def joined(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False) -> DataFrame:
-    """Left joins with the three dimensions and the 22 columns kept; broadcast only if the caller knows they are small."""
+    """Left joins with the three dimensions and the 22 columns kept; ``broadcast`` asks for it where a dimension is small enough.
+
+    Users come last: where they are joined by shuffling, the windows by user that follow need no other shuffle.
+    """
     tx = transactions.withColumnRenamed("category", "transaction_category")
     users = users.select("user_id", "age", "annual_income", "city", "customer_segment")
     products = products.select("product_id", F.col("name").alias("product_name"), F.col("category").alias("product_category"), "price", "rating", "stock")
     merchants = merchants.select("merchant_id", F.col("name").alias("merchant_name"), F.col("category").alias("merchant_category"), "region", "commission_rate")
-    for dimension, key in ((users, "user_id"), (products, "product_id"), (merchants, "merchant_id")):
-        tx = tx.join(_maybe_broadcast(dimension, broadcast), key, "left")
+    for dimension, key in ((merchants, "merchant_id"), (products, "product_id"), (users, "user_id")):
+        tx = tx.join(broadcast_if_small(dimension) if broadcast else dimension, key, "left")
     return tx.select(*ENRICHED)
 
 
@@ -47,13 +54,15 @@ def enrich(transactions: DataFrame, users: DataFrame, products: DataFrame, merch
 
 
 def broadcast_merchant_join(transactions: DataFrame, merchants: DataFrame) -> DataFrame:
-    """All transaction and merchant columns; the merchant's ``category`` becomes ``merchant_category``."""
-    return transactions.join(F.broadcast(merchants.withColumnRenamed("category", "merchant_category")), "merchant_id", "left")
+    """All transaction and merchant columns; the merchant's ``category`` becomes ``merchant_category``. Broadcast if small."""
+    return transactions.join(broadcast_if_small(merchants.withColumnRenamed("category", "merchant_category")), "merchant_id", "left")
 
 
 def enrich_broadcast(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame) -> DataFrame:
-    """The wide form: every column of the four tables, all dimensions broadcast, and the time features."""
+    """The wide form: every column of the four tables, each dimension broadcast if it is small enough, and the time features."""
     products = products.withColumnsRenamed({"merchant_id": "product_merchant_id", "category": "product_category"})
     merchants = merchants.withColumnsRenamed({"name": "merchant_name", "category": "merchant_category"})
-    df = transactions.join(F.broadcast(users), "user_id", "left").join(F.broadcast(products), "product_id", "left").join(F.broadcast(merchants), "merchant_id", "left")
+    df = transactions
+    for dimension, key in ((users, "user_id"), (products, "product_id"), (merchants, "merchant_id")):
+        df = df.join(broadcast_if_small(dimension), key, "left")
     return with_time_features(df)

@@ -13,7 +13,12 @@ REPORT = [*_KEYS, "total_revenue", "transaction_count", "unique_customers", "ave
 
 
 def merchant_report(enriched: DataFrame) -> DataFrame:
-    """KPIs, sales by age group and ranks of each merchant; transactions without a merchant are left out.
+    """KPIs, sales by age group and ranks of each merchant, best first; transactions without a merchant are left out."""
+    return _report(enriched).orderBy(F.desc("total_revenue"), "merchant_id")
+
+
+def _report(enriched: DataFrame) -> DataFrame:
+    """The merchant report in any order.
 
     Distinct customers are counted in two steps, so that one wide aggregation
     to (merchant, customer) serves every column and a large merchant is spread.
@@ -37,7 +42,6 @@ def merchant_report(enriched: DataFrame) -> DataFrame:
         kpis.withColumn("rank_in_category", F.dense_rank().over(Window.partitionBy("merchant_category").orderBy(best)))
         .withColumn("rank_in_region", F.dense_rank().over(Window.partitionBy("region").orderBy(best)))
         .select(*REPORT)
-        .orderBy(best, "merchant_id")
     )
 
 
@@ -49,7 +53,7 @@ def suspicious_rate(suspicious: DataFrame) -> DataFrame:
 
 def merchant_report_with_suspicion(enriched: DataFrame, suspicious: DataFrame) -> DataFrame:
     """The merchant report and each merchant's suspicious rate, 0 if it has none."""
-    report = merchant_report(enriched).join(suspicious_rate(suspicious), "merchant_id", "left")
+    report = _report(enriched).join(suspicious_rate(suspicious), "merchant_id", "left")
     return report.na.fill(0.0, ["suspicious_transaction_rate"]).orderBy(F.desc("total_revenue"), "merchant_id")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 SPLITS = 200
 
 
@@ -17,9 +18,9 @@ def exact_ntile(df: DataFrame, n: int, metrics: list[str], tiebreak: str) -> Dat
     itself and the sizes of the buckets before it are added. The result is
     exact whatever the sample. Nulls come first; an empty table gives an empty
     result. ``tiebreak`` should be unique for a result that never changes.
-    ``df`` is persisted, as it is read for the sample, the sizes and the ranks.
+    ``df`` is stored, as it is read for the sample, the sizes and the ranks.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = stored(df, "ranked")
     columns = df.columns
     pair = {m: F.struct(F.col(m).alias("m"), F.col(tiebreak).alias("t")) for m in metrics}
     # Of each slice of the hash space, one pair: at most SPLITS rows for each metric, sorted into one array.

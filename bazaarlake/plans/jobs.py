@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,41 +35,67 @@ def run_transformation(tables: Tables, broadcast: bool = False) -> DataFrame:
     return enrich.enrich(tables["transactions"], tables["users"], tables["products"], tables["merchants"], broadcast)
 
 
-def run_analytics(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
-    """Every report by the name it is written under."""
-    scored = rfm.rfm(transactions, users)
-    cohort = cohorts.cohort_analysis(transactions)
-    suspicious = windows.detect_suspicious(windows.window_analysis(enriched))
+def run_wide_transformation(tables: Tables) -> DataFrame:
+    """The wide enrichment with broadcast dimensions, cached for the reports that follow; the caller unpersists it."""
+    return enrich.enrich_broadcast(tables["transactions"], tables["users"], tables["products"], tables["merchants"]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+Report = Callable[[], DataFrame]
+WRITERS = 4  # results that are written at the same time
+
+
+def reports(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, Report]:
+    """What makes each report, by the name it is written under; those in ``derived`` are made from others."""
     return {
-        "global_kpi": merchants.global_kpi_formatted(enriched),
-        "merchant_performance": merchants.merchant_report(enriched),
-        "merchant_performance_suspicion": merchants.merchant_report_with_suspicion(enriched, suspicious),
-        "cohort_analysis": cohort,
-        "best_cohort": cohorts.best_cohort_at(cohort),
-        "rfm_analysis": scored,
-        "rfm_cross_tab": rfm.rfm_crosstab(scored),
-        "top_products": products.top_products(enriched),
-        "category_region": products.category_region(enriched),
-        "payment_period_revenue": products.payment_period(enriched),
+        "merchant_performance_suspicion": lambda: merchants.merchant_report_with_suspicion(enriched, windows.detect_suspicious(windows.window_analysis(enriched))),
+        "rfm_analysis": lambda: rfm.rfm(transactions, users),
+        "cohort_analysis": lambda: cohorts.cohort_analysis(transactions),
+        "merchant_performance": lambda: merchants.merchant_report(enriched),
+        "global_kpi": lambda: merchants.global_kpi_formatted(enriched),
+        "top_products": lambda: products.top_products(enriched),
+        "category_region": lambda: products.category_region(enriched),
+        "payment_period_revenue": lambda: products.payment_period(enriched),
     }
 
 
-def run_all(spark: SparkSession, paths: dict[str, str], output: str) -> list[str]:
-    """Ingest, validate, report quality, enrich and analyse; returns the names of the results written."""
-    tables = run_ingestion(spark, paths)
-    valid, _ = run_validation(tables)
-    io.write_validated(valid, output)
-    io.write_quality_report(validation.quality_report(**tables), output)
+def derived(done: dict[str, DataFrame]) -> dict[str, Report]:
+    return {"best_cohort": lambda: cohorts.best_cohort_at(done["cohort_analysis"]), "rfm_cross_tab": lambda: rfm.rfm_crosstab(done["rfm_analysis"])}
+
+
+def run_analytics(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    """Every report by the name it is written under."""
+    done = {name: make() for name, make in reports(enriched, transactions, users).items()}
+    return done | {name: make() for name, make in derived(done).items()}
+
+
+def write_analytics(spark: SparkSession, output: str) -> list[str]:
+    """Make the reports from the validated and enriched tables under ``output`` and write them there; returns their names.
+
+    The enriched table is cached meanwhile. Reports are jobs of their own, so
+    a few are submitted at the same time; derived ones read what is written.
+    """
     valid = io.read_validated(spark, output)
-    io.write_enriched(run_transformation(valid), output)
     enriched = io.read_enriched(spark, output).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def write(report: tuple[str, Report]) -> tuple[str, DataFrame]:
+        return report[0], io.write_result(report[1](), output, report[0])
+
     try:
-        results = run_analytics(enriched, valid["transactions"], valid["users"])
-        for name, df in results.items():
-            io.write_result(df, output, name)
+        with ThreadPoolExecutor(WRITERS) as pool:
+            done = dict(pool.map(write, reports(enriched, valid["transactions"], valid["users"]).items()))
+            done |= dict(pool.map(write, derived(done).items()))
     finally:
         enriched.unpersist()
-    return list(results)
+    return list(done)
+
+
+def run_all(spark: SparkSession, paths: dict[str, str], output: str) -> list[str]:
+    """Ingest, validate, report quality, enrich and analyse; returns the names of the results written."""
+    tables = run_ingestion(spark, paths)
+    io.write_validated(run_validation(tables)[0], output)
+    io.write_quality_report(validation.quality_report(**tables), output)
+    io.write_enriched(run_transformation(io.read_validated(spark, output)), output)
+    return write_analytics(spark, output)
 
 
 VARIANTS = {"comparison_without_optimization": False, "comparison_optimized": True}
@@ -82,17 +111,21 @@ def run_comparison(tables: Tables, output: str) -> None:
 
 
 def run_mode(spark: SparkSession, mode: str, paths: dict[str, str], output: str) -> None:
-    """``ingestion``, ``transformation``, ``analytics`` or ``all``; each mode rereads what the one before wrote."""
+    """``ingestion``, ``transformation``, ``wide_transformation``, ``analytics`` or ``all``; each mode rereads what ingestion and transformation wrote."""
     if mode == "ingestion":
         tables = run_ingestion(spark, paths)
         io.write_validated(run_validation(tables)[0], output)
         io.write_quality_report(validation.quality_report(**tables), output)
     elif mode == "transformation":
         io.write_enriched(run_transformation(io.read_validated(spark, output)), output)
+    elif mode == "wide_transformation":
+        wide = run_wide_transformation(io.read_validated(spark, output))
+        try:
+            io.write_wide(wide, output)
+        finally:
+            wide.unpersist()
     elif mode == "analytics":
-        valid = io.read_validated(spark, output)
-        for name, df in run_analytics(io.read_enriched(spark, output), valid["transactions"], valid["users"]).items():
-            io.write_result(df, output, name)
+        write_analytics(spark, output)
     elif mode == "all":
         run_all(spark, paths, output)
     else:

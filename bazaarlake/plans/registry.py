@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import timefeatures as tf
 from ..operators import cohorts, enrich, merchants, products, rfm, validation, windows
 from ..sources import io
+from ..sources.scratch import scratch_path
 from . import jobs
-from .fixtures import table, with_tables
+from .fixtures import duck_sql, table, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _out(spark: SparkSession) -> str:
-    """A folder for what a query writes: in the shared folder of the session if it names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/bazaarlake-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-bazaarlake-")
+    """A folder for what a query writes."""
+    return scratch_path(spark, "query")
 
 
 def _dims(s, d):
@@ -82,10 +80,13 @@ def _raw(s, d, tx="tx_dirty"):
     return {"transactions": table(s, d, tx), "users": users, "products": prods, "merchants": merch}
 
 
-def roundtrip_validated(s, d):
-    path = _out(s)
-    io.write_validated(jobs.run_validation(_raw(s, d))[0], path)
-    return io.read_validated(s, path)["transactions"]
+def _roundtrip_validated(name: str) -> Query:
+    def run(s, d):
+        path = _out(s)
+        io.write_validated(jobs.run_validation(_raw(s, d))[0], path)
+        return _text_arrays(io.read_validated(s, path)[name])
+
+    return run
 
 
 def roundtrip_enriched(s, d):
@@ -94,6 +95,41 @@ def roundtrip_enriched(s, d):
     return io.read_enriched(s, path)
 
 
+def roundtrip_enriched_csv(s, d):
+    path, enriched = _out(s), _enriched(s, d)
+    io.write_enriched(enriched, path)
+    return io.read_csv(s, f"{path}/enriched_transactions_csv", enriched.schema)
+
+
+def roundtrip_quality_report(s, d):
+    path, report = _out(s), quality_report(s, d)
+    io.write_quality_report(report, path)
+    return io.read_csv(s, f"{path}/data_quality_report", report.schema)
+
+
+def wide_transformation(s, d):
+    """The job's mode over validated tables, read back."""
+    path = _out(s)
+    io.write_validated(_raw(s, d, "tx_line"), path)
+    jobs.run_mode(s, "wide_transformation", {}, path)
+    return _text_arrays(io.read_wide(s, path))
+
+
+def _comparison(name: str, columns: list[str]) -> Query:
+    """One result of the comparison job as both variants wrote it."""
+
+    def run(s, d):
+        path = _out(s)
+        jobs.run_comparison(_raw(s, d, "tx_line"), path)
+        both = None
+        for variant in jobs.VARIANTS:
+            one = s.read.option("header", True).option("inferSchema", True).csv(f"{path}/{variant}/{name}").select(F.lit(variant).alias("variant"), *columns)
+            both = one if both is None else both.unionByName(one)
+        return both.withColumns({c: F.col(c).cast(t) for c, t in (("cohort_month", "string"), ("transaction_count", "long"), ("unique_customers", "long"), ("active_users", "long"), ("cohort_size", "long")) if c in columns})
+
+    return run
+
+
 def write_results(s, d):
     """The whole pipeline on the dirty events, and the rows of each result read back from CSV and Parquet."""
     path, raw = _out(s), _raw(s, d)
@@ -190,6 +226,17 @@ def _rfm(s, d):
     return rfm.rfm(table(s, d, "tx_line"), table(s, d, "users"))
 
 
+_KPI = ["total_revenue", "transaction_count", "unique_customers", "average_transaction_amount"]
+_MERCHANT = ["merchant_id", "merchant_name", "merchant_category", "region", "commission_rate", *_KPI, "total_commission", "rank_in_category", "rank_in_region"]
+_COHORTS = ["cohort_month", "period_index", "cohort_size", "active_users", "retention_rate", "revenue", "revenue_per_user"]
+_DESCRIBED = [*_KPI, "total_commission", "rank_in_category", "rank_in_region"]
+
+
+def merchant_kpi_describe(s, d):
+    summary = merchants.kpi_describe(merchants.merchant_report(_enriched(s, d)))
+    return summary.select("summary", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in _DESCRIBED])
+
+
 def flagship(s, d):
     return merchant_report(s, d)
 
@@ -200,8 +247,17 @@ def queries() -> dict[str, Query]:
         "read_json_users": read_json_users,
         "read_parquet_products": read_parquet_products,
         "read_csv_merchants": read_csv_merchants,
-        "roundtrip_validated": roundtrip_validated,
+        "roundtrip_validated": _roundtrip_validated("transactions"),
+        "roundtrip_validated_users": _roundtrip_validated("users"),
+        "roundtrip_validated_products": _roundtrip_validated("products"),
+        "roundtrip_validated_merchants": _roundtrip_validated("merchants"),
         "roundtrip_enriched": roundtrip_enriched,
+        "roundtrip_enriched_csv": roundtrip_enriched_csv,
+        "roundtrip_quality_report": roundtrip_quality_report,
+        "wide_transformation": wide_transformation,
+        "comparison_global_kpi": _comparison("global_kpi", _KPI),
+        "comparison_merchant_performance": _comparison("merchant_performance", _MERCHANT),
+        "comparison_cohort_analysis": _comparison("cohort_analysis", _COHORTS),
         "null_count": null_count,
         "orphan_users": _orphans("user_id", "users"),
         "orphan_products": _orphans("product_id", "products"),
@@ -219,7 +275,7 @@ def queries() -> dict[str, Query]:
         "merchant_report": merchant_report,
         "merchant_report_with_suspicion": merchant_report_with_suspicion,
         "merchant_revenue_ranking": lambda s, d: merchants.merchant_revenue_ranking(_enriched(s, d)),
-        "merchant_kpi_describe": lambda s, d: merchants.kpi_describe(merchants.merchant_report(_enriched(s, d))),
+        "merchant_kpi_describe": merchant_kpi_describe,
         "cohort_analysis": cohort_analysis,
         "best_cohort_3m": lambda s, d: cohorts.best_cohort_at(cohort_analysis(s, d)),
         "rfm": _rfm,
@@ -369,6 +425,39 @@ def _quality_sql() -> str:
     return with_tables("tx_dirty", *_DIMS) + "\n" + "\nunion all\n".join(parts)
 
 
+def _results_sql() -> str:
+    """Rows of every result of the whole job, which validates the dirty events first."""
+    valid = [f"tx_events as ({duck_sql('tx_events')})", f"tx_dirty as ({duck_sql('tx_dirty')})", f"tx_line as (select * from tx_dirty where {_BROKEN['transactions']} is null)"]
+    valid += [f"{name} as (select * from ({duck_sql(name)}) z where {_BROKEN[name]} is null)" for name in _DIMS]
+    rows = {
+        "global_kpi": "select 1 as x",
+        "merchant_performance": _merchant_sql(),
+        "merchant_performance_suspicion": _merchant_sql(),
+        "cohort_analysis": "select * from cohorts",
+        "best_cohort": "select * from cohorts where period_index = 3 limit 1",
+        "rfm_analysis": "select * from rfm",
+        "rfm_cross_tab": "select distinct rfm_segment, customer_segment from rfm",
+        "top_products": "select distinct product_id, product_name from enriched where product_id is not null limit 10",
+        "category_region": "select distinct merchant_category, region from enriched where merchant_category is not null",
+        "payment_period_revenue": "select distinct payment_method, day_period from enriched",
+    }
+    counted = [f"select '{name}' as result, count(*) as csv_rows, count(*) as parquet_rows from ({sql}) q" for name, sql in rows.items()]
+    return "with " + ",\n".join([*valid, _enriched_sql("tx_line"), _COHORT, _RFM]) + "\n" + "\nunion all\n".join(counted)
+
+
+def _describe_sql() -> str:
+    stats = {"count": "count({0})", "mean": "avg({0})", "stddev": "stddev_samp({0})", "min": "min({0})", "max": "max({0})"}
+    rows = [f"select '{name}' as summary, " + ", ".join(f"{_r2(stat.format(f'cast({c} as double)'))} as {c}" for c in _DESCRIBED) + " from rep" for name, stat in stats.items()]
+    return _with_enriched("tx_line") + f",\nrep as ({_merchant_sql()})\n" + "\nunion all\n".join(rows)
+
+
+def _variants(sql: str, columns: list[str]) -> str:
+    """A query's rows once for each variant of the comparison."""
+    head, _, last = sql.rpartition("\x00")
+    names = ", ".join(columns)
+    return f"{head}, res as ({last}) " + " union all ".join(f"select '{v}' as variant, {names} from res" for v in jobs.VARIANTS)
+
+
 def oracle_sql() -> dict[str, str]:
     line = _with_enriched("tx_line")
     valid = f"select {_COLUMNS['transactions']} from tx_dirty where {_BROKEN['transactions']} is null"
@@ -415,6 +504,14 @@ def oracle_sql() -> dict[str, str]:
         "global_kpi_formatted": f"{line} select format('{{:,.2f}}', sum(amount)) as total_revenue, {kpi}, format('{{:,.2f}}', avg(amount)) as average_transaction_amount from enriched",
         "global_kpi": f"{line} select {_r2('sum(amount)')} as total_revenue, {kpi}, {_r2('avg(amount)')} as average_transaction_amount from enriched",
     }
+    found["write_results"], found["merchant_kpi_describe"] = _results_sql(), _describe_sql()
+    found["roundtrip_enriched_csv"], found["roundtrip_quality_report"], found["wide_transformation"] = found["enrich"], found["quality_report"], found["enrich_broadcast"]
+    kpis = f"select {_r2('sum(amount)')} as total_revenue, {kpi}, {_r2('avg(amount)')} as average_transaction_amount from enriched"
+    found["comparison_global_kpi"] = _variants(f"{line}\x00{kpis}", _KPI)
+    found["comparison_merchant_performance"] = _variants(f"{line}\x00{_merchant_sql()}", _MERCHANT)
+    found["comparison_cohort_analysis"] = _variants(f"{with_tables('tx_line')},\n{_COHORT}\x00select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts", _COHORTS)
+    for name in _DIMS:
+        found[f"roundtrip_validated_{name}"] = f"{with_tables(name)} select {_COLUMNS[name]} from {name} where {_BROKEN[name]} is null"
     for key, dim in (("user_id", "users"), ("product_id", "products"), ("merchant_id", "merchants")):
         found[f"orphan_{dim}"] = f"{with_tables('tx_dirty', dim)} select * from tx_dirty t where not exists (select 1 from {dim} x where x.{key} = t.{key})"
     for name in io.VALIDATED:

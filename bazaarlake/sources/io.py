@@ -46,19 +46,35 @@ def write_csv(df: DataFrame, path: str, name: str) -> None:
 
 
 def write_enriched(enriched: DataFrame, path: str) -> None:
+    """As Parquet, and from that as CSV; the table is computed once."""
     enriched.write.mode("overwrite").parquet(f"{path}/enriched_transactions")
-    write_csv(enriched, path, "enriched_transactions_csv")
+    write_csv(read_enriched(enriched.sparkSession, path), path, "enriched_transactions_csv")
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/enriched_transactions")
 
 
+def write_wide(wide: DataFrame, path: str) -> None:
+    wide.write.mode("overwrite").parquet(f"{path}/enriched_wide")
+
+
+def read_wide(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/enriched_wide")
+
+
 def write_quality_report(report: DataFrame, path: str) -> None:
     write_csv(report, path, "data_quality_report")
 
 
-def write_result(df: DataFrame, path: str, name: str) -> None:
-    """One result as CSV (``name``) and as Parquet (``name_parquet``)."""
-    write_csv(df, path, name)
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that ``write_csv`` wrote, without array columns."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def write_result(df: DataFrame, path: str, name: str) -> DataFrame:
+    """One result as Parquet (``name_parquet``) and as CSV (``name``); computed once, and returned as it was written."""
     df.write.mode("overwrite").parquet(f"{path}/{name}_parquet")
+    written = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}_parquet")
+    write_csv(written, path, name)
+    return written

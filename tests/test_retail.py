@@ -157,6 +157,14 @@ def test_jobs_end_to_end(spark, tmp_path, sf_dir):
     jobs.run_mode(spark, "ingestion", paths, f"{tmp_path}/out")
     jobs.run_mode(spark, "transformation", paths, f"{tmp_path}/out")
     assert io.read_enriched(spark, f"{tmp_path}/out").count() == io.read_validated(spark, f"{tmp_path}/out")["transactions"].count()
+    jobs.run_mode(spark, "wide_transformation", paths, f"{tmp_path}/out")
+    assert io.read_wide(spark, f"{tmp_path}/out").count() == io.read_enriched(spark, f"{tmp_path}/out").count()
+    jobs.run_mode(spark, "analytics", paths, f"{tmp_path}/out")
+    valid = io.read_validated(spark, f"{tmp_path}/out")
+    for name, df in jobs.run_analytics(io.read_enriched(spark, f"{tmp_path}/out"), valid["transactions"], valid["users"]).items():
+        written = spark.read.parquet(f"{tmp_path}/out/{name}_parquet")
+        assert written.columns == df.columns and written.count() == df.count() == spark.read.option("header", True).csv(f"{tmp_path}/out/{name}").count()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
     with pytest.raises(ValueError):
         jobs.run_mode(spark, "none", paths, f"{tmp_path}/out")
 
@@ -172,4 +180,10 @@ def test_comparison_variants_agree(spark, tmp_path, sf_dir):
 
 def test_every_query_has_a_name_in_both(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"merchant_kpi_describe", "write_results"}
+    assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_large_dimensions_are_not_broadcast(spark):
+    df = spark.range(10)
+    assert "broadcast" in enrich.broadcast_if_small(df, 10)._jdf.queryExecution().toString().lower()
+    assert "broadcast" not in enrich.broadcast_if_small(df, 9)._jdf.queryExecution().toString().lower()
