@@ -42,6 +42,10 @@ class OnceTwice:
         for packed, at in ((self.twice, pos[before].ravel()), (self.once, pos.ravel())):
             np.bitwise_or.at(packed, at >> 3, np.left_shift(1, 7 - (at & 7)).astype(np.uint8))
 
+    def seen(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each hash may have been added before."""
+        return _held(self.once, positions(hashes, self.bits))
+
     def blocks(self):
         """(block number, once bytes, twice bytes) of blocks that are not empty."""
         size = min(BLOCK_BYTES, len(self.once))
