@@ -4,41 +4,20 @@ from __future__ import annotations
 
 import ctypes
 import math
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_scratch: list[str] = []
+from ..sources.scratch import stored
 
+__all__ = ["fold", "fresh", "give_back", "partitions", "read_table", "sampled", "spread_join", "stored", "trimmed"]
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset a temporary one, on a local master only."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _local_scratch:
-        _local_scratch.append("file://" + tempfile.mkdtemp(prefix="spark-llm-"))
-    return _local_scratch[0]
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,29 +30,29 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``right``; no task gets all rows of a key that is common in ``left``.
+def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], counts: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Inner join ``on`` a key that is unique in ``right``; no task gets all rows of a key that is common in ``left``.
 
-    ``counts`` (``key``, ``n``) tells how often keys occur in ``left``; it is
+    ``counts`` (the key and ``n``) tells how often keys occur in ``left``; it is
     counted if not given. Keys of more than a quarter of a partition's fair
     share are hot. There are at most four times as many as partitions, so their
     rows of ``right`` are few; these are repeated once for each share and the
-    rows of ``left`` are dealt among the copies. ``left`` is read twice.
+    rows of ``left`` are dealt among the copies by a hash of the columns ``by``
+    (all, if not given). ``left`` may be read twice.
     """
-    spark, parts = left.sparkSession, partitions(left.sparkSession)
+    spark, keys = left.sparkSession, [on] if isinstance(on, str) else list(on)
     if counts is None:
-        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.where(F.col(key).isNotNull())
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    share = max(1000, total // (4 * parts))
-    hot = [(r[0], -(-r[1] // share)) for r in counts.where(F.col("n") > share).select(key, "n").collect()]
+    share = max(1000, total // (4 * partitions(spark)))
+    hot = [(*r[:-1], -(-r[-1] // share)) for r in counts.where(F.col("n") > share).dropna(subset=keys).select(*keys, "n").collect()]
     if not hot:
-        return left.join(right, key)
-    kind = left.schema[key].dataType.simpleString()
-    salts = F.broadcast(spark.createDataFrame(hot, f"`{key}` {kind}, _salts int"))
-    dealt = left.join(salts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
-    copied = right.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+        return left.join(right, keys)
+    kinds = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
+    salts = F.broadcast(spark.createDataFrame(hot, f"{kinds}, _salts int"))
+    dealt = left.join(salts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*(by or left.columns)), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    copied = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"]).drop("_salt")
 
 
 def give_back() -> None:

@@ -126,7 +126,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(ok))
 
     # ``a`` is the member of a star and ``b`` its hub, which very many pairs may have.
-    joined = spread_join(pairs.join(left, "a"), right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    joined = spread_join(pairs.join(left, "a"), right, "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["a"])
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(judge), "a long, b long")
 
 
@@ -199,7 +199,7 @@ def links_in_groups(members: DataFrame, texts: DataFrame, threshold: float, bloc
     held = stored(members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep"), "near-groups")
     sizes = held.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     blocks = sizes.select("hub", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
-    placed = spread_join(held, blocks, "hub", sizes.select("hub", "n")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = spread_join(held, blocks, "hub", sizes.select("hub", "n"), ["rep"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = dealt.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label", "block", F.coalesce("text", F.lit("")).alias("text"))
     return tiles.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -251,7 +251,13 @@ def near_duplicates(
     without an id are left out. An empty table gives an empty result. Other
     columns are ignored.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(src, threshold, bands, rows, small_bucket, block_rows).drop("digest")
+
+
+def _classes(src: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 4, small_bucket: int = 12, block_rows: int = 1000) -> DataFrame:
+    """The result of ``near_duplicates`` for (``doc_id``, ``text``), and the ``digest`` of each row's text."""
+    src = src.where("doc_id is not null")
     signed = stored(_signed(src, bands, rows), "near-signed")
     reps = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-reps")
 
@@ -268,12 +274,18 @@ def near_duplicates(
     classes = spread_join(classes, sizes.select("class_id", "class_size"), "class_id", sizes.select("class_id", "n"))
     return (
         spread_join(signed.select("doc_id", "digest"), classes, "digest", reps.select("digest", F.col("copies").alias("n")))
-        .select("doc_id", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("copies").cast("long").alias("copies"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+        .select("doc_id", "digest", "class_id", F.col("class_size").cast("long").alias("class_size"), F.col("copies").cast("long").alias("copies"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, all columns: the smallest id of each near-duplicate class; rows without an id stay."""
-    gone = fresh(docs.columns, "_gone")
-    dropped = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone))
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    """The documents that stay, all columns: the smallest id of each near-duplicate class; rows without an id stay.
+
+    Takes the options of ``near_duplicates``. Of rows that repeat an id, those
+    whose own text is a copy go.
+    """
+    gone, of = fresh(docs.columns, "_gone"), fresh(docs.columns, "_digest")
+    found = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), **options)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias(gone), F.col("digest").alias(of))
+    text = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return docs.join(dropped, (F.col(id_col).cast("long") == F.col(gone)) & (text == F.col(of)), "left_anti")

@@ -127,6 +127,8 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 def weighted_sets(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, 48-bit shingle, number of times) sorted by text and shingle; each shingle once a text. At most 65,536 texts."""
+    if len(w.first) - 1 > 1 << 16:
+        raise ValueError("at most 65,536 texts at a time")
     owner, value = shingles(w)
     key = np.sort((owner.astype(np.uint64) << np.uint64(48)) | (value >> np.uint64(16)))
     fresh = np.ones(len(key), dtype=bool)
