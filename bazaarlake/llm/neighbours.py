@@ -2,15 +2,19 @@
 
 A bounded sample of vectors gives a neighbour graph. The graph is cut into
 balanced parts, and a softmax classifier learns to tell a vector's part. It
-then files every vector under its most probable part, and sends a query to its
-several most probable parts, whose vectors are ranked by exact inner product.
-How many parts a query visits is chosen on the sample, where the true
+then files every vector under its few most probable parts, and sends a query to
+its several most probable parts, whose vectors are ranked by exact inner
+product. How many parts a query visits is chosen on the sample, where the true
 neighbours are known. Equal vectors are one entry with their smallest ids.
+
+Where the sample cannot tell as many parts as the vectors need, each part is
+cut in the same way once more, by a sample of its own.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,33 +22,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sampled, stored
+from .common import give_back, sampled, stored, trimmed
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the vectors that graph and classifier are fitted on; every vector is indexed."""
+    """``sample`` bounds the vectors that a graph and its classifier are fitted on; every vector is indexed.
+
+    A vector is filed under ``copies`` parts; ``recall`` is what the visits of
+    a query must reach on the sample.
+    """
 
     sample: int = 4000
     part_rows: int = 1000
-    most_parts: int = 256
+    most_parts: int = 200
+    copies: int = 3
     neighbours: int = 12
-    recall: float = 0.985
+    recall: float = 0.95
     block_rows: int = 4000
     seed: int = 11
 
 
 @dataclass(frozen=True)
 class Router:
+    """The classifier of one level; ``children`` by part, where parts are cut again."""
+
     weights: np.ndarray
     bias: np.ndarray
     probes: int
+    copies: int = 1
+    children: tuple[Router | None, ...] = ()
+
+    @property
+    def parts(self) -> int:
+        return len(self.bias)
 
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """Parts of each vector, most probable first."""
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         return np.argsort(-(unit @ self.weights + self.bias), axis=1, kind="stable")
 
+    def leaves(self, x: np.ndarray, visits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, turn) of where each vector is filed, or of what a query visits; turn 0 is its most probable leaf."""
+        order = self.ranked(x)[:, : self.probes if visits else self.copies]
+        row, part = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
+        turn = np.tile(np.arange(order.shape[1]), len(x))
+        if not self.children:
+            return row, part, turn
+        width = max(c.parts for c in self.children if c) + 1
+        out = []
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            child = self.children[p]
+            r, leaf, t = child.leaves(x[row[at]], visits) if child else (np.arange(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64))
+            out.append((row[at[r]], p * width + leaf, turn[at[r]] * width + t))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
 
 def balanced_parts(graph: np.ndarray, x: np.ndarray, parts: int, seed: int) -> np.ndarray:
     """A part for each node: balanced k-means gives a start, then nodes move to where most of their neighbours are.
@@ -89,6 +122,7 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     parts = int(min(s.most_parts, max(1, total // s.part_rows), max(1, n // 20)))
     if parts == 1:
         return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), 1)
+    copies = min(s.copies, parts)
     k = min(s.neighbours, n - 1)
     graph = np.empty((n, k), dtype=np.int64)
     for a in range(0, n, 500):
@@ -108,9 +142,7 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w -= 0.3 * (mw / c1) / (np.sqrt(vw / c2) + 1e-9)
         b -= 0.3 * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    router = Router(w, b, parts)
-    order = router.ranked(sample)
-    home = order[:, 0]
+    order = Router(w, b, parts).ranked(sample)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(n, axis=0), axis=1)
     # Visits needed until a vector's sample neighbours are found: judged on as many neighbours as the search returns.
@@ -118,11 +150,45 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     likes = sample[asked] @ sample.T
     likes[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-likes, min(top, n - 1) - 1, axis=1)[:, : min(top, n - 1)]
-    need = place[asked[:, None], home[near]]
+    need = np.min([place[asked[:, None], order[near, c]] for c in range(copies)], axis=0)
     for probes in range(1, parts + 1):
         if (need < probes).mean() >= s.recall:
             break
-    return Router(w, b, probes)
+    return Router(w, b, probes, copies)
+
+
+def _matrix(column) -> np.ndarray:
+    """A list column of equally long vectors as rows of a matrix."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
+def _drawn(rows: DataFrame) -> np.ndarray:
+    return _matrix(rows.orderBy("entry").toArrow().column("v"))
+
+
+def fit_router(entries: DataFrame, total: int, top: int, s: Settings) -> Router:
+    """A router of one level, or of two where parts of ``s.part_rows`` would be more than the sample can tell."""
+    router = train_router(_drawn(sampled(entries, "entry", s.sample, total)), total, top, s)
+    if router.parts == 1 or total <= 2 * router.parts * s.part_rows:
+        return router
+    held = entries.sparkSession.sparkContext.broadcast(router)
+
+    def home(batches):
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            part = held.value.ranked(x)[:, 0] if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["entry", "v", "part"])
+
+    def fit(key, table):
+        child = train_router(_matrix(table.column("v")), int(table.column("n")[0].as_py()) * router.copies, top, s)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "router": pa.array([pickle.dumps(child)], pa.binary())})
+
+    filed = stored(entries.mapInArrow(trimmed(home), "entry long, v array<double>, part int"), "ann-homes")
+    sizes = filed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    some = filed.join(F.broadcast(sizes), "part").where(F.pmod(F.xxhash64("entry"), F.lit(1 << 32)) < F.least(F.lit(1.0), s.sample / F.col("n")) * float(1 << 32))
+    found = {r.part: pickle.loads(r.router) for r in some.groupBy("part").applyInArrow(fit, "part int, router binary").collect()}
+    return Router(router.weights, router.bias, router.probes, router.copies, tuple(found.get(p) for p in range(router.parts)))
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, top: int = 20, settings: Settings | None = None) -> DataFrame:
@@ -149,57 +215,53 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     same = Window.partitionBy("v").orderBy("vec_id")
     copies = src.withColumn("k", F.row_number().over(same)).where(F.col("k") <= top + 1)
     entries = stored(copies.groupBy("v").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-entries")
-    total = entries.count()
-    drawn = sampled(entries.select("entry", "v"), "entry", s.sample, total).orderBy("entry").toArrow()
-    router = train_router(np.array(drawn.column("v").to_pylist(), dtype=np.float64).reshape(-1, width.d), total, top, s)
-    held = spark.sparkContext.broadcast(router)
+    held = spark.sparkContext.broadcast(fit_router(entries.select("entry", "v"), entries.count(), top, s))
 
     def file(visits):
         def run(batches):
-            r = held.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                order = r.ranked(x)[:, : (r.probes if visits else 1)]
-                at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
-                visit = np.tile(np.arange(order.shape[1], dtype=np.int32), len(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel().astype(np.int32)), pa.array(visit)], ["id", "v", "part", "visit"])
-
-        return run
-
-    kind = "id long, v array<double>, part int, visit int"
-    filed = entries.select("entry", "v").mapInArrow(file(False), kind)
-    asked = src.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(file(True), kind)
-    # A part may be large: it is cut into blocks of about ``block_rows``, and a query visits each block.
-    filed = stored(filed, "ann-filed")
-    sizes = filed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias("blocks"))
-    blocked = filed.join(F.broadcast(sizes), "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("part", "block", "id", "v")
-    visits = asked.join(F.broadcast(sizes), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "id", "v", "visit")
+                if len(batch):
+                    row, leaf, turn = held.value.leaves(_matrix(batch.column(1)), visits)
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(leaf.astype(np.int64)), pa.array(turn.astype(np.int64))], ["id", "v", "part", "visit"])
+
+        return trimmed(run)
+
+    kind = "id long, v array<double>, part long, visit long"
+    filed = stored(entries.select("entry", "v").mapInArrow(file(False), kind), "ann-filed")
+    asked = stored(src.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(file(True), kind), "ann-asked")
+
+    # A part and the queries that visit it may both be many: each is cut into blocks of about ``block_rows``, and each two blocks meet.
+    def cut(rows, name):
+        return rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / s.block_rows).cast("int").alias(name))
+
+    sizes = F.broadcast(stored(cut(filed, "blocks").join(cut(asked, "sides"), "part"), "ann-sizes"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocked = filed.join(sizes, "part").withColumn("block", own("blocks")).withColumn("side", all_of("sides")).select("part", "block", "side", "id", "v")
+    visits = asked.join(sizes, "part").withColumn("side", own("sides")).withColumn("block", all_of("blocks")).select("part", "block", "side", "id", "v", "visit")
 
     def rank(left, right):
-        out = {"query_id": [], "entry": [], "score": []}
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            x = np.array(right.column("v").to_pylist(), dtype=np.float64)
-            ids = right.column("id").to_numpy()
-            queries = np.array(left.column("v").to_pylist(), dtype=np.float64)
-            names = left.column("id").to_numpy()
-            floor = left.column("floor").to_numpy()
+            x, queries = _matrix(right.column("v")), _matrix(left.column("v"))
+            ids, names, floor = (t.column(c).to_numpy() for t, c in ((right, "id"), (left, "id"), (left, "floor")))
             keep = min(top + 1, len(ids))
+            # What rounding may have changed in a product of these lengths.
+            slack = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(x, axis=1).max()
             for a in range(0, len(queries), 256):
                 likes = queries[a : a + 256] @ x.T
                 best = -np.partition(-likes, keep - 1, axis=1)[:, keep - 1]
-                q, c = np.nonzero(likes >= np.maximum(best, floor[a : a + 256])[:, None] - 1e-9)
+                q, c = np.nonzero(likes >= (np.maximum(best, floor[a : a + 256]) - slack[a : a + 256])[:, None])
                 # Summed in the same way for every pair, so that equal vectors score alike wherever they stand.
-                exact = (queries[a + q] * x[c]).sum(axis=1)
-                out["query_id"].append(names[a + q])
-                out["entry"].append(ids[c])
-                out["score"].append(exact)
-        flat = {k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}
-        return pa.table({"query_id": pa.array(flat["query_id"].astype(np.int64)), "entry": pa.array(flat["entry"].astype(np.int64)), "score": pa.array(flat["score"].astype(np.float64))})
+                for column, found in zip(out, (names[a + q], ids[c], (queries[a + q] * x[c]).sum(axis=1))):
+                    column.append(found)
+            give_back()
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "entry", "score"), out)})
 
     def ranked(some):
-        return some.groupBy("part", "block").cogroup(blocked.groupBy("part", "block")).applyInArrow(rank, "query_id long, entry long, score double")
+        keys = ("part", "block", "side")
+        return some.groupBy(*keys).cogroup(blocked.groupBy(*keys)).applyInArrow(rank, "query_id long, entry long, score double")
 
     # The first part visited gives each query a score that its nearest reach; from other parts only better entries are sent.
     first = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
@@ -207,7 +269,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     home = stored(home.drop("k"), "ann-home")
     floors = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).select("query_id", F.when(F.col("n") > top, F.col("least")).alias("least"))
     other = visits.where("visit > 0").join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("least", F.lit(float("-inf"))))
-    found = home.unionByName(ranked(other.select("part", "block", "id", "v", "floor")))
+    # An entry filed under several parts is found several times.
+    found = home.unionByName(ranked(other.select("part", "block", "side", "id", "v", "floor"))).groupBy("query_id", "entry").agg(F.max("score").alias("score"))
     # Entries are cut to the top + 1 best before their copies are listed: each brings at least one id.
     found = found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= top + 1).drop("k")
     listed = found.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
