@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, trimmed
 
-START, END = "<|im_start|>", "<|im_end|>"
+START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|n|>"
 _OPEN = re.compile(r"<(\\*)\|")
 _CLOSED = re.compile(r"<\\(\\*)\|")
 
@@ -34,6 +34,15 @@ def unescape(text: str) -> str:
     return _CLOSED.sub(r"<\1|", text)
 
 
+def head_of(role: str) -> str:
+    """A role on one line: its newlines become a mark that no escaped text holds."""
+    return escape(role).replace("\n", NEWLINE)
+
+
+def role_of(head: str) -> str:
+    return unescape(head.replace(NEWLINE, "\n"))
+
+
 class ChatCoder:
     """Ids of segments by a byte-level tokenizer, and back; the two marks have the ids after its vocabulary."""
 
@@ -81,9 +90,8 @@ def format_chat(turns: DataFrame, tokenizer_path: str, learn_roles: tuple[str, .
     equal if none). A conversation's ids are its turns' ids, one after the
     other; they are never gathered in one row, so conversations may be of any
     length. Turns are ordered by ``turn`` (nulls first), ties by role and text.
-    Null roles and texts are empty ones; a role keeps no newline (it becomes a
-    space) and its control strings are escaped. Repeated rows are turns of
-    their own. A null ``conv_id`` is a conversation. An empty table gives an
+    Null roles and texts are empty ones; newlines and control strings of a role
+    are escaped reversibly too. Repeated rows are turns of their own. A null ``conv_id`` is a conversation. An empty table gives an
     empty result. Other columns are ignored.
     """
     roles = list(learn_roles)
@@ -93,7 +101,7 @@ def format_chat(turns: DataFrame, tokenizer_path: str, learn_roles: tuple[str, .
         for batch in batches:
             ids, begins, ends = [], [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found, begin, end = coder.turn(escape(role.replace("\n", " ")), text)
+                found, begin, end = coder.turn(head_of(role), text)
                 ids.append(found)
                 begins.append(begin)
                 ends.append(end if role in roles else begin)
@@ -102,7 +110,7 @@ def format_chat(turns: DataFrame, tokenizer_path: str, learn_roles: tuple[str, .
             )
 
     src = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = src.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, loss_begin long, loss_end long")
+    coded = src.mapInArrow(trimmed(encode), "conv_id long, turn long, role string, text string, ids array<int>, loss_begin long, loss_end long")
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0))
     return coded.withColumn("begin", begin).withColumns({"loss_begin": F.col("loss_begin") + F.col("begin"), "loss_end": F.col("loss_end") + F.col("begin")})
@@ -135,7 +143,7 @@ def chat_digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
                 role, text, written = coder.read(ids)
                 covered = unescape(coder.decode(ids[lo - begin : hi - begin])) if hi > lo else ""
                 state["n"] += 1
-                state["turns"].update(f"{unescape(role)}\n{text}\n".encode())
+                state["turns"].update(f"{role_of(role)}\n{text}\n".encode())
                 state["chars"] += len(covered)
                 state["loss"].update(covered.encode())
                 state["written"] += len(written)
@@ -146,4 +154,4 @@ def chat_digests(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
 
     n = partitions(formatted.sparkSession)
     ordered = formatted.select("conv_id", "begin", "ids", "loss_begin", "loss_end").repartition(n, "conv_id").sortWithinPartitions("conv_id", "begin")
-    return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(trimmed(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

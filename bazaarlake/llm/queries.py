@@ -119,7 +119,8 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length(role) + length(regexp_replace(text, '<(\\\\*)\\|', '<x\\1|', 'g')) + 24) as bigint) as formatted_chars
+  cast(sum(length(replace(regexp_replace(role, '<(\\\\*)\\|', '<x\\1|', 'g'), chr(10), '<|n|>'))
+    + length(regexp_replace(text, '<(\\\\*)\\|', '<x\\1|', 'g')) + 24) as bigint) as formatted_chars
 from t group by conv_id
 """
 
