@@ -9,6 +9,7 @@ batches, with the broadcast model (a few hundred kilobytes).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled
+from .common import fold, trimmed
 
 _P = np.uint32(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the labelled rows that the weights are fitted on."""
+    """``sample`` bounds the labelled rows that the weights are fitted on; a rare language adds its share of a quarter of it at most."""
 
     features_log2: int = 13
     longest: int = 3
@@ -102,7 +103,7 @@ def document_frequencies(learn: DataFrame, s: Settings) -> tuple[np.ndarray, int
             n += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, size), pa.int32()), pa.array(np.concatenate([[n], df]))], ["feature", "df"])
 
-    rows = learn.select("text").mapInArrow(count, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
+    rows = learn.select("text").mapInArrow(trimmed(count), "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     table = {r.feature: r.df for r in rows}
     return np.array([table.get(k, 0) for k in range(size)], dtype=np.float64), int(table.get(-1, 0))
 
@@ -165,6 +166,17 @@ class Model:
         return names, scores
 
 
+def by_language(learn: DataFrame, s: Settings) -> DataFrame:
+    """About ``s.sample`` rows by their hashed ids, and of a rare language more than its share, so that each is learned."""
+    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return learn
+    total, least = sum(counts.values()), max(1, s.sample // (4 * len(counts)))
+    share = {name: min(1.0, max(s.sample / total, least / n)) for name, n in counts.items()}
+    cuts = F.create_map(*[x for name, part in sorted(share.items()) for x in (F.lit(name), F.lit(int(math.ldexp(part, 32))).cast("long"))])
+    return learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < cuts[F.col("lang")])
+
+
 def train(learn: DataFrame, settings: Settings | None = None) -> Model | None:
     """Fit a model on ``learn`` (``doc_id, text, lang``); None if it has no labelled text with a letter."""
     s = settings or Settings()
@@ -186,9 +198,9 @@ def train(learn: DataFrame, settings: Settings | None = None) -> Model | None:
                     val.append(row[at].astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "x"])
 
-    chosen = sampled(learn, "doc_id", s.sample, total)
-    rows = chosen.select("text", "doc_id", "lang").mapInArrow(features, "doc_id long, lang string, at array<int>, x array<float>").where(F.size("at") > 0)
-    rows = sorted(rows.limit(s.sample + s.sample // 2).toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    chosen = by_language(learn, s)
+    rows = chosen.select("text", "doc_id", "lang").mapInArrow(trimmed(features), "doc_id long, lang string, at array<int>, x array<float>").where(F.size("at") > 0)
+    rows = sorted(rows.limit(2 * s.sample).toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
@@ -222,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             names, scores = m.predict(texts) if m else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(score), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
