@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import fresh, partitions, stored, trimmed
 from .tokens import word_encoder
 
 
@@ -123,7 +123,7 @@ def token_pieces(
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encode), schema)
 
 
 def pack(pieces: DataFrame, length_col: str = "length", order_cols: tuple[str, ...] = ("doc_id", "piece"), capacity: int = 2048) -> DataFrame:
@@ -140,25 +140,20 @@ def pack(pieces: DataFrame, length_col: str = "length", order_cols: tuple[str, .
     pieces = pieces.select(*[c for c in pieces.columns if c not in ("sequence_id", "offset")])
     # Ranks within a length, counted by part so that a common length is not one task: parts are cut by hash.
     parts = max(partitions(spark), 1)
-    keyed = pieces.withColumn("_part", F.pmod(F.xxhash64(*order_cols), F.lit(parts)).cast("int"))
-    sizes = keyed.groupBy("_part", F.col(length_col).alias("_len")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = stored(sizes, "pack-sizes")
+    part, size, base, rank, spot = (fresh(pieces.columns, c) for c in ("_part", "_len", "_base", "_rank", "_place"))
+    keyed = pieces.withColumn(part, F.pmod(F.xxhash64(*order_cols), F.lit(parts)).cast("int")).withColumn(size, F.col(length_col))
+    sizes = stored(keyed.groupBy(part, size).agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
     histogram = np.zeros(capacity + 1, dtype=np.int64)
-    for row in sizes.groupBy("_len").agg(F.sum("_n").alias("n")).collect():
+    for row in sizes.groupBy(size).agg(F.sum("n").alias("n")).collect():
         if row[0] is None or not 1 <= row[0] <= capacity:
             raise ValueError(f"a piece has length {row[0]}, not 1 to {capacity}")
         histogram[row[0]] = row.n
     table = spark.sparkContext.broadcast(slots(best_two_fit(histogram, capacity)))
 
-    before = Window.partitionBy("_len").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_len", "_base")
-    within = Window.partitionBy("_part", "_len").orderBy(*order_cols)
-    ranked = (
-        keyed.withColumn("_len", F.col(length_col))
-        .withColumn("_rank", F.row_number().over(within) - 1)
-        .join(starts, ["_part", "_len"])
-        .withColumn("_rank", F.col("_rank") + F.col("_base"))
-    )
+    before = Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, size, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(part, size).orderBy(*order_cols)
+    ranked = keyed.withColumn(rank, F.row_number().over(within) - 1).join(starts, [part, size]).withColumn(rank, F.col(rank) + F.col(base))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
@@ -170,8 +165,8 @@ def pack(pieces: DataFrame, length_col: str = "length", order_cols: tuple[str, .
         at = np.searchsorted(key, length.to_numpy(np.int64) * width + rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": t["sequence"][at] + rank.to_numpy() - t["rank"][at], "offset": t["offset"][at]})
 
-    placed = ranked.withColumn("_place", place("_len", "_rank"))
-    return placed.select(*pieces.columns, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    placed = ranked.withColumn(spot, place(size, rank))
+    return placed.select(*pieces.columns, F.col(f"{spot}.sequence_id").alias("sequence_id"), F.col(f"{spot}.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, with_ids: bool = False) -> DataFrame:
