@@ -188,7 +188,7 @@ def toxic_contexts(learn: DataFrame, s: Settings) -> DataFrame:
     def emit(batches):
         for batch in batches:
             found, contexts = [], []
-            for text in batch.column(0).to_pylist():
+            for text in filter(None, batch.column(0).to_pylist()):
                 words = ["", *_WORD.findall(text.lower()), ""]
                 for x, k in _first_places(words[1:-1], s).items():
                     found.append(x)
@@ -207,7 +207,8 @@ def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
     """(``stem``, ``toxic``, ``clean``): toxic contexts, and clean texts that hold the stem.
 
     A Bloom filter of the stems that toxic texts have (16 MB at most) keeps
-    all other stems of clean texts where they are.
+    all other stems of clean texts where they are. Null texts have no stems; a
+    repeated text counts once among the toxic and each time among the clean.
     """
     spark = learn.sparkSession
     toxic = stored(toxic_contexts(learn, s), "toxic-contexts")
@@ -219,7 +220,7 @@ def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
         held: dict[str, bool] = {}
         for batch in batches:
             counts: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
+            for text in filter(None, batch.column(0).to_pylist()):
                 found = {x for w in set(_WORD.findall(text.lower())) for x in stems(w, s)}
                 new = [x for x in found if x not in held]
                 held.update(zip(new, bloom.hits(packed, _stem_hashes(new), bits).tolist()))
@@ -235,7 +236,10 @@ def stem_counts(learn: DataFrame, s: Settings) -> DataFrame:
 
 
 def learn_grammar(learn: DataFrame, settings: Settings | None = None) -> Grammar:
-    """Learn from rows (``doc_id``, ``text``, ``toxic``); without toxic or clean rows the lexicon is empty.
+    """Learn from rows (``doc_id``, ``text``, ``toxic``).
+
+    Without toxic or clean rows, or where no stem tells them apart, the lexicon
+    is empty and every score low. Null texts and other labels are left out.
 
     A stem needs so many toxic contexts that chance would give about one such
     stem in all at the share of toxic texts.
@@ -255,6 +259,8 @@ def learn_grammar(learn: DataFrame, settings: Settings | None = None) -> Grammar
     best = counts.where(F.col("toxic") >= least).withColumn("w", weight - doubt).where(F.col("w") >= s.least_weight)
     lexicon = own_evidence({r.stem: r.w for r in best.orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "stem").limit(s.stems).collect()})
     grammar = Grammar(lexicon, s)
+    if not lexicon:
+        return grammar
     sample = sampled(learn.select("doc_id", "text", F.col("toxic").alias("label")), "doc_id", s.sample, sum(n.values()))
     rows = evidence_of(sample, grammar, "label").limit(2 * s.sample).collect()
     x = np.array([math.log1p(r.evidence) for r in rows])
@@ -339,12 +345,17 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", te
     input row, repeated rows too; an empty table gives an empty result; other
     columns are ignored.
     """
-    found = evidence_of(docs.select(id_col, F.col(text_col).alias("text")), grammar, id_col)
-    return found.select(id_col, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    found = evidence_of(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), grammar, "id")
+    return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> DataFrame:
-    """The documents below ``threshold``, all columns as they were."""
+    """The documents below ``threshold``, all columns as they were, whatever their names.
+
+    Null and empty texts have no evidence and stay. Repeated rows are judged
+    alike, rows without an id as all others. An empty table gives an empty
+    result.
+    """
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     held = docs.sparkSession.sparkContext.broadcast(grammar)
