@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefeatures import age_group, with_time_features
+from . import long_users
 
 ENRICHED = [
     "transaction_id", "user_id", "product_id", "merchant_id", "amount", "timestamp", "location", "payment_method", "transaction_category",
@@ -37,20 +38,26 @@ def joined(transactions: DataFrame, users: DataFrame, products: DataFrame, merch
     return tx.select(*ENRICHED)
 
 
-def enrich(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False) -> DataFrame:
+def enrich(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False, hot_users: list[str | None] = ()) -> DataFrame:
     """31 columns: the joined ones, six time features, rank and count per user, and the age group.
 
-    Equal timestamps of a user are ranked by ``transaction_id``.
+    Equal timestamps of a user are ranked by ``transaction_id``. Users named in
+    ``hot_users`` (see ``long_users.hot_users``) are joined and ranked in several
+    tasks each, with the same result.
     """
     user = Window.partitionBy("user_id")
-    wide = with_time_features(joined(transactions, users, products, merchants, broadcast))
-    return wide.withColumns(
-        {
-            "transaction_rank": F.row_number().over(user.orderBy("timestamp", "transaction_id")),
-            "transaction_count": F.count(F.lit(1)).over(user),
-            "age_group": age_group(F.col("age")),
-        }
-    )
+
+    def usual(df: DataFrame) -> DataFrame:
+        return df.withColumns({"transaction_rank": F.row_number().over(user.orderBy("timestamp", "transaction_id")), "transaction_count": F.count(F.lit(1)).over(user)})
+
+    if hot_users:
+        hot = long_users.is_hot(hot_users)
+        few = users.where(F.col("user_id").isin([u for u in hot_users if u is not None]))  # their rows are as few as they are
+        wide = joined(transactions.where(~hot), users, products, merchants, broadcast)
+        wide = wide.unionByName(joined(transactions.where(hot), F.broadcast(few), products, merchants, broadcast))
+    else:
+        wide = joined(transactions, users, products, merchants, broadcast)
+    return long_users.split(with_time_features(wide), hot_users, usual, long_users.ranks).withColumn("age_group", age_group(F.col("age")))
 
 
 def broadcast_merchant_join(transactions: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
 from ..functions.timefeatures import parse_prefix
+from . import long_users
 
 _DAY = 86_400
 
@@ -35,29 +36,36 @@ def active_days(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return joined.withColumn("active_days_7d", F.coalesce(F.col("_inside") + edge, F.lit(0)).cast("int")).drop("_user", "_date", "_inside", "_edge")
 
 
-def window_analysis(enriched: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Adds parsed time and date, seven-day amount and active days, activity flag and days since the last transaction."""
+def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] = ()) -> DataFrame:
+    """Adds parsed time and date, seven-day amount and active days, activity flag and days since the last transaction.
+
+    Users named in ``hot_users`` are windowed in several tasks each.
+    """
     ts = parse_prefix(F.col("timestamp"))
     df = enriched.withColumn("transaction_datetime", ts).withColumn("transaction_date", F.to_date("transaction_datetime"))
     df = active_days(df, limits)
-    user = Window.partitionBy("user_id")
-    ordered = user.orderBy("transaction_datetime", "transaction_id")
-    frame = user.orderBy(F.unix_timestamp("transaction_datetime")).rangeBetween(-limits.window_seconds, 0)
-    before = F.lag("transaction_datetime", 1).over(ordered)
+
+    def usual(rows: DataFrame) -> DataFrame:
+        user = Window.partitionBy("user_id")
+        frame = user.orderBy(F.unix_timestamp("transaction_datetime")).rangeBetween(-limits.window_seconds, 0)
+        before = F.lag("transaction_datetime", 1).over(user.orderBy("transaction_datetime", "transaction_id"))
+        return rows.withColumns({"cumulative_amount_7d": F.sum("amount").over(frame), "_before": before})
+
+    df = long_users.split(df, hot_users, usual, lambda rows: long_users.frames(rows, limits.window_seconds))
     return df.withColumns(
         {
-            "cumulative_amount_7d": F.sum("amount").over(frame),
             "active_user_7d": F.when(F.col("active_days_7d") >= limits.active_days, 1).otherwise(0),
-            "days_since_previous_transaction": (F.unix_timestamp("transaction_datetime") - F.unix_timestamp(before)) / F.lit(86400.0),
+            "days_since_previous_transaction": (F.unix_timestamp("transaction_datetime") - F.unix_timestamp("_before")) / F.lit(86400.0),
         }
-    )
+    ).drop("_before")
 
 
-def detect_suspicious(windowed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def detect_suspicious(windowed: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] = ()) -> DataFrame:
     """Adds the average of earlier amounts, four flags, their sum and the verdict (two flags or more)."""
     earlier = Window.partitionBy("user_id").orderBy("transaction_datetime", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
     flag = lambda c: F.when(c, 1).otherwise(0)
-    df = windowed.withColumn("historical_average_amount", F.avg("amount").over(earlier)).withColumns(
+    averaged = long_users.split(windowed, hot_users, lambda rows: rows.withColumn("historical_average_amount", F.avg("amount").over(earlier)), long_users.earlier_average)
+    df = averaged.withColumns(
         {
             "amount_above_300_percent": flag(F.col("historical_average_amount").isNotNull() & (F.col("amount") > limits.outlier_factor * F.col("historical_average_amount"))),
             "night_transaction": flag(F.col("day_period") == "Night"),

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cohorts, enrich, merchants, products, rfm, validation, windows
+from ..operators import cohorts, enrich, long_users, merchants, products, rfm, validation, windows
 from ..sources import io
 
 Tables = dict[str, DataFrame]
@@ -32,7 +32,9 @@ def run_validation(tables: Tables) -> tuple[Tables, Tables]:
 
 
 def run_transformation(tables: Tables, broadcast: bool = False) -> DataFrame:
-    return enrich.enrich(tables["transactions"], tables["users"], tables["products"], tables["merchants"], broadcast)
+    """The enriched transactions; users with very many of them are found first."""
+    hot = long_users.hot_users(tables["transactions"])
+    return enrich.enrich(tables["transactions"], tables["users"], tables["products"], tables["merchants"], broadcast, hot)
 
 
 def run_wide_transformation(tables: Tables) -> DataFrame:
@@ -40,6 +42,12 @@ def run_wide_transformation(tables: Tables) -> DataFrame:
     return enrich.enrich_broadcast(tables["transactions"], tables["users"], tables["products"], tables["merchants"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def run_detection(enriched: DataFrame) -> DataFrame:
+    """Suspicion flags; users with very many transactions are found first."""
+    hot = long_users.hot_users(enriched)
+    return windows.detect_suspicious(windows.window_analysis(enriched, hot_users=hot), hot_users=hot)
+
+
 Report = Callable[[], DataFrame]
 WRITERS = 4  # results that are written at the same time
 
@@ -47,7 +55,7 @@ WRITERS = 4  # results that are written at the same time
 def reports(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, Report]:
     """What makes each report, by the name it is written under; those in ``derived`` are made from others."""
     return {
-        "merchant_performance_suspicion": lambda: merchants.merchant_report_with_suspicion(enriched, windows.detect_suspicious(windows.window_analysis(enriched))),
+        "merchant_performance_suspicion": lambda: merchants.merchant_report_with_suspicion(enriched, run_detection(enriched)),
         "rfm_analysis": lambda: rfm.rfm(transactions, users),
         "cohort_analysis": lambda: cohorts.cohort_analysis(transactions),
         "merchant_performance": lambda: merchants.merchant_report(enriched),

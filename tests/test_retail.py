@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bazaarlake import schemas
 from bazaarlake.functions import timefeatures as tf
-from bazaarlake.operators import cohorts, enrich, merchants, products, ranking, rfm, validation, windows
+from bazaarlake.operators import cohorts, enrich, long_users, merchants, products, ranking, rfm, validation, windows
 from bazaarlake.plans import fixtures, jobs, registry
 from bazaarlake.sources import io
 
@@ -103,6 +103,29 @@ def test_active_days_equal_the_plain_form(spark):
     assert both.count() == 300 and both.where("n <> active_days_7d").count() == 0
 
 
+def test_hot_users_give_the_same_rows_as_all_others(spark, monkeypatch):
+    monkeypatch.setattr(long_users, "SPLITS", 7)
+    rng = random.Random(17)
+    stamp = lambda: rng.choice([None, "bad", f"202401{rng.randint(1, 28):02d}{rng.randint(0, 23):02d}{rng.choice([0, 30]):02d}{rng.choice([0, 1]):02d}"])
+    rows = [tx(i, user=rng.choice(["A", "A", "B", None, None, "C"]), amount=rng.choice([None, round(rng.uniform(1, 500), 2), 20.0]), ts=stamp() if rng.random() < 0.2 else f"202401{rng.randint(1, 28):02d}{rng.randint(0, 23):02d}3000") for i in range(500)]
+    users = spark.createDataFrame([("A", 30, 1.0, "c", "s", ["a"], "d"), ("B", 50, 1.0, "c", "s", ["a"], "d")], schemas.USERS)
+    items = spark.createDataFrame([("P1", "pen", "pens", 1.0, "M1", 4.0, 3)], schemas.PRODUCTS)
+    shops = spark.createDataFrame([("M1", "shop", "x", "north", 0.1, "d")], schemas.MERCHANTS)
+    found = long_users.hot_users(frame(spark, rows), least=100)
+    assert set(found) == {"A", None}
+
+    def run(hot):
+        enriched = enrich.enrich(frame(spark, rows), users, items, shops, hot_users=hot)
+        out = windows.detect_suspicious(windows.window_analysis(enriched, hot_users=hot), hot_users=hot)
+        return [(f.name, f.dataType) for f in out.schema.fields], {r.transaction_id: r.asDict() for r in out.collect()}
+
+    (names, want), (same, got) = run([]), run(found)
+    assert sorted(map(str, names)) == sorted(map(str, same)) and set(got) == set(want) and len(want) == 500
+    for k, row in want.items():
+        for c, v in row.items():
+            assert got[k][c] == (pytest.approx(v, abs=1e-6) if isinstance(v, float) else v), (k, c)
+
+
 def test_suspicion_flags(spark):
     rows = [tx(1, ts="20240101120000"), tx(2, ts="20240101120459", amount=30.0), tx(3, ts="20240101120959", amount=60.01), tx(4, ts="20240101120959", amount=1.0, pay="Crypto")]
     df = tf.with_time_features(frame(spark, rows))
