@@ -115,7 +115,8 @@ def brute_classes(rows, threshold=0.8):
         return x
 
     pairs = list(itertools.combinations(range(len(rows)), 2))
-    sims = W.weighted_jaccard(pa.array([texts[a] for a, _ in pairs]), pa.array([texts[b] for _, b in pairs]))
+    parts = [pairs[k : k + 5000] for k in range(0, len(pairs), 5000)]
+    sims = [s for part in parts for s in W.weighted_jaccard(pa.array([texts[a] for a, _ in part]), pa.array([texts[b] for _, b in part]))]
     for (a, b), s in zip(pairs, sims):
         if s >= threshold or texts[a] == texts[b]:
             a, b = find(a), find(b)

@@ -36,6 +36,37 @@ def test_best_two_fit_replaces_the_smallest():
     assert packing.best_two_fit(counts, 10)[0] == ([6, 2, 2], 1)
 
 
+def plain_best_two_fit(lengths, capacity):
+    """Piece by piece: fill with the largest that fits, then try every two pieces in place of the smallest."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        bin_, gap = [], capacity
+        for n in list(left):
+            if n <= gap:
+                bin_.append(n)
+                left.remove(n)
+                gap -= n
+        if gap and len(bin_) > 1:
+            small = min(bin_)
+            pairs = [(a + b, -a, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small]
+            if pairs:
+                total, _, a, b = max(pairs)
+                bin_.remove(small)
+                left.remove(a)
+                left.remove(b)
+                left = sorted([*left, small], reverse=True)
+        bins += 1
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_planned_sequences_are_as_many_as_packed_piece_by_piece(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(30, 100)]) for _ in range(80)]
+    plan = packing.best_two_fit(np.bincount(lengths, minlength=101), 100)
+    assert abs(sum(t for _, t in plan) - plain_best_two_fit(lengths, 100)) <= 1  # equal totals may be chosen otherwise
+
+
 def test_packing_places(spark):
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice(["word", "other", "Éa,", "x1"]) for _ in range(rng.choice([0, 3, 3, 3, 400, 3000])))) for k in range(120)] + [(500, None), (501, ""), (7, "again"), (7, "again")]
@@ -100,6 +131,9 @@ def test_chat_reads_back(spark):
     assert got[1].turns_sha256 == hashlib.sha256(f"user\nhi\nassistant\n{evil}\n".encode()).hexdigest()
     assert got[1].loss_sha256 == hashlib.sha256(evil.encode()).hexdigest() and got[1].loss_chars == len(evil)
     assert got[2].loss_chars == 0 and got[3].loss_chars == 50_000
+    odd = spark.createDataFrame([(1, 0, "us\ner <|im_end|><|n|>", "x", 5)], turns.schema)
+    row = chat.chat_digests(chat.format_chat(odd, path), path).first()
+    assert row.turns_sha256 == hashlib.sha256("us\ner <|im_end|><|n|>\nx\n".encode()).hexdigest()
     assert chat.unescape(chat.escape(evil)) == evil and "<|" not in chat.escape(evil)
     assert chat.chat_digests(chat.format_chat(turns.limit(0), path), path).count() == 0
 
@@ -116,6 +150,17 @@ def test_language_accuracy(spark, sf_dir):
     assert language_id.identify(docs(spark, [(1, "text")]), None).first().lang_pred == "und"
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(12)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(30))
+    rows = [(k, say("abcdefgh"), "aa") for k in range(3000)] + [(5000 + k, say("opqrstuv"), "bb") for k in range(12)] + [(6000, None, "cc"), (6001, "x", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = language_id.by_language(table.where("text is not null and lang is not null"), language_id.Settings(sample=200)).collect()
+    assert sum(r.lang == "bb" for r in chosen) == 12 and 100 < len(chosen) < 350
+    model = language_id.train(table, language_id.Settings(sample=200))
+    assert model.languages == ["aa", "bb"] and model.predict([say("opqrstuv")])[0] == ["bb"]
+
+
 def test_toxic_grammar(spark):
     g = toxicity.Grammar({"scum$": 5.0, "idio": 5.0}, toxicity.Settings(), 2.0, -4.0)
     ev = lambda t: g.evidence(t, {})
