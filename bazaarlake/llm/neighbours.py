@@ -38,7 +38,7 @@ class Settings:
     most_parts: int = 200
     copies: int = 3
     neighbours: int = 12
-    recall: float = 0.95
+    recall: float = 0.91
     block_rows: int = 4000
     seed: int = 11
 
@@ -146,7 +146,7 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(n, axis=0), axis=1)
     # Visits needed until a vector's sample neighbours are found: judged on as many neighbours as the search returns.
-    asked = np.random.default_rng(s.seed).choice(n, min(n, 500), replace=False)
+    asked = np.random.default_rng(s.seed).choice(n, min(n, 1000), replace=False)
     likes = sample[asked] @ sample.T
     likes[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-likes, min(top, n - 1) - 1, axis=1)[:, : min(top, n - 1)]
