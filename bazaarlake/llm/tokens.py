@@ -12,8 +12,9 @@ import numpy as np
 # str.split() also splits at these four, which the tokenizer takes as ordinary characters.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 # A mark before a comma or full stop is one token with it, so these must not be parted.
-# Lower-casing before composing matters with combining marks and final sigma; "<|" may begin a special token.
-_KEEP = re.compile(r"[^\w\s][,.]|_[,.]|<\||[\u0300-\u036f\u03a3\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
+_GLUED = re.compile(r"[,.](?<=[^\w\s][,.]|_[,.])")
+# Lower-casing before composing matters with combining marks and final sigma.
+_MARKS = re.compile("[\u0300-\u036f\u03a3\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _END_OF_WORD = re.compile(r"([,.])(?=\s|$)")
 
 
@@ -32,7 +33,8 @@ def plainer(text: str) -> str:
 
     Texts in which that could change an id are returned as they are.
     """
-    if _KEEP.search(text):
+    # "<|" may begin a special token.
+    if "<|" in text or _GLUED.search(text) or not text.isascii() and _MARKS.search(text):
         return text
     return _END_OF_WORD.sub(r" \1", text.lower())
 
