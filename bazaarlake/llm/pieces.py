@@ -16,25 +16,30 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 SPACE = "▁"
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
 class PieceCoder:
-    """Encoder and decoder of one model; ``limit`` bounds each of two generations of remembered cuts."""
+    """Encoder and decoder of one model; ``limit`` bounds each of two generations of remembered cuts.
 
-    def __init__(self, path: str, limit: int = 200_000):
-        import ahocorasick
+    The automaton is built when it is first needed: a worker that decodes has none.
+    """
+
+    def __init__(self, path: str, limit: int = 100_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.automaton = ahocorasick.Automaton()
+        self.pieces: list[tuple[str, float, int]] = []
         self.texts: list[bytes] = []
         self.byte_ids = [0] * 256
         lowest = 0.0
@@ -50,14 +55,23 @@ class PieceCoder:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError("a piece crosses into a space mark; texts could not be cut there")
                 self.texts.append(piece.replace(SPACE, " ").encode())
-                self.automaton.add_word(piece, (len(piece), model.get_score(i), i))
+                self.pieces.append((piece, model.get_score(i), i))
                 lowest = min(lowest, model.get_score(i))
-        self.automaton.make_automaton()
         self.unknown = lowest - 10.0
         self.limit = limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        built = ahocorasick.Automaton()
+        for piece, score, i in self.pieces:
+            built.add_word(piece, (len(piece), score, i))
+        built.make_automaton()
+        return built
+
     def _viterbi(self, cut: str) -> bytes:
         n = len(cut)
         best = [0.0] + [float("-inf")] * n
@@ -138,7 +152,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             found = [coder.encode(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(encode, f"`{id_col}` {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(encode), f"`{id_col}` {kind}, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -151,7 +165,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -
             texts = [None if b is None else coder.decode(b) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return encoded.select(id_col, "ids").mapInArrow(decode, f"`{id_col}` {kind}, text string")
+    return encoded.select(id_col, "ids").mapInArrow(trimmed(decode), f"`{id_col}` {kind}, text string")
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,5 +182,5 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 [id_col, "n_pieces", "ids_crc32", "text"],
             )
 
-    found = encoded.mapInArrow(digest, f"`{id_col}` {kind}, n_pieces long, ids_crc32 long, text string")
+    found = encoded.mapInArrow(trimmed(digest), f"`{id_col}` {kind}, n_pieces long, ids_crc32 long, text string")
     return found.select(id_col, "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
