@@ -151,8 +151,8 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     likes[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-likes, min(top, n - 1) - 1, axis=1)[:, : min(top, n - 1)]
     need = np.min([place[asked[:, None], order[near, c]] for c in range(copies)], axis=0)
-    # Neighbours among all vectors are nearer than those in a sample and found sooner; where the sample is all, some more is asked.
-    aim = s.recall if n < total else min(1.0, s.recall + 0.03)
+    # Neighbours among all vectors are nearer than those in a sample and found sooner; the larger the sample's share, the more is asked.
+    aim = min(1.0, s.recall + 0.04 * min(1.0, n / total))
     for probes in range(1, parts + 1):
         if (need < probes).mean() >= aim:
             break
