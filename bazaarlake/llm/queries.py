@@ -83,6 +83,24 @@ def op10_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_exact_search(spark, sf_dir):
+    from .exact_search import exact_top_k
+
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    from .spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    from .divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 with t as (select doc_id, coalesce(text, '') as text from documents),
 g as (select text, max(doc_id) as keep_id, count(*) as group_size from t group by text)
@@ -125,6 +143,86 @@ from t group by conv_id
 """
 
 
+OP11_SQL = """
+with v as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(x as double))) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id),
+f as (select vec_id, list_transform(e, lambda x: floor(64 * x)) as f from v),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.f, c.f) as bigint) as score
+  from f q join f c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+#: crc32 of the bytes of a word with its document, one bit after the other; then the words, their one-edit patterns and forms.
+OP12_SQL = r"""
+with recursive bits as (
+  select 0 as step, i as entry, i as crc from range(256) t(i)
+  union all
+  select step + 1, entry, xor(crc >> 1, (crc & 1) * 3988292384) from bits where step < 8),
+tab as (select list(crc order by entry) as tab from bits where step = 8),
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as doc,
+    translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents),
+each as (select doc, run, count(*) as n, hex(encode(doc || ':' || run)) as h from runs group by doc, run),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(list_transform(range(0, len(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint)),
+    lambda crc, b: xor(crc >> 8, tab[(xor(crc, b) & 255) + 1]), 4294967295)) as crc
+  from each, tab),
+words as (
+  select case when crc % 97 = 0 then substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) else run end as word, cast(sum(n) as bigint) as n
+  from hashed group by 1 having length(word) >= 5 and sum(n) >= 3),
+cuts as (
+  select word, n, i, substr(word, 1, i) || chr(1) || substr(word, i + 2) as hole, substr(word, 1, i) || substr(word, i + 2) as less
+  from words, range(0, length(word)) t(i)),
+near as (
+  select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.hole = b.hole and a.word <> b.word
+  union select a.word, b.word, b.n from cuts a join words b on a.less = b.word
+  union select b.word, a.word, a.n from cuts a join words b on a.less = b.word),
+ranked as (select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by other_n desc, encode(other)) as k from near),
+formed as (
+  select w.word, w.n, coalesce(r.n_near, 0) as n_near,
+    case when r.other_n >= 2 * w.n then r.other end as form, case when r.other_n >= 2 * w.n then r.other_n end as form_n
+  from words w left join ranked r on r.word = w.word and r.k = 1),
+path as (
+  select word, word as at from formed
+  union all select p.word, f.form from path p join formed f on f.word = p.at where f.form is not null),
+roots as (select p.word, p.at as root from path p join formed f on f.word = p.at where f.form is null)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
+OP13_SQL = r"""
+with d as (select row_number() over () as id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+t as (
+  select id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+  from d),
+kept as (select lang, term, count(*) as of_lang from t group by 1, 2 having count(distinct id) >= 10),
+vs as (select lang, count(*) as v, sum(of_lang) as of_all from kept group by 1),
+counts as (select t.lang, t.source, t.term, count(*) as n from t join kept using (lang, term) group by 1, 2, 3),
+groups as (select distinct lang, source from d),
+totals as (select g.lang, g.source, coalesce(sum(c.n), 0) as total from groups g left join counts c using (lang, source) group by 1, 2),
+grid as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * vs.v) as bigint) as p,
+    cast(1 + (1000000000::hugeint * (k.of_lang + 2)) // (vs.of_all + 2 * vs.v) as bigint) as q
+  from totals g join vs using (lang) join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, cast(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as bigint) as value
+  from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(p.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from grid where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank from parts)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def llm_queries():
     import corpus_pipeline
 
@@ -140,8 +238,11 @@ def llm_queries():
         "op8_language_id": op8_language_id,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_line_dedup": op10_line_dedup,
+        "op11_exact_search": op11_exact_search,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def llm_oracle_sql():
-    return {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op6_exact_dedup": OP6_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_exact_search": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_source_divergence": OP13_SQL}
