@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefeatures import age_group, with_time_features
 from . import long_users
+from .skew import HotKeys, hot_keys, split_join
 
 ENRICHED = [
     "transaction_id", "user_id", "product_id", "merchant_id", "amount", "timestamp", "location", "payment_method", "transaction_category",
@@ -15,49 +16,55 @@ ENRICHED = [
     "merchant_name", "merchant_category", "region", "commission_rate",
 ]
 
-
+KEYS = ["user_id", "product_id", "merchant_id"]
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; at most ``rows + 1`` are counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table of at most ``rows`` rows; a larger one is left to be shuffled. At most ``rows + 1`` rows are counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint for a table of at most ``rows`` rows; a larger one is left to be shuffled."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
-def joined(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False) -> DataFrame:
+def joined(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False, hot: HotKeys | None = None) -> DataFrame:
     """Left joins with the three dimensions and the 22 columns kept; ``broadcast`` asks for it where a dimension is small enough.
 
-    Users come last: where they are joined by shuffling, the windows by user that follow need no other shuffle.
+    Rows of keys named in ``hot`` are dealt among several tasks. Users come
+    last: where they are joined by shuffling, the windows by user that follow
+    need no other shuffle.
     """
     tx = transactions.withColumnRenamed("category", "transaction_category")
     users = users.select("user_id", "age", "annual_income", "city", "customer_segment")
     products = products.select("product_id", F.col("name").alias("product_name"), F.col("category").alias("product_category"), "price", "rating", "stock")
     merchants = merchants.select("merchant_id", F.col("name").alias("merchant_name"), F.col("category").alias("merchant_category"), "region", "commission_rate")
     for dimension, key in ((merchants, "merchant_id"), (products, "product_id"), (users, "user_id")):
-        tx = tx.join(broadcast_if_small(dimension) if broadcast else dimension, key, "left")
+        if broadcast and is_small(dimension):
+            tx = tx.join(F.broadcast(dimension), key, "left")
+        else:
+            tx = split_join(tx, dimension, key, (hot or {}).get(key, {}))
     return tx.select(*ENRICHED)
 
 
-def enrich(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False, hot_users: list[str | None] = ()) -> DataFrame:
+def enrich(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False, hot: HotKeys | None = None) -> DataFrame:
     """31 columns: the joined ones, six time features, rank and count per user, and the age group.
 
-    Equal timestamps of a user are ranked by ``transaction_id``. Users named in
-    ``hot_users`` (see ``long_users.hot_users``) are joined and ranked in several
-    tasks each, with the same result.
+    Equal timestamps of a user are ranked by ``transaction_id``. Keys of very
+    many rows are joined, and such users ranked, in several tasks each, with
+    the same result; ``hot`` names them (see ``skew.hot_keys``) and is found
+    here if it is not given.
     """
+    hot = hot_keys(transactions, KEYS) if hot is None else hot
     user = Window.partitionBy("user_id")
 
     def usual(df: DataFrame) -> DataFrame:
         return df.withColumns({"transaction_rank": F.row_number().over(user.orderBy("timestamp", "transaction_id")), "transaction_count": F.count(F.lit(1)).over(user)})
 
-    if hot_users:
-        hot = long_users.is_hot(hot_users)
-        few = users.where(F.col("user_id").isin([u for u in hot_users if u is not None]))  # their rows are as few as they are
-        wide = joined(transactions.where(~hot), users, products, merchants, broadcast)
-        wide = wide.unionByName(joined(transactions.where(hot), F.broadcast(few), products, merchants, broadcast))
-    else:
-        wide = joined(transactions, users, products, merchants, broadcast)
-    return long_users.split(with_time_features(wide), hot_users, usual, long_users.ranks).withColumn("age_group", age_group(F.col("age")))
+    wide = with_time_features(joined(transactions, users, products, merchants, broadcast, hot))
+    return long_users.split(wide, list(hot.get("user_id", ())), usual, long_users.ranks).withColumn("age_group", age_group(F.col("age")))
 
 
 def broadcast_merchant_join(transactions: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -11,21 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .skew import LEAST_ROWS, hot_keys
 
 SPLITS = 200
-LEAST_ROWS = 1_000_000
-_MONEY = "decimal(28,6)"
+DAY = 86_400
 
 
 def hot_users(df: DataFrame, least: int = LEAST_ROWS) -> list[str | None]:
-    """Users with more rows than ``least`` and a quarter of a partition's fair share: at most four times as many as partitions."""
-    counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        share = max(least, total // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        return [r.user_id for r in counts.where(F.col("n") > share).collect()]
-    finally:
-        counts.unpersist()
+    """Users of more rows than ``least`` and a quarter of a partition's fair share: at most four times as many as partitions."""
+    return list(hot_keys(df, ["user_id"], least)["user_id"])
 
 
 def is_hot(users: list[str | None]) -> Column:
@@ -42,16 +36,30 @@ def split(df: DataFrame, users: list[str | None], usual, long) -> DataFrame:
     return usual(df.where(~is_hot(users))).unionByName(long(df.where(is_hot(users))))
 
 
+def _splits(df: DataFrame, place: Column) -> DataFrame:
+    """``_user, _at``: at most ``SPLITS`` places of each user, sampled by a hash."""
+    slices = df.groupBy("user_id", F.pmod(F.xxhash64("transaction_id"), F.lit(SPLITS)).alias("_slice")).agg(F.min_by(place, F.xxhash64("transaction_id")).alias("_at"))
+    return slices.select(F.col("user_id").alias("_user"), "_at")
+
+
+def _cut(df: DataFrame, splits: DataFrame, chunks: dict[str, Column]) -> DataFrame:
+    """Adds for each of ``chunks`` how many of the user's ``splits`` are not after that place; rows of one place stay together."""
+    splits = splits.groupBy("_user").agg(F.array_sort(F.collect_set("_at")).alias("_splits"))
+    cut = df.join(F.broadcast(splits), F.col("user_id").eqNullSafe(F.col("_user")), "left")
+    return cut.withColumns({name: F.size(F.filter("_splits", _not_after(place))) for name, place in chunks.items()}).drop("_user", "_splits")
+
+
+def _not_after(place: Column):
+    return lambda split: split <= place
+
+
 def _chunked(df: DataFrame, time: str) -> DataFrame:
-    """Adds ``_chunk``: how many of the user's sampled times are not after the row's; rows of one time stay together.
+    """Adds ``_chunk`` by sampled pairs of time and id, so that many rows of one time are cut too.
 
     ``df`` is stored, as it is read for the sample and for all that follows.
     """
-    df = stored(df, "long-users")
-    slices = df.groupBy("user_id", F.pmod(F.xxhash64("transaction_id"), F.lit(SPLITS)).alias("_slice")).agg(F.min_by(time, F.xxhash64("transaction_id")).alias("_at"))
-    splits = slices.groupBy(F.col("user_id").alias("_user")).agg(F.array_sort(F.collect_set("_at")).alias("_splits"))
-    cut = df.join(F.broadcast(splits), F.col("user_id").eqNullSafe(F.col("_user")), "left")
-    return cut.withColumn("_chunk", F.size(F.filter("_splits", lambda s: s <= F.col(time)))).drop("_user", "_splits")
+    df, place = stored(df, "long-users"), F.struct(time, "transaction_id")
+    return _cut(df, _splits(df, place), {"_chunk": place})
 
 
 def _with_earlier(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -72,35 +80,71 @@ def ranks(df: DataFrame) -> DataFrame:
 
 
 def frames(df: DataFrame, seconds: int) -> DataFrame:
-    """Adds ``cumulative_amount_7d`` and ``_before``, the time of the user's previous row.
-
-    Each amount enters at its time and leaves one second after its frame's end,
-    so that the running sum of both is the sum of a frame, which may begin in
-    an earlier chunk. Amounts are summed as decimals of six places. Rows
-    without a time have the sum of all rows without one, as a range frame.
+    """Adds ``cumulative_amount_7d``, the sum over the user's last ``seconds``, and ``_before``, the time of the user's previous row.
+
+    Chunks also end at each multiple of ``seconds``, so that a frame always
+    begins in an earlier chunk than it ends in. It is the end of the chunk that
+    it begins in, the whole chunks between, and the beginning of its own:
+    three sums of doubles in which nothing is taken away again, so that a NaN
+    or a large amount outside of the frame changes nothing. For the first of
+    them each row is sent to the chunk where its frame begins. Rows of one
+    second stay together. Rows without a time have the sum of all rows without
+    one, as a range frame.
     """
-    amount = F.col("amount").try_cast(_MONEY)
-    cut = _chunked(df, "transaction_datetime")
-    within = Window.partitionBy("user_id", "_chunk").orderBy("transaction_datetime", "transaction_id")
-    cut = _with_earlier(cut, {"_time_max": F.max("transaction_datetime")})
-    first = F.row_number().over(within) == 1
-    cut = cut.withColumn("_before", F.when(first, F.col("_time_max")).otherwise(F.lag("transaction_datetime").over(within))).drop("_time_max", "_chunk")
-
+    df = stored(df, "long-users")
     timed = F.col("transaction_datetime").isNotNull()
-    events = cut.withColumns({"_sign": F.lit(1), "_at": F.unix_timestamp("transaction_datetime"), "_money": amount, "_count": amount.isNotNull().cast("int")})
-    leaving = events.where(timed).withColumns({"_sign": F.lit(-1), "_at": F.col("_at") + seconds + 1, "_money": -F.col("_money"), "_count": -F.col("_count")})
-    swept = _chunked(events.where(timed).unionByName(leaving), "_at")
-    swept = _with_earlier(swept, {"_sum": F.sum("_money"), "_held": F.sum("_count")})
-    upto = Window.partitionBy("user_id", "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    none = F.lit(0).cast(_MONEY)
-    money = F.coalesce(F.sum("_money").over(upto), none) + F.coalesce("_sum", none)
-    held = F.coalesce(F.sum("_count").over(upto), F.lit(0)) + F.coalesce("_held", F.lit(0))
-    swept = swept.withColumn("cumulative_amount_7d", F.when(held > 0, money.cast("double"))).where("_sign = 1")
-    untimed = events.where(~timed)
-    sums = untimed.groupBy(F.col("user_id").alias("_user")).agg(F.sum("amount").alias("cumulative_amount_7d"))
-    untimed = untimed.join(F.broadcast(sums), F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
+    at = F.unix_timestamp("transaction_datetime")
+    rows = df.where(timed).withColumn("_at", at)
+    grid = rows.select(F.col("user_id").alias("_user"), (F.floor(F.col("_at") / seconds) * seconds).alias("_at")).distinct()
+    cut = stored(_cut(rows, _splits(rows, F.col("_at")).unionByName(grid), {"_chunk": F.col("_at"), "_first": F.col("_at") - seconds}), "long-users")
+
+    chunk = Window.partitionBy("user_id", "_chunk")
+    within = chunk.orderBy("_at", "transaction_id")
+    upto = chunk.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    own = _with_earlier(cut, {"_time_max": F.max("transaction_datetime")})
+    before = F.when(F.row_number().over(within) == 1, F.col("_time_max")).otherwise(F.lag("transaction_datetime").over(within))
+    own = own.withColumns({"_before": before, "_own": F.sum("amount").over(upto)}).drop("_time_max")
+
+    asking = own.withColumns({"_home": F.col("_chunk"), "_chunk": F.col("_first"), "_at": F.col("_at") - seconds, "_add": F.lit(None).cast("double"), "_asks": F.lit(True)})
+    adding = cut.select("user_id", "_chunk", "_at", F.col("amount").alias("_add"), F.lit(False).alias("_asks"))
+    since = chunk.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    ended = asking.unionByName(adding, allowMissingColumns=True).withColumn("_end", F.sum("_add").over(since)).where("_asks")
+
+    sums = cut.groupBy(F.col("user_id").alias("_user"), F.col("_chunk").alias("_of")).agg(F.sum("amount").alias("_sum")).where("_sum is not null")
+    sums = sums.groupBy("_user").agg(F.collect_list(F.struct("_of", "_sum")).alias("_sums"))  # as many as chunks
+    spans = cut.groupBy(F.col("user_id").alias("_name"), F.col("_first").alias("_a"), F.col("_chunk").alias("_c")).agg(F.lit(1).alias("_one"))
+    between = F.filter("_sums", lambda s: (s["_of"] > F.col("_a")) & (s["_of"] < F.col("_c")))
+    whole = F.when(F.size("_inside") > 0, F.aggregate("_inside", F.lit(0.0), lambda total, s: total + s["_sum"]))
+    spans = spans.join(sums, F.col("_name").eqNullSafe(F.col("_user"))).withColumn("_inside", between).select("_name", "_a", "_c", whole.alias("_whole"))
+    summed = ended.join(spans, F.col("user_id").eqNullSafe(F.col("_name")) & (F.col("_first") == F.col("_a")) & (F.col("_home") == F.col("_c")), "left")
+    parts = [F.col(c) for c in ("_end", "_whole", "_own")]
+    total = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
+
+    untimed = df.where(~timed).withColumn("_before", F.lit(None).cast("timestamp"))
+    of_user = untimed.groupBy(F.col("user_id").alias("_user")).agg(F.sum("amount").alias("cumulative_amount_7d"))
+    untimed = untimed.join(F.broadcast(of_user), F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
     columns = [*df.columns, "_before", "cumulative_amount_7d"]
-    return swept.select(*columns).unionByName(untimed.select(*columns))
+    return summed.withColumn("cumulative_amount_7d", total).select(*columns).unionByName(untimed.select(*columns))
+
+
+def active_days(df: DataFrame, seconds: int) -> DataFrame:
+    """Adds ``active_days_7d`` from one row for each user and day, which are few, joined back to the transactions.
+
+    The days before the frame's first day lie wholly in it; that first day
+    counts if the user's last second of it does. A null time counts 0 days.
+    """
+    span = seconds // DAY
+    days = df.where(F.col("transaction_date").isNotNull()).groupBy("user_id", "transaction_date").agg(F.max(F.unix_timestamp("transaction_datetime")).alias("_last"))
+    user = Window.partitionBy("user_id").orderBy("_day")
+    days = days.withColumn("_day", F.unix_date("transaction_date")).select(
+        F.col("user_id").alias("_user"),
+        F.col("transaction_date").alias("_date"),
+        F.count(F.lit(1)).over(user.rangeBetween(-(span - 1), 0)).alias("_inside"),
+        F.max("_last").over(user.rangeBetween(-span, -span)).alias("_edge"),
+    )
+    edge = F.when(F.col("_edge") >= F.unix_timestamp("transaction_datetime") - seconds, 1).otherwise(0)
+    joined = df.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("transaction_date") == F.col("_date")), "left")
+    return joined.withColumn("active_days_7d", F.coalesce(F.col("_inside") + edge, F.lit(0)).cast("int")).drop("_user", "_date", "_inside", "_edge")
 
 
 def earlier_average(df: DataFrame) -> DataFrame:

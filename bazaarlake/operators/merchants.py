@@ -12,49 +12,70 @@ _GROUPS = {"sales_Jeune": "Jeune", "sales_Adulte": "Adulte", "sales_Age_Moyen":
 REPORT = [*_KEYS, "total_revenue", "transaction_count", "unique_customers", "average_transaction_amount", "total_commission", *_GROUPS, "rank_in_category", "rank_in_region"]
 
 
+def by_customer(enriched: DataFrame) -> DataFrame:
+    """One row for each merchant and customer, from which the reports below are made without reading transactions again.
+
+    Distinct customers are counted in this second step, so that one wide
+    aggregation serves every column and a large merchant is spread. Flagged
+    transactions bring their suspicious ones as well.
+    """
+    sums = {name: F.sum(F.when(F.col("age_group") == label, F.col("amount")).otherwise(0.0)) for name, label in _GROUPS.items()}
+    sums |= {"_sum": F.sum("amount"), "_filled": F.count("amount"), "_n": F.count(F.lit(1)), "_fee": F.sum(F.col("amount") * F.col("commission_rate"))}
+    if "is_suspicious" in enriched.columns:
+        sums["_suspicious"] = F.sum("is_suspicious")
+    return enriched.groupBy(*_KEYS, "user_id").agg(*[c.alias(n) for n, c in sums.items()])
+
+
 def merchant_report(enriched: DataFrame) -> DataFrame:
     """KPIs, sales by age group and ranks of each merchant, best first; transactions without a merchant are left out."""
-    return _report(enriched).orderBy(F.desc("total_revenue"), "merchant_id")
+    return report_by_customer(by_customer(enriched))
 
 
-def _report(enriched: DataFrame) -> DataFrame:
-    """The merchant report in any order.
+def merchant_report_with_suspicion(flagged: DataFrame) -> DataFrame:
+    """The merchant report of flagged transactions and each merchant's share of suspicious ones in percent, in one aggregation.
 
-    Distinct customers are counted in two steps, so that one wide aggregation
-    to (merchant, customer) serves every column and a large merchant is spread.
+    ``flagged`` are the enriched transactions with ``is_suspicious``, see ``windows.detect_suspicious``.
     """
-    sales = {name: F.sum(F.when(F.col("age_group") == label, F.col("amount")).otherwise(0.0)) for name, label in _GROUPS.items()}
-    per_customer = (
-        enriched.where(F.col("merchant_id").isNotNull())
-        .groupBy(*_KEYS, "user_id")
-        .agg(F.sum("amount").alias("_sum"), F.count("amount").alias("_filled"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("amount") * F.col("commission_rate")).alias("_fee"), *[c.alias(n) for n, c in sales.items()])
-    )
-    kpis = per_customer.groupBy(*_KEYS).agg(
-        r2(F.sum("_sum")).alias("total_revenue"),
-        F.sum("_n").alias("transaction_count"),
-        F.count("user_id").alias("unique_customers"),
-        r2(F.try_divide(F.sum("_sum"), F.sum("_filled"))).alias("average_transaction_amount"),
-        r2(F.sum("_fee")).alias("total_commission"),
-        *[F.sum(n).alias(n) for n in sales],
+    return report_by_customer(by_customer(flagged))
+
+
+def report_by_customer(customers: DataFrame) -> DataFrame:
+    """The merchant report from ``by_customer`` rows, with suspicious rates if these have them."""
+    rated = "_suspicious" in customers.columns
+    kpis = (
+        customers.where(F.col("merchant_id").isNotNull())
+        .groupBy(*_KEYS)
+        .agg(
+            r2(F.sum("_sum")).alias("total_revenue"),
+            F.sum("_n").alias("transaction_count"),
+            F.count("user_id").alias("unique_customers"),
+            r2(F.try_divide(F.sum("_sum"), F.sum("_filled"))).alias("average_transaction_amount"),
+            r2(F.sum("_fee")).alias("total_commission"),
+            *[F.sum(n).alias(n) for n in _GROUPS],
+            *([F.sum("_suspicious").alias("_suspicious")] if rated else []),
+        )
     )
+    if rated:  # by id alone: a merchant of several names or rates has one share
+        of_id = Window.partitionBy("merchant_id")
+        kpis = kpis.withColumn("suspicious_transaction_rate", r2(F.sum("_suspicious").over(of_id).cast("double") / F.sum("transaction_count").over(of_id) * 100))
     best = F.col("total_revenue").desc()
     return (
         kpis.withColumn("rank_in_category", F.dense_rank().over(Window.partitionBy("merchant_category").orderBy(best)))
         .withColumn("rank_in_region", F.dense_rank().over(Window.partitionBy("region").orderBy(best)))
-        .select(*REPORT)
+        .select(*REPORT, *(["suspicious_transaction_rate"] if rated else []))
+        .orderBy(F.desc("total_revenue"), "merchant_id")
     )
 
 
-def suspicious_rate(suspicious: DataFrame) -> DataFrame:
-    """Share of suspicious transactions of each merchant in percent."""
-    share = F.sum(F.col("is_suspicious").cast("double")) / F.count(F.lit(1))
-    return suspicious.where(F.col("merchant_id").isNotNull()).groupBy("merchant_id").agg(r2(share * 100).alias("suspicious_transaction_rate"))
-
-
-def merchant_report_with_suspicion(enriched: DataFrame, suspicious: DataFrame) -> DataFrame:
-    """The merchant report and each merchant's suspicious rate, 0 if it has none."""
-    report = _report(enriched).join(suspicious_rate(suspicious), "merchant_id", "left")
-    return report.na.fill(0.0, ["suspicious_transaction_rate"]).orderBy(F.desc("total_revenue"), "merchant_id")
+def global_kpi_by_customer(customers: DataFrame, formatted: bool = False) -> DataFrame:
+    """``global_kpi``, or ``global_kpi_formatted``, from ``by_customer`` rows."""
+    money = (lambda c: F.format_number(c, 2)) if formatted else r2
+    return customers.agg(
+        money(F.sum("_sum")).alias("total_revenue"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("transaction_count"),
+        F.countDistinct("user_id").alias("unique_customers"),
+        money(F.try_divide(F.sum("_sum"), F.sum("_filled"))).alias("average_transaction_amount"),
+    )
 
 
 def merchant_revenue_ranking(enriched: DataFrame) -> DataFrame:

@@ -13,34 +13,37 @@ SPLITS = 200
 def exact_ntile(df: DataFrame, n: int, metrics: list[str], tiebreak: str) -> DataFrame:
     """Adds ``<metric>_score`` for each metric: the tile (1 to n) by metric, then ``tiebreak``, as ``ntile(n)`` over the whole table gives it.
 
-    Rows are put into buckets between at most ``SPLITS`` sampled pairs of
-    metric and tiebreak, so heavy ties are split too; each bucket is ranked by
-    itself and the sizes of the buckets before it are added. The result is
-    exact whatever the sample. Nulls come first; an empty table gives an empty
-    result. ``tiebreak`` should be unique for a result that never changes.
-    ``df`` is stored, as it is read for the sample, the sizes and the ranks.
+    The metrics are stacked, and each goes to buckets between at most
+    ``SPLITS`` sampled pairs of metric and tiebreak, so heavy ties are split
+    too. One window by metric and bucket ranks all of them; the sizes of the
+    buckets before are added, which is exact whatever the sample. Nulls come
+    first; an empty table gives an empty result. ``tiebreak`` should be unique
+    for a result that never changes; metrics are of one type or of types that
+    Spark widens. ``df`` is stored, as it is read for the sample, the sizes
+    and the ranks.
     """
-    df = stored(df, "ranked")
     columns = df.columns
-    pair = {m: F.struct(F.col(m).alias("m"), F.col(tiebreak).alias("t")) for m in metrics}
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    places = F.array(*[F.struct(F.col(m).alias("m"), F.col(tiebreak).alias("t")) for m in metrics])
     # Of each slice of the hash space, one pair: at most SPLITS rows for each metric, sorted into one array.
-    slices = df.groupBy(F.pmod(F.hash(tiebreak), F.lit(SPLITS)).alias("_slice")).agg(*[F.min_by(pair[m], F.xxhash64(tiebreak)).alias(m) for m in metrics])
-    splits = slices.agg(*[F.array_sort(F.collect_list(m)).alias(f"_splits_{m}") for m in metrics])
-    wide = df.crossJoin(F.broadcast(splits))
-    wide = wide.select(*columns, *[F.size(F.filter(f"_splits_{m}", _at_most(pair[m]))).alias(f"_bucket_{m}") for m in metrics])
-    ranked = wide
-    for m in metrics:
-        bucket = f"_bucket_{m}"
-        sizes = wide.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-        before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # at most SPLITS + 1 rows
-        starts = sizes.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
-        rank = F.row_number().over(Window.partitionBy(bucket).orderBy(m, tiebreak)) + F.col("_before")
-        ranked = ranked.join(F.broadcast(starts), bucket).withColumn(f"{m}_score", _tile(rank, F.col("_total"), n)).drop("_before", "_total")
-    return ranked.select(*columns, *[f"{m}_score" for m in metrics])
-
-
-def _at_most(bound: Column):
-    return lambda split: split <= bound
+    slices = df.select(F.pmod(F.hash(tiebreak), F.lit(SPLITS)).alias("_slice"), F.xxhash64(tiebreak).alias("_hash"), F.posexplode(places).alias("_metric", "_at"))
+    slices = slices.groupBy("_metric", "_slice").agg(F.min_by("_at", "_hash").alias("_at"))
+    splits = stored(slices.groupBy("_metric").agg(F.array_sort(F.collect_list("_at")).alias("_splits")), "ranked-splits")
+    rest = F.struct(*columns)
+    stacked = df.select("_row", F.posexplode(F.arrays_zip(places.alias("at"), F.array(rest, *[F.lit(None)] * (len(metrics) - 1)).alias("rest"))).alias("_metric", "_both"))
+    stacked = stacked.select("_row", "_metric", F.col("_both.at").alias("_at"), F.col("_both.rest").alias("_rest")).join(F.broadcast(splits), "_metric")
+    stacked = stacked.withColumn("_bucket", F.size(F.filter("_splits", lambda split: split <= F.col("_at")))).drop("_splits")
+
+    # At most SPLITS + 1 sizes for each metric.
+    sizes = stacked.groupBy("_metric", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    metric = Window.partitionBy("_metric")
+    before = metric.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_metric", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(metric).alias("_total"))
+    rank = F.row_number().over(Window.partitionBy("_metric", "_bucket").orderBy("_at"))
+    tiles = stacked.withColumn("_rank", rank).join(F.broadcast(starts), ["_metric", "_bucket"]).withColumn("_tile", _tile(F.col("_rank") + F.col("_before"), F.col("_total"), n))
+    scores = [F.max(F.when(F.col("_metric") == i, F.col("_tile"))).alias(f"{m}_score") for i, m in enumerate(metrics)]
+    ranked = tiles.groupBy("_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *scores)
+    return ranked.select(*[F.col("_rest")[c].alias(c) for c in columns], *[f"{m}_score" for m in metrics])
 
 
 def _tile(rank: Column, total: Column, n: int) -> Column:

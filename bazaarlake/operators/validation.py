@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, Limits
+from .skew import HotKeys, hot_keys, split_join
 
 Rule = tuple[Column, str]
 
@@ -82,20 +83,29 @@ def reunited(valid: DataFrame, rejected: DataFrame) -> DataFrame:
     return valid.unionByName(rejected.drop("rejection_reason"))
 
 
-def orphans(transactions: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Transactions whose key is null or stands in no row of the dimension."""
-    return transactions.join(dimension.select(key), key, "left_anti")
+def orphans(transactions: DataFrame, dimension: DataFrame, key: str, hot: HotKeys | None = None) -> DataFrame:
+    """Transactions whose key is null or stands in no row of the dimension; keys of very many rows are dealt among tasks."""
+    hot = hot_keys(transactions, [key]) if hot is None else hot
+    return split_join(transactions, dimension.select(key), key, hot.get(key, {}), "left_anti")
+
+
+_ORPHANS = {"user_id": "nb_refs_user_id_inexistant", "product_id": "nb_refs_product_id_inexistant", "merchant_id": "nb_refs_merchant_id_inexistant"}
 
 
 def referential_integrity(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame) -> DataFrame:
-    """One row with the three orphan counts: transactions are read once, joined to the distinct keys of each dimension."""
-    df = transactions.select("user_id", "product_id", "merchant_id")
-    for dimension, key in ((users, "user_id"), (products, "product_id"), (merchants, "merchant_id")):
-        known = dimension.select(F.col(key).alias(f"_{key}")).where(F.col(f"_{key}").isNotNull()).distinct()
-        df = df.join(known, F.col(key) == F.col(f"_{key}"), "left")
-    return df.agg(
-        *[F.count_if(F.col(f"_{key}").isNull()).alias(name) for key, name in (("user_id", "nb_refs_user_id_inexistant"), ("product_id", "nb_refs_product_id_inexistant"), ("merchant_id", "nb_refs_merchant_id_inexistant"))]
-    )
+    """One row with the three orphan counts, from histograms of the keys.
+
+    One scan of the transactions counts the rows of each key, null ones too;
+    only these counts are shuffled, and joined to the keys of the dimensions.
+    """
+    each = ", ".join(f"'{key}', cast({key} as string)" for key in _ORPHANS)
+    rows = transactions.select(F.expr(f"stack({len(_ORPHANS)}, {each}) as (_of, _key)")).groupBy("_of", "_key").agg(F.count(F.lit(1)).alias("_rows"))
+    known = None
+    for dimension, key in zip((users, products, merchants), _ORPHANS):
+        keys = dimension.where(F.col(key).isNotNull()).select(F.lit(key).alias("_of"), F.col(key).cast("string").alias("_key"))
+        known = keys if known is None else known.unionByName(keys)
+    missing = rows.join(known, ["_of", "_key"], "left_anti")
+    return missing.agg(*[F.coalesce(F.sum(F.when(F.col("_of") == key, F.col("_rows"))), F.lit(0)).alias(name) for key, name in _ORPHANS.items()])
 
 
 def _profile(name: str, df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -9,49 +9,49 @@ from ..config import LIMITS, Limits
 from ..functions.timefeatures import parse_prefix
 from . import long_users
 
-_DAY = 86_400
+_DAY = long_users.DAY
 
 
-def active_days(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``active_days_7d``: distinct dates among a user's transactions of the last 604,800 seconds, ends included.
+def _windows(df: DataFrame, limits: Limits) -> DataFrame:
+    """Seven-day sum and active days, and the previous time: windows by user alone, so that one shuffle serves all.
 
-    Days are few, so they are windowed instead of transactions: one row for
-    each user and day with the day's last second. The six days before day D
-    lie wholly in the frame; day D - 7 counts if its last second does. A null
-    time counts 0 days. Null users are one user.
+    A date counts once, at the first of the user's rows on it. The days before
+    the frame's first day lie wholly in the frame; that first day counts if
+    the user's last second of it does. A null time counts 0 days; null users
+    are one user.
     """
-    span = limits.window_seconds // _DAY
-    days = df.where(F.col("transaction_date").isNotNull()).groupBy("user_id", "transaction_date").agg(F.max(F.unix_timestamp("transaction_datetime")).alias("_last"))
-    days = days.withColumn("_day", F.datediff("transaction_date", F.lit("1970-01-01").cast("date")))
-    user = Window.partitionBy("user_id").orderBy("_day")
-    days = days.select(
-        F.col("user_id").alias("_user"),
-        F.col("transaction_date").alias("_date"),
-        F.count(F.lit(1)).over(user.rangeBetween(-(span - 1), 0)).alias("_inside"),
-        F.max("_last").over(user.rangeBetween(-span, -span)).alias("_edge"),
+    user, span = Window.partitionBy("user_id"), limits.window_seconds // _DAY
+    timed = user.orderBy("_at", "transaction_id")
+    by_day = user.orderBy("_day")
+    df = df.withColumns({"_at": F.unix_timestamp("transaction_datetime"), "_day": F.unix_date("transaction_date")})
+    df = df.withColumns(
+        {
+            "_before": F.lag("transaction_datetime", 1).over(timed),
+            "_new_day": F.when(F.col("_day") != F.coalesce(F.lag("_day", 1).over(timed), F.lit(-1 << 31)), 1),
+            "cumulative_amount_7d": F.sum("amount").over(user.orderBy("_at").rangeBetween(-limits.window_seconds, 0)),
+        }
     )
-    seconds = F.unix_timestamp("transaction_datetime")
-    edge = F.when(F.col("_edge") >= seconds - limits.window_seconds, 1).otherwise(0)
-    joined = df.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("transaction_date") == F.col("_date")), "left")
-    return joined.withColumn("active_days_7d", F.coalesce(F.col("_inside") + edge, F.lit(0)).cast("int")).drop("_user", "_date", "_inside", "_edge")
+    inside = F.sum("_new_day").over(by_day.rangeBetween(-(span - 1), 0))
+    edge = F.max("_at").over(by_day.rangeBetween(-span, -span)) >= F.col("_at") - limits.window_seconds
+    days = F.when(F.col("_day").isNull(), 0).otherwise(inside + F.when(edge, 1).otherwise(0))
+    return df.withColumn("active_days_7d", days.cast("int")).drop("_at", "_day", "_new_day")
+
 
+def _long_windows(df: DataFrame, limits: Limits) -> DataFrame:
+    """The same for users of very many rows."""
+    return long_users.active_days(long_users.frames(df, limits.window_seconds), limits.window_seconds)
 
-def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] = ()) -> DataFrame:
+
+def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] | None = None) -> DataFrame:
     """Adds parsed time and date, seven-day amount and active days, activity flag and days since the last transaction.
 
-    Users named in ``hot_users`` are windowed in several tasks each.
+    Users named in ``hot_users`` are windowed in several tasks each; they are
+    found here if not given.
     """
+    hot_users = long_users.hot_users(enriched) if hot_users is None else hot_users
     ts = parse_prefix(F.col("timestamp"))
     df = enriched.withColumn("transaction_datetime", ts).withColumn("transaction_date", F.to_date("transaction_datetime"))
-    df = active_days(df, limits)
-
-    def usual(rows: DataFrame) -> DataFrame:
-        user = Window.partitionBy("user_id")
-        frame = user.orderBy(F.unix_timestamp("transaction_datetime")).rangeBetween(-limits.window_seconds, 0)
-        before = F.lag("transaction_datetime", 1).over(user.orderBy("transaction_datetime", "transaction_id"))
-        return rows.withColumns({"cumulative_amount_7d": F.sum("amount").over(frame), "_before": before})
-
-    df = long_users.split(df, hot_users, usual, lambda rows: long_users.frames(rows, limits.window_seconds))
+    df = long_users.split(df, hot_users, lambda rows: _windows(rows, limits), lambda rows: _long_windows(rows, limits))
     return df.withColumns(
         {
             "active_user_7d": F.when(F.col("active_days_7d") >= limits.active_days, 1).otherwise(0),
@@ -60,8 +60,9 @@ def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: lis
     ).drop("_before")
 
 
-def detect_suspicious(windowed: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] = ()) -> DataFrame:
-    """Adds the average of earlier amounts, four flags, their sum and the verdict (two flags or more)."""
+def detect_suspicious(windowed: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] | None = None) -> DataFrame:
+    """Adds the average of earlier amounts, four flags, their sum and the verdict (two flags or more); ``hot_users`` as in ``window_analysis``."""
+    hot_users = long_users.hot_users(windowed) if hot_users is None else hot_users
     earlier = Window.partitionBy("user_id").orderBy("transaction_datetime", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
     flag = lambda c: F.when(c, 1).otherwise(0)
     averaged = long_users.split(windowed, hot_users, lambda rows: rows.withColumn("historical_average_amount", F.avg("amount").over(earlier)), long_users.earlier_average)

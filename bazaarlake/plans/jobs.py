@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cohorts, enrich, long_users, merchants, products, rfm, validation, windows
 from ..sources import io
+from ..sources.scratch import stored
 
 Tables = dict[str, DataFrame]
 
@@ -32,9 +33,8 @@ def run_validation(tables: Tables) -> tuple[Tables, Tables]:
 
 
 def run_transformation(tables: Tables, broadcast: bool = False) -> DataFrame:
-    """The enriched transactions; users with very many of them are found first."""
-    hot = long_users.hot_users(tables["transactions"])
-    return enrich.enrich(tables["transactions"], tables["users"], tables["products"], tables["merchants"], broadcast, hot)
+    """The enriched transactions; keys with very many of them are found first."""
+    return enrich.enrich(tables["transactions"], tables["users"], tables["products"], tables["merchants"], broadcast)
 
 
 def run_wide_transformation(tables: Tables) -> DataFrame:
@@ -42,9 +42,9 @@ def run_wide_transformation(tables: Tables) -> DataFrame:
     return enrich.enrich_broadcast(tables["transactions"], tables["users"], tables["products"], tables["merchants"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def run_detection(enriched: DataFrame) -> DataFrame:
-    """Suspicion flags; users with very many transactions are found first."""
-    hot = long_users.hot_users(enriched)
+def run_detection(enriched: DataFrame, hot: list[str | None] | None = None) -> DataFrame:
+    """Suspicion flags; users with very many transactions are found once for both steps, if not given."""
+    hot = long_users.hot_users(enriched) if hot is None else hot
     return windows.detect_suspicious(windows.window_analysis(enriched, hot_users=hot), hot_users=hot)
 
 
@@ -52,28 +52,37 @@ Report = Callable[[], DataFrame]
 WRITERS = 4  # results that are written at the same time
 
 
+def run_customers(enriched: DataFrame) -> DataFrame:
+    """Sums of flagged transactions by merchant and customer, stored: what merchant reports and global KPIs are made from."""
+    return stored(merchants.by_customer(run_detection(enriched)), "customers")
+
+
 def reports(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, Report]:
-    """What makes each report, by the name it is written under; those in ``derived`` are made from others."""
+    """What makes each report that is made from the inputs, by the name it is written under."""
     return {
-        "merchant_performance_suspicion": lambda: merchants.merchant_report_with_suspicion(enriched, run_detection(enriched)),
         "rfm_analysis": lambda: rfm.rfm(transactions, users),
         "cohort_analysis": lambda: cohorts.cohort_analysis(transactions),
-        "merchant_performance": lambda: merchants.merchant_report(enriched),
-        "global_kpi": lambda: merchants.global_kpi_formatted(enriched),
         "top_products": lambda: products.top_products(enriched),
         "category_region": lambda: products.category_region(enriched),
         "payment_period_revenue": lambda: products.payment_period(enriched),
     }
 
 
-def derived(done: dict[str, DataFrame]) -> dict[str, Report]:
-    return {"best_cohort": lambda: cohorts.best_cohort_at(done["cohort_analysis"]), "rfm_cross_tab": lambda: rfm.rfm_crosstab(done["rfm_analysis"])}
+def derived(customers: DataFrame, done: dict[str, DataFrame]) -> dict[str, Report]:
+    """Reports made from the sums by customer, and from other reports."""
+    return {
+        "merchant_performance_suspicion": lambda: merchants.report_by_customer(customers),
+        "merchant_performance": lambda: merchants.report_by_customer(customers.drop("_suspicious")),
+        "global_kpi": lambda: merchants.global_kpi_by_customer(customers, formatted=True),
+        "best_cohort": lambda: cohorts.best_cohort_at(done["cohort_analysis"]),
+        "rfm_cross_tab": lambda: rfm.rfm_crosstab(done["rfm_analysis"]),
+    }
 
 
 def run_analytics(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
     """Every report by the name it is written under."""
     done = {name: make() for name, make in reports(enriched, transactions, users).items()}
-    return done | {name: make() for name, make in derived(done).items()}
+    return done | {name: make() for name, make in derived(run_customers(enriched), done).items()}
 
 
 def write_analytics(spark: SparkSession, output: str) -> list[str]:
@@ -90,8 +99,9 @@ def write_analytics(spark: SparkSession, output: str) -> list[str]:
 
     try:
         with ThreadPoolExecutor(WRITERS) as pool:
+            customers = pool.submit(run_customers, enriched)
             done = dict(pool.map(write, reports(enriched, valid["transactions"], valid["users"]).items()))
-            done |= dict(pool.map(write, derived(done).items()))
+            done |= dict(pool.map(write, derived(customers.result(), done).items()))
     finally:
         enriched.unpersist()
     return list(done)
@@ -110,12 +120,17 @@ VARIANTS = {"comparison_without_optimization": False, "comparison_optimized": Tr
 
 
 def run_comparison(tables: Tables, output: str) -> None:
-    """KPIs, merchant report and cohorts from the plain and the broadcast enrichment, each variant as CSV; they must agree."""
+    """KPIs, merchant report and cohorts from the plain and the broadcast enrichment, each variant as CSV; they must agree.
+
+    A variant enriches once, into sums by merchant and customer that both
+    reports are made from. Cohorts need no enrichment and are computed once.
+    """
+    by_month = stored(cohorts.cohort_analysis(tables["transactions"]), "cohorts")
     for variant, broadcast in VARIANTS.items():
-        enriched = run_transformation(tables, broadcast)
-        io.write_csv(merchants.global_kpi(enriched), f"{output}/{variant}", "global_kpi")
-        io.write_csv(merchants.merchant_report(enriched), f"{output}/{variant}", "merchant_performance")
-        io.write_csv(cohorts.cohort_analysis(tables["transactions"]), f"{output}/{variant}", "cohort_analysis")
+        customers = stored(merchants.by_customer(run_transformation(tables, broadcast)), "customers")
+        io.write_csv(merchants.global_kpi_by_customer(customers), f"{output}/{variant}", "global_kpi")
+        io.write_csv(merchants.report_by_customer(customers), f"{output}/{variant}", "merchant_performance")
+        io.write_csv(by_month, f"{output}/{variant}", "cohort_analysis")
 
 
 def run_mode(spark: SparkSession, mode: str, paths: dict[str, str], output: str) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timefeatures as tf
-from ..operators import cohorts, enrich, merchants, products, rfm, validation, windows
+from ..functions.digest import NULL, content_digest
+from ..operators import cohorts, enrich, merchants, products, rfm, skew, validation, windows
 from ..sources import io
 from ..sources.scratch import scratch_path
 from . import jobs
@@ -26,16 +27,24 @@ def _dims(s, d):
     return table(s, d, "users"), table(s, d, "products"), table(s, d, "merchants")
 
 
-def _enriched(s, d, tx="tx_line", broadcast=False):
-    return enrich.enrich(table(s, d, tx), *_dims(s, d), broadcast=broadcast)
+def _enriched(s, d):
+    return enrich.enrich(table(s, d, "tx_line"), *_dims(s, d))
+
+
+def _events(s, d):
+    """Enriched events, and the users of very many of them, looked for once."""
+    events = table(s, d, "tx_events")
+    hot = skew.hot_keys(events, enrich.KEYS)
+    return enrich.enrich(events, *_dims(s, d), hot=hot), list(hot["user_id"])
 
 
 def _windowed(s, d):
-    return windows.window_analysis(_enriched(s, d, "tx_events"))
+    enriched, hot = _events(s, d)
+    return windows.window_analysis(enriched, hot_users=hot)
 
 
 def _suspicious(s, d):
-    return windows.detect_suspicious(_windowed(s, d))
+    return jobs.run_detection(*_events(s, d))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
@@ -125,25 +134,46 @@ def _comparison(name: str, columns: list[str]) -> Query:
         for variant in jobs.VARIANTS:
             one = s.read.option("header", True).option("inferSchema", True).csv(f"{path}/{variant}/{name}").select(F.lit(variant).alias("variant"), *columns)
             both = one if both is None else both.unionByName(one)
+        both = _rounded(both, *[c for c in columns if c in _SALES])
         return both.withColumns({c: F.col(c).cast(t) for c, t in (("cohort_month", "string"), ("transaction_count", "long"), ("unique_customers", "long"), ("active_users", "long"), ("cohort_size", "long")) if c in columns})
 
     return run
 
 
-def write_results(s, d):
-    """The whole pipeline on the dirty events, and the rows of each result read back from CSV and Parquet."""
+def _inputs(s, d) -> tuple[dict[str, str], str]:
+    """The dirty events and their dimensions in the formats that the jobs read, and a folder for what these write."""
     path, raw = _out(s), _raw(s, d)
     io.write_csv(raw["transactions"], f"{path}/in", "transactions")
     raw["users"].write.mode("overwrite").json(f"{path}/in/users")
     raw["products"].write.mode("overwrite").parquet(f"{path}/in/products")
     io.write_csv(raw["merchants"], f"{path}/in", "merchants")
-    names = jobs.run_all(s, {n: f"{path}/in/{n}" for n in io.VALIDATED}, f"{path}/out")
-    counted = None
+    return {n: f"{path}/in/{n}" for n in io.VALIDATED}, f"{path}/out"
+
+
+def _digests(s, path: str, names: list[str]) -> DataFrame:
+    """Rows and content digest of each result, read back from CSV and from Parquet."""
+    found = None
     for name in sorted(names):
-        one = s.read.option("header", True).csv(f"{path}/out/{name}").agg(F.count(F.lit(1)).alias("csv_rows"))
-        one = one.crossJoin(s.read.parquet(f"{path}/out/{name}_parquet").agg(F.count(F.lit(1)).alias("parquet_rows"))).select(F.lit(name).alias("result"), "csv_rows", "parquet_rows")
-        counted = one if counted is None else counted.unionByName(one)
-    return counted
+        parquet = s.read.parquet(f"{path}/{name}_parquet")
+        csv = io.read_csv(s, f"{path}/{name}", parquet.schema)
+        both = [content_digest(df).toDF(f"{kind}_rows", f"{kind}_digest") for kind, df in (("csv", csv), ("parquet", parquet))]
+        one = both[0].crossJoin(both[1]).select(F.lit(name).alias("result"), "csv_rows", "csv_digest", "parquet_rows", "parquet_digest")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def write_results(s, d):
+    """The whole pipeline on the dirty events, and the digest of each result as it was written."""
+    paths, out = _inputs(s, d)
+    return _digests(s, out, jobs.run_all(s, paths, out))
+
+
+def run_modes(s, d):
+    """The same mode by mode, each reading what the one before has written."""
+    paths, out = _inputs(s, d)
+    for mode in ("ingestion", "transformation", "analytics"):
+        jobs.run_mode(s, mode, paths, out)
+    return _digests(s, out, list(_RESULTS))
 
 
 def _split(name: str, rejected: bool) -> Query:
@@ -213,9 +243,7 @@ def merchant_report(s, d):
 
 
 def merchant_report_with_suspicion(s, d):
-    enriched = _enriched(s, d, "tx_events")
-    flagged = windows.detect_suspicious(windows.window_analysis(enriched))
-    return _rounded(merchants.merchant_report_with_suspicion(enriched, flagged), *_SALES)
+    return _rounded(merchants.merchant_report_with_suspicion(_suspicious(s, d)), *_SALES)
 
 
 def cohort_analysis(s, d):
@@ -227,7 +255,7 @@ def _rfm(s, d):
 
 
 _KPI = ["total_revenue", "transaction_count", "unique_customers", "average_transaction_amount"]
-_MERCHANT = ["merchant_id", "merchant_name", "merchant_category", "region", "commission_rate", *_KPI, "total_commission", "rank_in_category", "rank_in_region"]
+_MERCHANT = ["merchant_id", "merchant_name", "merchant_category", "region", "commission_rate", *_KPI, "total_commission", *_SALES, "rank_in_category", "rank_in_region"]
 _COHORTS = ["cohort_month", "period_index", "cohort_size", "active_users", "retention_rate", "revenue", "revenue_per_user"]
 _DESCRIBED = [*_KPI, "total_commission", "rank_in_category", "rank_in_region"]
 
@@ -287,6 +315,7 @@ def queries() -> dict[str, Query]:
         "global_kpi_formatted": lambda s, d: merchants.global_kpi_formatted(_enriched(s, d)),
         "global_kpi": lambda s, d: merchants.global_kpi(_enriched(s, d)),
         "write_results": write_results,
+        "run_modes": run_modes,
     }
     for name in io.VALIDATED:
         found[f"validate_{name}_valid"] = _split(name, rejected=False)
@@ -366,6 +395,17 @@ from (select merchant_id, merchant_name, merchant_category, region, commission_r
       from enriched where merchant_id is not null group by all) k {joined}"""
 
 
+_SUSPICION_SQL = (
+    ", coalesce(s.rate, 0.0) as suspicious_transaction_rate",
+    f"left join (select merchant_id as mid, {_r2('sum(is_suspicious) / count(*) * 100')} as rate from flagged where merchant_id is not null group by 1) s on k.merchant_id = s.mid",
+)
+_COUNTS_SQL = "count(*) as transaction_count, count(distinct user_id) as unique_customers"
+_KPI_FORMATTED_SQL = f"select format('{{:,.2f}}', sum(amount)) as total_revenue, {_COUNTS_SQL}, format('{{:,.2f}}', avg(amount)) as average_transaction_amount from enriched"
+_TOP_PRODUCTS_SQL = f"select product_id, product_name, {_r2('sum(amount)')} as total_revenue, {_r2('avg(rating)')} as average_rating, min(stock) as stock from enriched where product_id is not null group by 1, 2 order by total_revenue desc, product_id limit 10"
+_CATEGORY_SQL = f"""with cr as (select merchant_category, region, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched where merchant_category is not null group by 1, 2)
+  select cr.*, {_r2('total_revenue / tot * 100')} as category_share_percent from cr left join (select region as rg, sum(total_revenue) as tot from cr group by 1) z on cr.region = z.rg"""
+_PAYMENT_SQL = f"select payment_method, day_period, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched group by 1, 2"
+
 _COHORT = f"""monthly as (
   select user_id, amount, cast(date_trunc('month', ts) as date) as mon
   from (select user_id, amount, {_parsed('substring("timestamp", 1, 14)')} as ts from tx_line) a where ts is not null and user_id is not null),
@@ -382,8 +422,8 @@ metrics as (
   select user_id, cast(date_diff('day', cast(max(ts) as date), cast((select max(ts) from dated) as date)) as integer) as recency, count(*) as frequency, {_r2("sum(amount)")} as monetary
   from dated where ts is not null group by user_id),
 scored as (
-  select *, cast(6 - ntile(5) over (order by recency, user_id) as integer) as r, cast(ntile(5) over (order by frequency, user_id) as integer) as f,
-    cast(ntile(5) over (order by monetary, user_id) as integer) as m from metrics),
+  select *, cast(6 - ntile(5) over (order by recency nulls first, user_id nulls first) as integer) as r, cast(ntile(5) over (order by frequency nulls first, user_id nulls first) as integer) as f,
+    cast(ntile(5) over (order by monetary nulls first, user_id nulls first) as integer) as m from metrics),
 rfm as (
   select s.user_id, recency, frequency, monetary, r as recency_score, f as frequency_score, m as monetary_score,
     case when r >= 4 and f >= 4 and m >= 4 then 'Champions' when f >= 4 and m >= 3 then 'Clients fidèles' when r >= 4 and f <= 2 then 'Nouveaux'
@@ -425,24 +465,48 @@ def _quality_sql() -> str:
     return with_tables("tx_dirty", *_DIMS) + "\n" + "\nunion all\n".join(parts)
 
 
+#: Columns of each result as it is written; doubles are marked by a star.
+_RESULTS = {
+    "best_cohort": "cohort_month period_index cohort_size active_users retention_rate* revenue* revenue_per_user*",
+    "category_region": "merchant_category region total_revenue* transaction_count category_share_percent*",
+    "cohort_analysis": "cohort_month period_index cohort_size active_users retention_rate* revenue* revenue_per_user*",
+    "global_kpi": "total_revenue transaction_count unique_customers average_transaction_amount",
+    "merchant_performance": "merchant_id merchant_name merchant_category region commission_rate* total_revenue* transaction_count unique_customers average_transaction_amount* total_commission* sales_Jeune* sales_Adulte* sales_Age_Moyen* sales_Senior* rank_in_category rank_in_region",
+    "payment_period_revenue": "payment_method day_period total_revenue* transaction_count",
+    "rfm_analysis": "user_id recency frequency monetary* recency_score frequency_score monetary_score rfm_segment customer_segment",
+    "rfm_cross_tab": "rfm_segment customer_segment customer_count",
+    "top_products": "product_id product_name total_revenue* average_rating* stock",
+}
+_RESULTS["merchant_performance_suspicion"] = _RESULTS["merchant_performance"] + " suspicious_transaction_rate*"
+
+
+def _digest_sql(columns: str, sql: str) -> str:
+    """``rows, digest`` as ``content_digest`` gives them."""
+    cells = []
+    for name in columns.split():
+        value = f"cast(cast({_r2(name[:-1])} as decimal(30,2)) as varchar)" if name.endswith("*") else f"cast({name} as varchar)"
+        cells.append(f"coalesce({value}, '{NULL}')")
+    return f"select count(*) as n, cast(coalesce(sum(cast('0x' || substr(md5(concat_ws('|', {', '.join(cells)})), 1, 15) as bigint)), 0) as varchar) as digest from ({sql}) q"
+
+
 def _results_sql() -> str:
-    """Rows of every result of the whole job, which validates the dirty events first."""
+    """Rows and digest of every result of the whole job, which validates the dirty events first."""
     valid = [f"tx_events as ({duck_sql('tx_events')})", f"tx_dirty as ({duck_sql('tx_dirty')})", f"tx_line as (select * from tx_dirty where {_BROKEN['transactions']} is null)"]
     valid += [f"{name} as (select * from ({duck_sql(name)}) z where {_BROKEN[name]} is null)" for name in _DIMS]
-    rows = {
-        "global_kpi": "select 1 as x",
+    results = {
+        "global_kpi": _KPI_FORMATTED_SQL,
         "merchant_performance": _merchant_sql(),
-        "merchant_performance_suspicion": _merchant_sql(),
+        "merchant_performance_suspicion": _merchant_sql(*_SUSPICION_SQL),
         "cohort_analysis": "select * from cohorts",
-        "best_cohort": "select * from cohorts where period_index = 3 limit 1",
+        "best_cohort": "select * from cohorts where period_index = 3 order by retention_rate desc, cohort_month limit 1",
         "rfm_analysis": "select * from rfm",
-        "rfm_cross_tab": "select distinct rfm_segment, customer_segment from rfm",
-        "top_products": "select distinct product_id, product_name from enriched where product_id is not null limit 10",
-        "category_region": "select distinct merchant_category, region from enriched where merchant_category is not null",
-        "payment_period_revenue": "select distinct payment_method, day_period from enriched",
+        "rfm_cross_tab": "select rfm_segment, customer_segment, count(*) as customer_count from rfm group by 1, 2",
+        "top_products": _TOP_PRODUCTS_SQL,
+        "category_region": _CATEGORY_SQL,
+        "payment_period_revenue": _PAYMENT_SQL,
     }
-    counted = [f"select '{name}' as result, count(*) as csv_rows, count(*) as parquet_rows from ({sql}) q" for name, sql in rows.items()]
-    return "with " + ",\n".join([*valid, _enriched_sql("tx_line"), _COHORT, _RFM]) + "\n" + "\nunion all\n".join(counted)
+    digests = [f"select '{name}' as result, n as csv_rows, digest as csv_digest, n as parquet_rows, digest as parquet_digest from ({_digest_sql(_RESULTS[name], sql)}) d" for name, sql in results.items()]
+    return "with " + ",\n".join([*valid, _enriched_sql("tx_line"), _WINDOWED, _FLAGGED, _COHORT, _RFM]) + "\n" + "\nunion all\n".join(digests)
 
 
 def _describe_sql() -> str:
@@ -461,7 +525,6 @@ def _variants(sql: str, columns: list[str]) -> str:
 def oracle_sql() -> dict[str, str]:
     line = _with_enriched("tx_line")
     valid = f"select {_COLUMNS['transactions']} from tx_dirty where {_BROKEN['transactions']} is null"
-    kpi = "count(*) as transaction_count, count(distinct user_id) as unique_customers"
     found = {
         "read_csv_transactions": f"{with_tables('tx_events')} select * from tx_events",
         "read_json_users": f"{with_tables('users')} select {_COLUMNS['users']} from users",
@@ -486,27 +549,23 @@ def oracle_sql() -> dict[str, str]:
         "suspicious_count": f"{_EVENTS_FLAGGED} select count(*) as suspicious_transactions from flagged where is_suspicious = 1",
         "top_suspicious": f"{_EVENTS_FLAGGED} select transaction_id, user_id, amount, {_r2('hist', 9)} as historical_average_amount, {', '.join(_FLAGS)} from flagged where is_suspicious = 1 order by amount desc, transaction_id limit 20",
         "merchant_report": f"{line} {_merchant_sql()}",
-        "merchant_report_with_suspicion": _EVENTS_FLAGGED
-        + _merchant_sql(
-            ", coalesce(s.rate, 0.0) as suspicious_transaction_rate",
-            f"left join (select merchant_id as mid, {_r2('sum(is_suspicious) / count(*) * 100')} as rate from flagged where merchant_id is not null group by 1) s on k.merchant_id = s.mid",
-        ),
-        "merchant_revenue_ranking": f"{line} select merchant_id, {_r2('sum(amount)')} as total_revenue, {kpi} from enriched where merchant_id is not null group by merchant_id",
+        "merchant_report_with_suspicion": _EVENTS_FLAGGED + _merchant_sql(*_SUSPICION_SQL),
+        "merchant_revenue_ranking": f"{line} select merchant_id, {_r2('sum(amount)')} as total_revenue, {_COUNTS_SQL} from enriched where merchant_id is not null group by merchant_id",
         "cohort_analysis": f"{with_tables('tx_line')},\n{_COHORT} select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts",
         "best_cohort_3m": f"{with_tables('tx_line')},\n{_COHORT} select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts where period_index = 3 order by retention_rate desc, cohort_month limit 1",
         "rfm": f"{with_tables('tx_line', 'users')},\n{_RFM} select * from rfm",
         "rfm_crosstab": f"{with_tables('tx_line', 'users')},\n{_RFM} select rfm_segment, customer_segment, count(*) as customer_count from rfm group by 1, 2",
         "rfm_distribution": f"{with_tables('tx_line', 'users')},\n{_RFM} select rfm_segment, count(*) as customer_count from rfm group by 1",
-        "top_products": f"{line} select product_id, product_name, {_r2('sum(amount)')} as total_revenue, {_r2('avg(rating)')} as average_rating, min(stock) as stock from enriched where product_id is not null group by 1, 2 order by total_revenue desc, product_id limit 10",
-        "category_region": f"""{line}, cr as (select merchant_category, region, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched where merchant_category is not null group by 1, 2)
-          select cr.*, {_r2('total_revenue / tot * 100')} as category_share_percent from cr left join (select region as rg, sum(total_revenue) as tot from cr group by 1) z on cr.region = z.rg""",
-        "payment_period": f"{line} select payment_method, day_period, {_r2('sum(amount)')} as total_revenue, count(*) as transaction_count from enriched group by 1, 2",
-        "global_kpi_formatted": f"{line} select format('{{:,.2f}}', sum(amount)) as total_revenue, {kpi}, format('{{:,.2f}}', avg(amount)) as average_transaction_amount from enriched",
-        "global_kpi": f"{line} select {_r2('sum(amount)')} as total_revenue, {kpi}, {_r2('avg(amount)')} as average_transaction_amount from enriched",
+        "top_products": f"{line} {_TOP_PRODUCTS_SQL}",
+        "category_region": f"{line} select * from ({_CATEGORY_SQL}) z",
+        "payment_period": f"{line} {_PAYMENT_SQL}",
+        "global_kpi_formatted": f"{line} {_KPI_FORMATTED_SQL}",
+        "global_kpi": f"{line} select {_r2('sum(amount)')} as total_revenue, {_COUNTS_SQL}, {_r2('avg(amount)')} as average_transaction_amount from enriched",
     }
     found["write_results"], found["merchant_kpi_describe"] = _results_sql(), _describe_sql()
+    found["run_modes"] = found["write_results"]
     found["roundtrip_enriched_csv"], found["roundtrip_quality_report"], found["wide_transformation"] = found["enrich"], found["quality_report"], found["enrich_broadcast"]
-    kpis = f"select {_r2('sum(amount)')} as total_revenue, {kpi}, {_r2('avg(amount)')} as average_transaction_amount from enriched"
+    kpis = f"select {_r2('sum(amount)')} as total_revenue, {_COUNTS_SQL}, {_r2('avg(amount)')} as average_transaction_amount from enriched"
     found["comparison_global_kpi"] = _variants(f"{line}\x00{kpis}", _KPI)
     found["comparison_merchant_performance"] = _variants(f"{line}\x00{_merchant_sql()}", _MERCHANT)
     found["comparison_cohort_analysis"] = _variants(f"{with_tables('tx_line')},\n{_COHORT}\x00select * replace (cast(cohort_month as varchar) as cohort_month) from cohorts", _COHORTS)
