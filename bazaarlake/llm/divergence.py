@@ -13,7 +13,6 @@ of the group, the difference to its baseline against the peers' baselines.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,10 @@ from .common import give_back, stored, trimmed
 from .runs import counted
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-BILLION = 1_000_000_000
 SHARD_ROWS = 100_000  # postings of a task
 BLOCK_GROUPS = 512  # groups whose rows a task accumulates
-_HELD = 200_000
+_HELD = 500_000  # terms of a task before they are passed on
+_DOC = 1 << 40  # occurrences and documents of a term are held in one number
 _CELLS = 500_000  # of a work array
 
 
@@ -48,27 +47,26 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents of each term, and a row with a null term for each group."""
+    """``lang, source, term, n, docs``: occurrences and documents of each term in each group; all rows of a term of a language are in one partition."""
     names = ["lang", "source", "term", "n", "docs"]
 
     def count(batches):
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[str, int]] = {}
         size = 0
 
         def told():
-            for (lang, source), (n, docs_) in held.items():
-                terms = [None, *n]
-                columns = ([lang] * len(terms), [source] * len(terms), terms, [0, *n.values()], [0, *(docs_[t] for t in n)])
+            for (lang, source), both in held.items():
+                packed = np.fromiter(both.values(), np.int64, len(both))
+                columns = [lang] * len(both), [source] * len(both), list(both), packed % _DOC, packed // _DOC
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names)
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                n, docs_ = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                found = counted(text, TERM) if text else ()
-                n.update(found)
-                docs_.update(dict.fromkeys(found, 1))
-                size += len(n) - before
+                both = held.setdefault((lang, source), {})
+                before, get = len(both), both.get
+                for term, n in counted(text, TERM).items() if text else ():
+                    both[term] = get(term, 0) + n + _DOC
+                size += len(both) - before
                 if size > _HELD:
                     yield from told()
                     held, size = {}, 0
@@ -76,7 +74,8 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col)])
     found = named.mapInArrow(trimmed(count), "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have summed up already; dealt by term, what follows needs no other shuffle.
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def accumulate(group: np.ndarray, term: np.ndarray, p: np.ndarray, p0: np.ndarray, mine: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -126,18 +125,17 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     as they come; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    counts = stored(term_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("of_lang"))
-    terms = stored(terms.where(F.col("docs") >= least_docs), "divergence-terms")
-    postings = stored(counts.where("term is not null").join(terms.select("lang", "term", "of_lang"), ["lang", "term"]).select("lang", "source", "term", "n", "of_lang"), "divergence-postings")
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, text_col, lang_col, source_col).withColumns({"of_docs": F.sum("docs").over(of_term), "of_lang": F.sum("n").over(of_term)})
+    postings = stored(counts.where(F.col("of_docs") >= least_docs).select("lang", "source", "term", "n", "of_lang"), "divergence-postings")
 
     # One row for each group and for each language, small tables: numbers of groups, kept terms and occurrences.
-    occurring = counts.where("term is null").select("lang", "source")
+    occurring = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]).distinct()
     held = postings.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
     groups = occurring.join(held, ["lang", "source"], "left").na.fill(0, ["total", "rows"])
     groups = groups.withColumn("gid", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"), F.sum("total").alias("lang_total"), F.sum("rows").alias("lang_rows"))
-    langs = langs.join(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms")), "lang", "left").na.fill(0, ["terms"])
+    langs = langs.join(postings.groupBy("lang").agg(F.countDistinct("term").alias("terms")), "lang", "left").na.fill(0, ["terms"])
     langs = langs.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("lang_rows") / shard_rows)).cast("int")).withColumn("blocks", F.ceil(F.col("groups") / block_groups).cast("int"))
     groups = stored(groups.join(langs, "lang"), "divergence-groups")
 
