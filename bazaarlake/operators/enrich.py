@@ -18,16 +18,18 @@ ENRICHED = [
 
 KEYS = ["user_id", "product_id", "merchant_id"]
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128_000_000
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; at most ``rows + 1`` are counted."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows whose JSON text is at most ``size`` bytes; at most ``rows + 1`` rows are read."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return found.n <= rows and (found.bytes or 0) <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a table of at most ``rows`` rows; a larger one is left to be shuffled."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint for a small table (see ``is_small``); a larger one is left to be shuffled."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
 
 
 def joined(transactions: DataFrame, users: DataFrame, products: DataFrame, merchants: DataFrame, broadcast: bool = False, hot: HotKeys | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .skew import LEAST_ROWS, hot_keys
+from .skew import LEAST_ROWS, hot_keys, split_join
 
 SPLITS = 200
 DAY = 86_400
@@ -36,9 +36,9 @@ def split(df: DataFrame, users: list[str | None], usual, long) -> DataFrame:
     return usual(df.where(~is_hot(users))).unionByName(long(df.where(is_hot(users))))
 
 
-def _splits(df: DataFrame, place: Column) -> DataFrame:
-    """``_user, _at``: at most ``SPLITS`` places of each user, sampled by a hash."""
-    slices = df.groupBy("user_id", F.pmod(F.xxhash64("transaction_id"), F.lit(SPLITS)).alias("_slice")).agg(F.min_by(place, F.xxhash64("transaction_id")).alias("_at"))
+def _splits(df: DataFrame, place: Column, by: str = "transaction_id") -> DataFrame:
+    """``_user, _at``: at most ``SPLITS`` places of each user, sampled by a hash of ``by``."""
+    slices = df.groupBy("user_id", F.pmod(F.xxhash64(by), F.lit(SPLITS)).alias("_slice")).agg(F.min_by(place, F.xxhash64(by)).alias("_at"))
     return slices.select(F.col("user_id").alias("_user"), "_at")
 
 
@@ -79,72 +79,82 @@ def ranks(df: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(counts), F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
 
 
-def frames(df: DataFrame, seconds: int) -> DataFrame:
-    """Adds ``cumulative_amount_7d``, the sum over the user's last ``seconds``, and ``_before``, the time of the user's previous row.
+def previous(df: DataFrame) -> DataFrame:
+    """Adds ``_before``, the time of the user's previous row."""
+    cut = _with_earlier(_chunked(df, "transaction_datetime"), {"_time_max": F.max("transaction_datetime")})
+    within = Window.partitionBy("user_id", "_chunk").orderBy("transaction_datetime", "transaction_id")
+    before = F.when(F.row_number().over(within) == 1, F.col("_time_max")).otherwise(F.lag("transaction_datetime").over(within))
+    return cut.withColumn("_before", before).drop("_time_max", "_chunk")
+
 
-    Chunks also end at each multiple of ``seconds``, so that a frame always
-    begins in an earlier chunk than it ends in. It is the end of the chunk that
-    it begins in, the whole chunks between, and the beginning of its own:
-    three sums of doubles in which nothing is taken away again, so that a NaN
-    or a large amount outside of the frame changes nothing. For the first of
-    them each row is sent to the chunk where its frame begins. Rows of one
-    second stay together. Rows without a time have the sum of all rows without
-    one, as a range frame.
+def frame_sums(moments: DataFrame, seconds: int) -> DataFrame:
+    """Adds ``cumulative_amount_7d``, the sum of ``_amount`` over the user's last ``seconds``, to one row for each user and second ``_at``.
+
+    Chunks end at sampled seconds and at each multiple of ``seconds``, so that
+    a frame always begins in an earlier chunk than it ends in. It is the end of
+    the chunk that it begins in, the whole chunks between, and the beginning of
+    its own: three sums of doubles in which nothing is taken away again, so
+    that a NaN or a large amount outside of the frame changes nothing. For the
+    first of them each row is sent to the chunk where its frame begins.
     """
-    df = stored(df, "long-users")
-    timed = F.col("transaction_datetime").isNotNull()
-    at = F.unix_timestamp("transaction_datetime")
-    rows = df.where(timed).withColumn("_at", at)
-    grid = rows.select(F.col("user_id").alias("_user"), (F.floor(F.col("_at") / seconds) * seconds).alias("_at")).distinct()
-    cut = stored(_cut(rows, _splits(rows, F.col("_at")).unionByName(grid), {"_chunk": F.col("_at"), "_first": F.col("_at") - seconds}), "long-users")
+    grid = moments.select(F.col("user_id").alias("_user"), (F.floor(F.col("_at") / seconds) * seconds).alias("_at")).distinct()
+    splits = _splits(moments, F.col("_at"), "_at").unionByName(grid)
+    cut = stored(_cut(moments, splits, {"_chunk": F.col("_at"), "_first": F.col("_at") - seconds}), "long-users")
 
     chunk = Window.partitionBy("user_id", "_chunk")
-    within = chunk.orderBy("_at", "transaction_id")
-    upto = chunk.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    own = _with_earlier(cut, {"_time_max": F.max("transaction_datetime")})
-    before = F.when(F.row_number().over(within) == 1, F.col("_time_max")).otherwise(F.lag("transaction_datetime").over(within))
-    own = own.withColumns({"_before": before, "_own": F.sum("amount").over(upto)}).drop("_time_max")
-
+    own = cut.withColumn("_own", F.sum("_amount").over(chunk.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)))
     asking = own.withColumns({"_home": F.col("_chunk"), "_chunk": F.col("_first"), "_at": F.col("_at") - seconds, "_add": F.lit(None).cast("double"), "_asks": F.lit(True)})
-    adding = cut.select("user_id", "_chunk", "_at", F.col("amount").alias("_add"), F.lit(False).alias("_asks"))
+    adding = cut.select("user_id", "_chunk", "_at", F.col("_amount").alias("_add"), F.lit(False).alias("_asks"))
     since = chunk.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
-    ended = asking.unionByName(adding, allowMissingColumns=True).withColumn("_end", F.sum("_add").over(since)).where("_asks")
+    ended = asking.unionByName(adding, allowMissingColumns=True).withColumn("_end", F.sum("_add").over(since)).where("_asks").withColumn("_at", F.col("_at") + seconds)
 
-    sums = cut.groupBy(F.col("user_id").alias("_user"), F.col("_chunk").alias("_of")).agg(F.sum("amount").alias("_sum")).where("_sum is not null")
+    sums = cut.groupBy(F.col("user_id").alias("_user"), F.col("_chunk").alias("_of")).agg(F.sum("_amount").alias("_sum")).where("_sum is not null")
     sums = sums.groupBy("_user").agg(F.collect_list(F.struct("_of", "_sum")).alias("_sums"))  # as many as chunks
-    spans = cut.groupBy(F.col("user_id").alias("_name"), F.col("_first").alias("_a"), F.col("_chunk").alias("_c")).agg(F.lit(1).alias("_one"))
+    spans = cut.select(F.col("user_id").alias("_name"), F.col("_first").alias("_a"), F.col("_chunk").alias("_c")).distinct()
     between = F.filter("_sums", lambda s: (s["_of"] > F.col("_a")) & (s["_of"] < F.col("_c")))
     whole = F.when(F.size("_inside") > 0, F.aggregate("_inside", F.lit(0.0), lambda total, s: total + s["_sum"]))
     spans = spans.join(sums, F.col("_name").eqNullSafe(F.col("_user"))).withColumn("_inside", between).select("_name", "_a", "_c", whole.alias("_whole"))
     summed = ended.join(spans, F.col("user_id").eqNullSafe(F.col("_name")) & (F.col("_first") == F.col("_a")) & (F.col("_home") == F.col("_c")), "left")
     parts = [F.col(c) for c in ("_end", "_whole", "_own")]
     total = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
+    return summed.select(*moments.columns, total.alias("cumulative_amount_7d"))
 
-    untimed = df.where(~timed).withColumn("_before", F.lit(None).cast("timestamp"))
-    of_user = untimed.groupBy(F.col("user_id").alias("_user")).agg(F.sum("amount").alias("cumulative_amount_7d"))
-    untimed = untimed.join(F.broadcast(of_user), F.col("user_id").eqNullSafe(F.col("_user"))).drop("_user")
-    columns = [*df.columns, "_before", "cumulative_amount_7d"]
-    return summed.withColumn("cumulative_amount_7d", total).select(*columns).unionByName(untimed.select(*columns))
 
+def active_days(moments: DataFrame, seconds: int) -> DataFrame:
+    """Adds ``active_days_7d`` to one row for each user and second ``_at``, from one row for each user and day.
 
-def active_days(df: DataFrame, seconds: int) -> DataFrame:
-    """Adds ``active_days_7d`` from one row for each user and day, which are few, joined back to the transactions.
-
-    The days before the frame's first day lie wholly in it; that first day
-    counts if the user's last second of it does. A null time counts 0 days.
+    The days after the frame's first day lie wholly in it; that first day
+    counts if the user's last second of it does.
     """
-    span = seconds // DAY
-    days = df.where(F.col("transaction_date").isNotNull()).groupBy("user_id", "transaction_date").agg(F.max(F.unix_timestamp("transaction_datetime")).alias("_last"))
+    span, day = seconds // DAY, F.unix_date(F.to_date(F.timestamp_seconds("_at")))
+    days = moments.groupBy("user_id", day.alias("_day")).agg(F.max("_at").alias("_last"))
     user = Window.partitionBy("user_id").orderBy("_day")
-    days = days.withColumn("_day", F.unix_date("transaction_date")).select(
+    days = days.select(
         F.col("user_id").alias("_user"),
-        F.col("transaction_date").alias("_date"),
+        F.col("_day").alias("_of"),
         F.count(F.lit(1)).over(user.rangeBetween(-(span - 1), 0)).alias("_inside"),
         F.max("_last").over(user.rangeBetween(-span, -span)).alias("_edge"),
     )
-    edge = F.when(F.col("_edge") >= F.unix_timestamp("transaction_datetime") - seconds, 1).otherwise(0)
-    joined = df.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("transaction_date") == F.col("_date")), "left")
-    return joined.withColumn("active_days_7d", F.coalesce(F.col("_inside") + edge, F.lit(0)).cast("int")).drop("_user", "_date", "_inside", "_edge")
+    edge = F.when(F.col("_edge") >= F.col("_at") - seconds, 1).otherwise(0)
+    joined = moments.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (day == F.col("_of")), "left")
+    return joined.select(*moments.columns, (F.col("_inside") + edge).cast("int").alias("active_days_7d"))
+
+
+def seven_days(df: DataFrame, seconds: int) -> DataFrame:
+    """Adds ``cumulative_amount_7d``, ``active_days_7d`` and ``_before`` as the windows by user give them.
+
+    Sums and days are the same for all rows of a user and second, so they are
+    made from one row for each, and joined back; a second of very many rows is
+    dealt among tasks. Rows without a time have the sum of all of the user's
+    rows without one, as a range frame, and no active days.
+    """
+    at = F.unix_timestamp("transaction_datetime")
+    rows = stored(previous(df).withColumn("_second", F.struct("user_id", at.alias("at"))), "long-users")
+    moments = rows.groupBy("_second").agg(F.sum("amount").alias("_amount")).select(F.col("_second.user_id").alias("user_id"), F.col("_second.at").alias("_at"), "_amount")
+    timed = stored(moments.where("_at is not null"), "long-users")
+    found = active_days(frame_sums(timed, seconds), seconds).unionByName(moments.where("_at is null").select("user_id", "_at", "_amount", F.col("_amount").alias("cumulative_amount_7d"), F.lit(0).alias("active_days_7d")))
+    found = found.select(F.struct("user_id", F.col("_at").alias("at")).alias("_second"), "cumulative_amount_7d", "active_days_7d")
+    return split_join(rows, found, "_second", hot_keys(rows, ["_second"])["_second"]).drop("_second")
 
 
 def earlier_average(df: DataFrame) -> DataFrame:

@@ -37,11 +37,6 @@ def _windows(df: DataFrame, limits: Limits) -> DataFrame:
     return df.withColumn("active_days_7d", days.cast("int")).drop("_at", "_day", "_new_day")
 
 
-def _long_windows(df: DataFrame, limits: Limits) -> DataFrame:
-    """The same for users of very many rows."""
-    return long_users.active_days(long_users.frames(df, limits.window_seconds), limits.window_seconds)
-
-
 def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] | None = None) -> DataFrame:
     """Adds parsed time and date, seven-day amount and active days, activity flag and days since the last transaction.
 
@@ -51,7 +46,7 @@ def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: lis
     hot_users = long_users.hot_users(enriched) if hot_users is None else hot_users
     ts = parse_prefix(F.col("timestamp"))
     df = enriched.withColumn("transaction_datetime", ts).withColumn("transaction_date", F.to_date("transaction_datetime"))
-    df = long_users.split(df, hot_users, lambda rows: _windows(rows, limits), lambda rows: _long_windows(rows, limits))
+    df = long_users.split(df, hot_users, lambda rows: _windows(rows, limits), lambda rows: long_users.seven_days(rows, limits.window_seconds))
     return df.withColumns(
         {
             "active_user_7d": F.when(F.col("active_days_7d") >= limits.active_days, 1).otherwise(0),

@@ -102,10 +102,6 @@ def dimensions(spark):
     return users, items, shops
 
 
-def with_dates(df):
-    return df.withColumn("transaction_datetime", tf.parse_prefix(F.col("timestamp"))).withColumn("transaction_date", F.to_date("transaction_datetime"))
-
-
 def test_active_days_equal_the_plain_form(spark):
     rng = random.Random(3)
     stamp = lambda: f"202401{rng.randint(1, 25):02d}{rng.randint(0, 23):02d}{rng.choice([0, 30]):02d}00"
@@ -113,11 +109,31 @@ def test_active_days_equal_the_plain_form(spark):
     df = with_dates(frame(spark, rows))
     span = Window.partitionBy("user_id").orderBy(F.unix_timestamp("transaction_datetime")).rangeBetween(-604800, 0)
     plain = df.withColumn("n", F.size(F.collect_set("transaction_date").over(span))).select("transaction_id", "n")
-    for found in (windows.window_analysis(frame(spark, rows)), long_users.active_days(df, 604_800)):
-        both = found.join(plain, "transaction_id")
+    for hot in ([], ["A", None]):
+        both = windows.window_analysis(frame(spark, rows), hot_users=hot).join(plain, "transaction_id")
         assert both.count() == 300 and both.where("n <> active_days_7d").count() == 0
 
 
+def with_dates(df):
+    return df.withColumn("transaction_datetime", tf.parse_prefix(F.col("timestamp"))).withColumn("transaction_date", F.to_date("transaction_datetime"))
+
+
+def test_many_rows_of_one_user_and_second_are_dealt_among_tasks(spark, monkeypatch):
+    rows = with_dates(frame(spark, [tx(i, user=None, ts="20240105120000" if i % 3 else f"202401{i % 28 + 1:02d}0000{i % 60:02d}") for i in range(3000)]))
+    monkeypatch.setattr(long_users, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, least=50))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = long_users.seven_days(rows, 604_800)
+        tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 3000 and max(tasks) < 3 * 3000 / 16, tasks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def exchanges(df):
     """Shuffles of the physical plan, by what they are dealt by."""
     return re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
@@ -318,3 +334,5 @@ def test_large_dimensions_are_not_broadcast(spark):
     df = spark.range(10)
     assert "broadcast" in enrich.broadcast_if_small(df, 10)._jdf.queryExecution().toString().lower()
     assert "broadcast" not in enrich.broadcast_if_small(df, 9)._jdf.queryExecution().toString().lower()
+    assert enrich.is_small(df, 10, 80) and not enrich.is_small(df, 10, 79)  # {"id":0} has 8 bytes
+    assert enrich.is_small(df.where("id < 0"), 0, 0)
