@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,20 @@ def exact_ntile(df: DataFrame, n: int, metrics: list[str], tiebreak: str) -> Dat
     # Of each slice of the hash space, one pair: at most SPLITS rows for each metric, sorted into one array.
     slices = df.select(F.pmod(F.hash(tiebreak), F.lit(SPLITS)).alias("_slice"), F.xxhash64(tiebreak).alias("_hash"), F.posexplode(places).alias("_metric", "_at"))
     slices = slices.groupBy("_metric", "_slice").agg(F.min_by("_at", "_hash").alias("_at"))
-    splits = stored(slices.groupBy("_metric").agg(F.array_sort(F.collect_list("_at")).alias("_splits")), "ranked-splits")
+    # At most SPLITS of each metric reach the driver, and below as many sizes of buckets.
+    splits = slices.groupBy("_metric").agg(F.array_sort(F.collect_list("_at")).alias("_splits"))
+    splits = df.sparkSession.createDataFrame(splits.collect(), splits.schema)
     rest = F.struct(*columns)
     stacked = df.select("_row", F.posexplode(F.arrays_zip(places.alias("at"), F.array(rest, *[F.lit(None)] * (len(metrics) - 1)).alias("rest"))).alias("_metric", "_both"))
     stacked = stacked.select("_row", "_metric", F.col("_both.at").alias("_at"), F.col("_both.rest").alias("_rest")).join(F.broadcast(splits), "_metric")
     stacked = stacked.withColumn("_bucket", F.size(F.filter("_splits", lambda split: split <= F.col("_at")))).drop("_splits")
 
-    # At most SPLITS + 1 sizes for each metric.
-    sizes = stacked.groupBy("_metric", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    metric = Window.partitionBy("_metric")
-    before = metric.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_metric", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(metric).alias("_total"))
+    sizes = stacked.groupBy("_metric", "_bucket").agg(F.count(F.lit(1)).alias("_n")).orderBy("_metric", "_bucket").collect()
+    total, starts = Counter(), []
+    for r in sizes:
+        starts.append((r["_metric"], r["_bucket"], total[r["_metric"]]))
+        total[r["_metric"]] += r["_n"]
+    starts = df.sparkSession.createDataFrame([(m, b, before, total[m]) for m, b, before in starts], "_metric int, _bucket int, _before long, _total long")
     rank = F.row_number().over(Window.partitionBy("_metric", "_bucket").orderBy("_at"))
     tiles = stacked.withColumn("_rank", rank).join(F.broadcast(starts), ["_metric", "_bucket"]).withColumn("_tile", _tile(F.col("_rank") + F.col("_before"), F.col("_total"), n))
     scores = [F.max(F.when(F.col("_metric") == i, F.col("_tile"))).alias(f"{m}_score") for i, m in enumerate(metrics)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timefeatures import parse_prefix, r2
+from ..sources.scratch import stored
 from .ranking import exact_ntile
 
 
@@ -24,8 +25,9 @@ def segment(r: Column, f: Column, m: Column) -> Column:
 def rfm_metrics(transactions: DataFrame) -> DataFrame:
     """Days since the last transaction of all data, number and sum of transactions of each user; a null user is a row."""
     dated = transactions.select("user_id", "amount", parse_prefix(F.col("timestamp")).alias("_ts")).where("_ts is not null")
-    last = dated.agg(F.max("_ts").alias("_ref"))
-    users = dated.groupBy("user_id").agg(F.max("_ts").alias("_last"), F.count(F.lit(1)).alias("frequency"), r2(F.sum("amount")).alias("monetary"))
+    # Stored, so that the last time of all is found among users and transactions are read once.
+    users = stored(dated.groupBy("user_id").agg(F.max("_ts").alias("_last"), F.count(F.lit(1)).alias("frequency"), r2(F.sum("amount")).alias("monetary")), "rfm-users")
+    last = users.agg(F.max("_last").alias("_ref"))
     return users.crossJoin(F.broadcast(last)).select("user_id", F.datediff("_ref", F.to_date("_last")).alias("recency"), "frequency", "monetary")
 
 

@@ -17,16 +17,16 @@ def hot_keys(df: DataFrame, keys: list[str], least: int = LEAST_ROWS) -> HotKeys
     values as partitions are hot in a column, so few reach the driver.
     """
     parts = ", ".join(f"'{k}', cast(`{k}` as string)" for k in keys)
-    counts = df.select(F.expr(f"stack({len(keys)}, {parts}) as (_of, _key)")).groupBy("_of", "_key").agg(F.count(F.lit(1)).alias("n")).persist()
-    try:
-        total = counts.where(F.col("_of") == keys[0]).agg(F.sum("n")).first()[0] or 0
-        share = max(least, total // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        found: HotKeys = {k: {} for k in keys}
-        for row in counts.where(F.col("n") > share).collect():
-            found[row["_of"]][row["_key"]] = -(-row.n // share)
-        return found
-    finally:
-        counts.unpersist()
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(F.expr(f"stack({len(keys)}, {parts}) as (_of, _key)")).groupBy("_of", "_key").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.where(F.col("n") > least).orderBy(F.desc("n")).limit(most * len(keys)).collect()
+    found: HotKeys = {k: {} for k in keys}
+    if large:
+        share = max(least, df.count() // most)
+        for row in large:
+            if row.n > share:
+                found[row["_of"]][row["_key"]] = -(-row.n // share)
+    return found
 
 
 def _salts(key: str, hot: dict[str | None, int]) -> Column:

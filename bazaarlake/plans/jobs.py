@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +49,7 @@ def run_detection(enriched: DataFrame, hot: list[str | None] | None = None) -> D
 
 
 Report = Callable[[], DataFrame]
-WRITERS = 4  # results that are written at the same time
+WRITERS = 8  # results that are written at the same time
 
 
 def run_customers(enriched: DataFrame) -> DataFrame:
@@ -68,52 +68,63 @@ def reports(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> d
     }
 
 
-def derived(customers: DataFrame, done: dict[str, DataFrame]) -> dict[str, Report]:
-    """Reports made from the sums by customer, and from other reports."""
+def derived(customers: Report, done: Callable[[str], DataFrame]) -> dict[str, Report]:
+    """Reports made from the sums by customer, and from other reports that ``done`` gives by name."""
     return {
-        "merchant_performance_suspicion": lambda: merchants.report_by_customer(customers),
-        "merchant_performance": lambda: merchants.report_by_customer(customers.drop("_suspicious")),
-        "global_kpi": lambda: merchants.global_kpi_by_customer(customers, formatted=True),
-        "best_cohort": lambda: cohorts.best_cohort_at(done["cohort_analysis"]),
-        "rfm_cross_tab": lambda: rfm.rfm_crosstab(done["rfm_analysis"]),
+        "merchant_performance_suspicion": lambda: merchants.report_by_customer(customers()),
+        "merchant_performance": lambda: merchants.report_by_customer(customers().drop("_suspicious")),
+        "global_kpi": lambda: merchants.global_kpi_by_customer(customers(), formatted=True),
+        "best_cohort": lambda: cohorts.best_cohort_at(done("cohort_analysis")),
+        "rfm_cross_tab": lambda: rfm.rfm_crosstab(done("rfm_analysis")),
     }
 
 
 def run_analytics(enriched: DataFrame, transactions: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
     """Every report by the name it is written under."""
     done = {name: make() for name, make in reports(enriched, transactions, users).items()}
-    return done | {name: make() for name, make in derived(run_customers(enriched), done).items()}
+    customers = run_customers(enriched)
+    return done | {name: make() for name, make in derived(lambda: customers, done.get).items()}
 
 
 def write_analytics(spark: SparkSession, output: str) -> list[str]:
     """Make the reports from the validated and enriched tables under ``output`` and write them there; returns their names.
 
     The enriched table is cached meanwhile. Reports are jobs of their own, so
-    a few are submitted at the same time; derived ones read what is written.
+    several are submitted at the same time; derived ones wait for what they
+    are made from, which is submitted before them.
     """
     valid = io.read_validated(spark, output)
     enriched = io.read_enriched(spark, output).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def write(report: tuple[str, Report]) -> tuple[str, DataFrame]:
-        return report[0], io.write_result(report[1](), output, report[0])
-
     try:
         with ThreadPoolExecutor(WRITERS) as pool:
             customers = pool.submit(run_customers, enriched)
-            done = dict(pool.map(write, reports(enriched, valid["transactions"], valid["users"]).items()))
-            done |= dict(pool.map(write, derived(customers.result(), done).items()))
+            done: dict[str, Future[DataFrame]] = {}
+            for some in (reports(enriched, valid["transactions"], valid["users"]), derived(customers.result, lambda name: done[name].result())):
+                for name, make in some.items():
+                    done[name] = pool.submit(lambda make=make, name=name: io.write_result(make(), output, name))
+            for written in done.values():
+                written.result()
+            return list(done)
     finally:
         enriched.unpersist()
-    return list(done)
+
+
+def _write_ingested(tables: Tables, output: str) -> Report:
+    """Write the validated tables, and begin the quality report beside them; calling what is returned waits for it."""
+    pool = ThreadPoolExecutor(1)
+    quality = pool.submit(lambda: io.write_quality_report(validation.quality_report(**tables), output))
+    io.write_validated(run_validation(tables)[0], output)
+    pool.shutdown(wait=False)
+    return quality.result
 
 
 def run_all(spark: SparkSession, paths: dict[str, str], output: str) -> list[str]:
     """Ingest, validate, report quality, enrich and analyse; returns the names of the results written."""
-    tables = run_ingestion(spark, paths)
-    io.write_validated(run_validation(tables)[0], output)
-    io.write_quality_report(validation.quality_report(**tables), output)
+    reported = _write_ingested(run_ingestion(spark, paths), output)
     io.write_enriched(run_transformation(io.read_validated(spark, output)), output)
-    return write_analytics(spark, output)
+    names = write_analytics(spark, output)
+    reported()
+    return names
 
 
 VARIANTS = {"comparison_without_optimization": False, "comparison_optimized": True}
@@ -136,9 +147,7 @@ def run_comparison(tables: Tables, output: str) -> None:
 def run_mode(spark: SparkSession, mode: str, paths: dict[str, str], output: str) -> None:
     """``ingestion``, ``transformation``, ``wide_transformation``, ``analytics`` or ``all``; each mode rereads what ingestion and transformation wrote."""
     if mode == "ingestion":
-        tables = run_ingestion(spark, paths)
-        io.write_validated(run_validation(tables)[0], output)
-        io.write_quality_report(validation.quality_report(**tables), output)
+        _write_ingested(run_ingestion(spark, paths), output)()
     elif mode == "transformation":
         io.write_enriched(run_transformation(io.read_validated(spark, output)), output)
     elif mode == "wide_transformation":

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,23 +145,32 @@ def _comparison(name: str, columns: list[str]) -> Query:
 def _inputs(s, d) -> tuple[dict[str, str], str]:
     """The dirty events and their dimensions in the formats that the jobs read, and a folder for what these write."""
     path, raw = _out(s), _raw(s, d)
-    io.write_csv(raw["transactions"], f"{path}/in", "transactions")
-    raw["users"].write.mode("overwrite").json(f"{path}/in/users")
-    raw["products"].write.mode("overwrite").parquet(f"{path}/in/products")
-    io.write_csv(raw["merchants"], f"{path}/in", "merchants")
-    return {n: f"{path}/in/{n}" for n in io.VALIDATED}, f"{path}/out"
+    paths = {n: f"{path}/in/{n}" for n in io.VALIDATED}
+    writers = [
+        lambda: io.write_csv(raw["transactions"], f"{path}/in", "transactions"),
+        lambda: raw["users"].write.mode("overwrite").json(paths["users"]),
+        lambda: raw["products"].write.mode("overwrite").parquet(paths["products"]),
+        lambda: io.write_csv(raw["merchants"], f"{path}/in", "merchants"),
+    ]
+    _at_once(writers)
+    return paths, f"{path}/out"
+
+
+def _at_once(work: list[Callable]) -> list:
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [done.result() for done in [pool.submit(w) for w in work]]
 
 
 def _digests(s, path: str, names: list[str]) -> DataFrame:
     """Rows and content digest of each result, read back from CSV and from Parquet."""
-    found = None
-    for name in sorted(names):
+
+    def digest(name: str) -> DataFrame:
         parquet = s.read.parquet(f"{path}/{name}_parquet")
         csv = io.read_csv(s, f"{path}/{name}", parquet.schema)
         both = [content_digest(df).toDF(f"{kind}_rows", f"{kind}_digest") for kind, df in (("csv", csv), ("parquet", parquet))]
-        one = both[0].crossJoin(both[1]).select(F.lit(name).alias("result"), "csv_rows", "csv_digest", "parquet_rows", "parquet_digest")
-        found = one if found is None else found.unionByName(one)
-    return found
+        return both[0].crossJoin(both[1]).select(F.lit(name).alias("result"), "csv_rows", "csv_digest", "parquet_rows", "parquet_digest")
+
+    return reduce(DataFrame.unionByName, _at_once([lambda n=n: digest(n) for n in sorted(names)]))
 
 
 def write_results(s, d):
