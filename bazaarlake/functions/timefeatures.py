@@ -32,8 +32,8 @@ def time_feature_columns(ts: Column) -> dict[str, Column]:
     period = F.when(hour.between(6, 11), "Morning").when(hour.between(12, 17), "Afternoon").when(hour.between(18, 21), "Evening").otherwise("Night")
     return {
         "hour": hour,
-        "day_of_week": F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(ts)),
-        "month": F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts)),
+        "day_of_week": F.when(known, F.element_at(F.array(*map(F.lit, DAYS)), F.dayofweek(ts))),
+        "month": F.when(known, F.element_at(F.array(*map(F.lit, MONTHS)), F.month(ts))),
         "is_weekend": _flag(F.dayofweek(ts).isin(1, 7), known),
         "day_period": F.when(known, period),
         "is_working_hours": _flag(hour.between(9, 17), known),

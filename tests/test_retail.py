@@ -37,6 +37,8 @@ def test_time_features(spark):
     assert [r.hour for r in rows] == [None, None, None, 17, None, None, None, 0, None, 8]
     assert [r.is_working_hours for r in rows] == [None, None, None, 1, None, None, None, 0, None, 0]
     assert [r.day_period for r in rows] == [None, None, None, "Afternoon", None, None, None, "Night", None, "Morning"]
+    assert [r.day_of_week for r in rows] == [None, None, None, "FRIDAY", None, None, None, "THURSDAY", None, "SATURDAY"]
+    assert [r.month for r in rows] == [None, None, None, "JANUARY", None, None, None, "FEBRUARY", None, "JANUARY"]
     assert rows[3].day_of_week == "FRIDAY" and rows[3].month == "JANUARY" and rows[9].is_weekend == 1
 
 
