@@ -25,7 +25,7 @@ from .runs import counted
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SHARD_ROWS = 100_000  # postings of a task
 BLOCK_GROUPS = 512  # groups whose rows a task accumulates
-_HELD = 500_000  # terms of a task before they are passed on
+_HELD = 300_000  # terms of a task before they are passed on
 _DOC = 1 << 40  # occurrences and documents of a term are held in one number
 _CELLS = 500_000  # of a work array
 
