@@ -21,20 +21,44 @@ def _windows(df: DataFrame, limits: Limits) -> DataFrame:
     are one user.
     """
     user, span = Window.partitionBy("user_id"), limits.window_seconds // _DAY
-    timed = user.orderBy("_at", "transaction_id")
+    timed = user.orderBy("_span", "_at", "transaction_id")  # in the order of time; one sort serves the sums in a span too
     by_day = user.orderBy("_day")
-    df = df.withColumns({"_at": F.unix_timestamp("transaction_datetime"), "_day": F.unix_date("transaction_date")})
-    df = df.withColumns(
-        {
-            "_before": F.lag("transaction_datetime", 1).over(timed),
-            "_new_day": F.when(F.col("_day") != F.coalesce(F.lag("_day", 1).over(timed), F.lit(-1 << 31)), 1),
-            "cumulative_amount_7d": F.sum("amount").over(user.orderBy("_at").rangeBetween(-limits.window_seconds, 0)),
-        }
-    )
+    at = F.unix_timestamp("transaction_datetime")
+    df = df.withColumns({"_at": at, "_span": F.floor(at / limits.window_seconds), "_day": F.unix_date("transaction_date")})
+    new_day = F.when(F.col("_day") != F.coalesce(F.lag("_day", 1).over(timed), F.lit(-1 << 31)), 1)
+    df = _frame_sums(df.withColumns({"_before": F.lag("transaction_datetime", 1).over(timed), "_new_day": new_day}), limits.window_seconds)
     inside = F.sum("_new_day").over(by_day.rangeBetween(-(span - 1), 0))
     edge = F.max("_at").over(by_day.rangeBetween(-span, -span)) >= F.col("_at") - limits.window_seconds
     days = F.when(F.col("_day").isNull(), 0).otherwise(inside + F.when(edge, 1).otherwise(0))
-    return df.withColumn("active_days_7d", days.cast("int")).drop("_at", "_day", "_new_day")
+    return df.withColumn("active_days_7d", days.cast("int")).drop("_at", "_span", "_day", "_new_day")
+
+
+def _frame_sums(df: DataFrame, seconds: int) -> DataFrame:
+    """Adds ``cumulative_amount_7d``, the sum over the user's last ``seconds``, in time linear in the rows of a user.
+
+    A sliding frame would be summed anew for each row. Here time is cut at the
+    multiples of ``seconds``, so that a frame is the beginning of its own span
+    up to the row and the end of the span before. Both are running sums, the
+    second one backwards, for which each row also asks at the time where its
+    frame begins; nothing is subtracted. Rows without a time have the sum of
+    all of the user's rows without one, as a range frame.
+    """
+    forwards = Window.partitionBy("user_id", "_span").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_own", F.sum("amount").over(forwards))
+    asks, rest = F.col("_asks"), [c for c in df.columns if c != "user_id"]
+    both = df.withColumn("_asks", F.explode(F.array(F.lit(True), F.lit(False))))
+    both = both.select(  # a row that adds is its time and amount alone; ``user_id`` is kept as it is: by it rows are dealt
+        "user_id",
+        "_asks",
+        F.when(asks, F.col("_span") - 1).otherwise(F.col("_span")).alias("_chunk"),
+        F.when(asks, F.col("_at") - seconds).otherwise(F.col("_at")).alias("_since"),
+        F.when(~asks, F.col("amount")).alias("_add"),
+        *[F.when(asks, F.col(c)).alias(c) for c in rest],
+    )
+    backwards = Window.partitionBy("user_id", "_chunk").orderBy(F.desc("_since")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_end", F.when(F.col("_since").isNotNull(), F.sum("_add").over(backwards))).where("_asks")
+    total = F.when(F.coalesce("_end", "_own").isNotNull(), F.coalesce("_end", F.lit(0.0)) + F.coalesce("_own", F.lit(0.0)))
+    return both.withColumn("cumulative_amount_7d", total).select(*[c for c in df.columns if c != "_own"], "cumulative_amount_7d")
 
 
 def window_analysis(enriched: DataFrame, limits: Limits = LIMITS, hot_users: list[str | None] | None = None) -> DataFrame:

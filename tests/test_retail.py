@@ -121,6 +121,20 @@ def with_dates(df):
     return df.withColumn("transaction_datetime", tf.parse_prefix(F.col("timestamp"))).withColumn("transaction_date", F.to_date("transaction_datetime"))
 
 
+def test_seven_day_sums_equal_the_sliding_frame(spark):
+    rng = random.Random(23)
+    stamp = lambda: rng.choice([None, "bad", f"{rng.choice([1969, 2024])}01{rng.randint(1, 28):02d}{rng.choice([0, 0, 5, 23]):02d}{rng.choice([0, 59]):02d}{rng.choice([0, 59]):02d}"])
+    rows = [tx(i, user=rng.choice(["A", "B", None]), amount=rng.choice([None, 1e17, float("nan"), 0.00000001]) if i % 40 == 0 else round(rng.uniform(0, 9), 8), ts=stamp()) for i in range(900)]
+    rows += [tx(1000 + i, user="A", ts=f"202401{d}000000") for i, d in enumerate(("04", "11", "18", "25"))]  # a span begins on these
+    df = with_dates(frame(spark, rows))
+    sliding = Window.partitionBy("user_id").orderBy(F.unix_timestamp("transaction_datetime")).rangeBetween(-604800, 0)
+    want = {r.transaction_id: r.s for r in df.withColumn("s", F.sum("amount").over(sliding)).collect()}
+    got = {r.transaction_id: r.cumulative_amount_7d for r in windows.window_analysis(frame(spark, rows), hot_users=[]).collect()}
+    assert len(got) == len(rows)
+    for k, v in want.items():
+        assert got[k] == (pytest.approx(v, rel=1e-13, nan_ok=True) if v is not None else None), k
+
+
 def test_many_rows_of_one_user_and_second_are_dealt_among_tasks(spark, monkeypatch):
     rows = with_dates(frame(spark, [tx(i, user=None, ts="20240105120000" if i % 3 else f"202401{i % 28 + 1:02d}0000{i % 60:02d}") for i in range(3000)]))
     monkeypatch.setattr(long_users, "hot_keys", lambda df, keys: skew.hot_keys(df, keys, least=50))
