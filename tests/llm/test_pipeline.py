@@ -94,4 +94,4 @@ def test_empty_documents(spark, sf_dir):
 
 def test_names():
     assert set(llm_oracle_sql()) <= set(llm_queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in llm_queries() if k != "pipeline"}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in llm_queries() if k != "pipeline"}
