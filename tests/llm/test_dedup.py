@@ -216,6 +216,68 @@ def test_passages_go_to_their_borders(spark):
         assert cleaned[k] == t if k < 98 else not any(x[0] == "p" for x in cleaned[k].split())
 
 
+def held_before(rows, length=25):
+    """Word numbers of each document in a run of ``length`` words that an earlier document holds."""
+    first, found = {}, {}
+    for i, t in sorted(rows):
+        ws = t.split()
+        for k in range(len(ws) - length + 1):
+            if first.setdefault(tuple(ws[k : k + length]), i) != i:
+                found.setdefault(i, set()).update(range(k, k + length))
+    return found
+
+
+def removed(spark, table, **options):
+    texts, out = dict(table), {}
+    for r in repeated_passages(docs(spark, table), **options).where("not kept").collect():
+        before = len(texts[r.doc_id][: r.start].split())
+        out.setdefault(r.doc_id, set()).update(range(before, before + len(texts[r.doc_id][r.start : r.end].split())))
+    return out
+
+
+def test_no_link_is_lost_to_an_earlier_holder_of_less(spark):
+    rng = random.Random(31)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    p, q, r = say(26), say(60), say(25)
+    rows = [(1, say(20) + p[1:25] + say(20)), (2, say(30) + p + say(9)), (3, say(12) + p + say(30))]
+    rows += [(11, sum((say(9) + q[k : k + 22] for k in range(0, 39, 2)), [])), (12, say(9) + q + say(40)), (13, say(30) + q + say(6))]
+    rows += [(21, say(9) + r[:24] + say(9)), (22, say(9) + r[1:] + say(9)), (23, say(9) + r + say(9)), (24, say(9) + r + say(9))]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    want = {3: set(range(12, 38)), 13: set(range(30, 90)), 24: set(range(9, 34))}
+    assert held_before(rows) == want
+    got = removed(spark, rows)
+    assert {i: want[i] - got.get(i, set()) for i in want} == {3: set(), 13: set(), 24: set()} and set(got) == set(want)
+
+
+@pytest.mark.parametrize("options", [{}, {"n_bands": 2, "rows": 2, "small": 2}])
+def test_unequal_spans_of_many_holders_equal_brute_force(spark, options):
+    rng = random.Random(32)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    pool = [say(90) for _ in range(12)]
+    rows = []
+    for i in range(260):
+        text = say(rng.randint(0, 30))
+        for _ in range(rng.randint(0, 3)):
+            p, n = rng.choice(pool), rng.choice([20, 22, 24, 25, 26, 30, 60, 90])
+            a = rng.randint(0, 90 - n)
+            text += p[a : a + n] + say(rng.randint(1, 30))
+        rows.append((i, " ".join(text)))
+    rows += [(300, rows[5][1]), (301, rows[5][1])]
+    want, got, texts = held_before(rows), removed(spark, rows, **options), dict(rows)
+    assert len(want) > 60
+    for i, places in want.items():
+        assert places <= got.get(i, set())
+    # Nothing goes from a text that has no five words of an earlier one.
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(any(grams[i] & grams[j] for j in grams if j < i) for i in got)
+    found = repeated_passages(docs(spark, rows), **options).collect()
+    sizes = {}
+    for r in found:
+        assert r.keep_doc_id <= r.doc_id and r.class_size >= 2
+        sizes.setdefault(r.class_id, set()).add(r.class_size)
+    assert all(len(s) == 1 for s in sizes.values())
+
+
 def test_words_at_text_borders():
     w = W.words(pa.array(["ab", "cd ef", None, "", "gh"]))
     assert [int(x) for x in w.first] == [0, 1, 3, 3, 3, 4] and list(w.start) == [0, 0, 3, 0]

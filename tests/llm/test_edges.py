@@ -190,12 +190,21 @@ def test_links_in_a_block_equal_all_pairs():
     assert labels(whole) == labels(split) == labels(alike) and len(want) > 0
 
 
-def test_every_run_of_words_has_a_seed():
+def test_bands_are_least_hashes_of_every_paragraph():
     rng = random.Random(6)
-    text = " ".join(f"w{rng.randint(0, 40)}" for _ in range(3000))
-    at, _ = substring_dedup.seeds(W.words(pa.array(["short one", text])), 14, 9)
-    at = np.sort(at) - 2
-    assert (np.diff(np.concatenate([[-1], at, [3000 - 14 + 1]])) <= 9).all()  # 22 words anywhere hold a whole seed
+    texts = [" ".join(f"w{rng.randint(0, most)}" for _ in range(n)) for n, most in [(600, 900), (22, 90), (21, 90), (0, 1), (400, 1), (60, 0)]]
+    w = W.words(pa.array(texts))
+    grams = substring_dedup._runs(w.hashes, 5)
+    for band in (0, 1):
+        at, many, key, place = substring_dedup.bands(w, 22, band, 3)
+        covered = np.concatenate([np.arange(a, a + m) for a, m in zip(at, many)])
+        assert covered.tolist() == [x for t in range(len(texts)) for x in range(w.first[t], w.first[t + 1] - 21)]
+        of = dict(zip(covered.tolist(), np.repeat(np.arange(len(at)), many).tolist()))
+        least = {x: tuple(W.mix(grams[x : x + 18] ^ W.mix(np.full(1, band * 3 + r + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15))).min() for r in range(3)) for x in of}
+        assert all((least[x] == least[y]) == (key[of[x]] == key[of[y]]) for x in list(of)[:80] for y in list(of)[::7])
+        assert ((place >= at) & (place < at + 18)).all()
+        plain = at < 600  # words that seldom repeat: all paragraphs of a run hold its shingle
+        assert (place[plain] >= at[plain] + many[plain] - 1).all()
 
 
 def plain_recall(table, out, every, top):
