@@ -382,3 +382,17 @@ def test_large_dimensions_are_not_broadcast(spark):
     assert "broadcast" not in enrich.broadcast_if_small(df, 9)._jdf.queryExecution().toString().lower()
     assert enrich.is_small(df, 10, 80) and not enrich.is_small(df, 10, 79)  # {"id":0} has 8 bytes
     assert enrich.is_small(df.where("id < 0"), 0, 0)
+
+
+def test_formatted_totals_are_exact(spark):
+    amounts = [1e13 + 0.25, 0.005, 0.005, -1e13, 0.1, 0.2] * 3 + [None]  # added as doubles, in any order, other cents come out
+    columns = [*[F.lit("M").alias(k) for k in merchants._KEYS[:-1]], F.lit(0.1).alias("commission_rate"), "user_id", "amount", F.lit("Adulte").alias("age_group")]
+    rows = spark.createDataFrame([(f"U{i}", a) for i, a in enumerate(amounts)], "user_id string, amount double").select(*columns)
+    odd = rows.unionByName(rows.limit(1).withColumn("amount", F.lit(float("inf"))))
+    con = duckdb.connect()
+    con.sql("create table enriched (user_id varchar, amount double)")
+    con.executemany("insert into enriched values (?, ?)", [[f"U{i}", a] for i, a in enumerate(amounts)])
+    for df, total, mean in ((rows, "1.68", "0.09"), (odd, "∞", "∞"), (rows.where("false"), None, None)):
+        got = merchants.global_kpi_formatted(df).first()
+        assert (got[0], got[3]) == (total, mean) and merchants.global_kpi_by_customer(merchants.by_customer(df), formatted=True).first() == got
+    assert tuple(merchants.global_kpi_formatted(rows).first()) == con.sql(registry._KPI_FORMATTED_SQL).fetchall()[0]
