@@ -396,3 +396,34 @@ def test_formatted_totals_are_exact(spark):
         got = merchants.global_kpi_formatted(df).first()
         assert (got[0], got[3]) == (total, mean) and merchants.global_kpi_by_customer(merchants.by_customer(df), formatted=True).first() == got
     assert tuple(merchants.global_kpi_formatted(rows).first()) == con.sql(registry._KPI_FORMATTED_SQL).fetchall()[0]
+
+
+def test_reports_of_narrow_rows_equal_those_of_enriched_ones(spark):
+    """Keys that dimensions repeat, that they lack and that are null among them."""
+    rng = random.Random(3)
+    pick = lambda letter: rng.choice([None, *[f"{letter}{i}" for i in range(6)]])
+    lines = frame(spark, [tx(i, pick("U"), rng.choice([None, 1.5, 20.25]), f"202401050{i % 10}0000", pick("M"), pick("P"), rng.choice(["CARD", None])) for i in range(300)])
+    users = spark.createDataFrame([(f"U{i}", a, 1.0, "c", "s", ["x"], "2024-01-01") for i, a in ((0, 20), (1, 30), (2, 50), (2, 70), (3, 20), (3, 20), (4, None))], schemas.USERS)
+    items = spark.createDataFrame([(f"P{i}", n, "c", 1.0, "M1", r, k) for i, n, r, k in ((0, "a", 4.5, 3), (1, "b", 2.0, 7), (1, "b", 3.0, 5), (2, "c", 1.0, 1), (2, "d", None, None), (3, None, 5.0, 2))], schemas.PRODUCTS)
+    shops = spark.createDataFrame([(f"M{i}", n, c, g, 0.25, "2015-01-01") for i, n, c, g in ((0, "a", "x", "n"), (1, "b", "x", "s"), (1, "b", "x", "s"), (2, "c", "y", None), (2, "d", "y", "n"), (3, "e", None, "n"))], schemas.MERCHANTS)
+    full, timed = enrich.enrich(lines, users, items, shops, hot={}), enrich.timed(lines, users, items, shops)
+    no_items = enrich.as_often(enrich.as_often(lines, users, "user_id"), shops, "merchant_id")
+    no_shops = enrich.as_often(enrich.as_often(lines, users, "user_id"), items, "product_id")
+    report = merchants.report_by_customer(merchants.by_customer(enrich.aged(lines, users, items, hot={})), shops)
+    same = {
+        "ranking": (merchants.merchant_revenue_ranking(full), merchants.merchant_revenue_ranking(timed)),
+        "kpi": (merchants.global_kpi(full), merchants.global_kpi(timed)),
+        "period": (products.payment_period(full), products.payment_period(timed)),
+        "top": (products.top_products(full, 20), products.top_products_of(no_items, items, 20)),
+        "shares": (products.category_region(full), products.category_region_of(no_shops, shops)),
+        "report": (merchants.merchant_report(full), report),
+    }
+    for name, (wide, narrow) in same.items():
+        assert wide.columns == narrow.columns and wide.count() > 0, name
+        assert sorted(map(repr, wide.collect())) == sorted(map(repr, narrow.collect())), name
+
+
+def test_reports_without_a_dimension_join_none(spark, sf_dir):
+    plan = lambda name: registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("c_custkey" not in plan(n) and "p_partkey" not in plan(n) and "s_suppkey" not in plan(n) for n in ("payment_period", "merchant_revenue_ranking", "global_kpi_formatted"))
+    assert all("c_custkey" not in plan(n) for n in ("top_products", "category_region")) and "p_partkey" not in plan("merchant_report")
