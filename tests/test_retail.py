@@ -427,3 +427,18 @@ def test_reports_without_a_dimension_join_none(spark, sf_dir):
     plan = lambda name: registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert all("c_custkey" not in plan(n) and "p_partkey" not in plan(n) and "s_suppkey" not in plan(n) for n in ("payment_period", "merchant_revenue_ranking", "global_kpi_formatted"))
     assert all("c_custkey" not in plan(n) for n in ("top_products", "category_region")) and "p_partkey" not in plan("merchant_report")
+
+
+def test_comparison_moves_and_stores_no_column_of_merchants(spark, tmp_path, monkeypatch):
+    lines = frame(spark, [tx(i, user=f"U{i % 3}", merchant=f"M{i % 2}") for i in range(20)])
+    users, items, shops = dimensions(spark)
+    shops = shops.unionByName(shops).unionByName(shops.limit(1).withColumn("name", F.lit("other")))  # a merchant in three rows, two of them equal
+    kept, store = [], jobs.stored
+    monkeypatch.setattr(jobs, "stored", lambda df, tag: kept.append((tag, df.columns)) or store(df, tag))
+    jobs.run_comparison({"transactions": lines, "users": users, "products": items, "merchants": shops}, str(tmp_path))
+    assert [set(c) & {"merchant_name", "merchant_category", "region", "commission_rate"} for tag, c in kept if tag == "customers"] == [set(), set()]
+    full = enrich.enrich(lines, users, items, shops, hot={})
+    for variant in jobs.VARIANTS:
+        read = lambda name, like: io.read_csv(spark, f"{tmp_path}/{variant}/{name}", like.schema)
+        for name, want in (("global_kpi", merchants.global_kpi(full)), ("merchant_performance", merchants.merchant_report(full))):
+            assert sorted(map(repr, read(name, want).collect())) == sorted(map(repr, want.collect()))
