@@ -442,3 +442,11 @@ def test_comparison_moves_and_stores_no_column_of_merchants(spark, tmp_path, mon
         read = lambda name, like: io.read_csv(spark, f"{tmp_path}/{variant}/{name}", like.schema)
         for name, want in (("global_kpi", merchants.global_kpi(full)), ("merchant_performance", merchants.merchant_report(full))):
             assert sorted(map(repr, read(name, want).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_the_comparison_reads_transactions_once(spark, tmp_path, monkeypatch):
+    lines = frame(spark, [tx(i) for i in range(5)])
+    kept, store = [], jobs.stored
+    monkeypatch.setattr(jobs, "stored", lambda df, tag: kept.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or store(df, tag))
+    jobs.run_comparison({"transactions": lines, **dict(zip(("users", "products", "merchants"), dimensions(spark)))}, str(tmp_path))
+    assert kept[0][0] == "lines" and all("lines-" in plan or "parquet" in plan.lower() for tag, plan in kept[1:]) and len(kept) == 4
