@@ -450,3 +450,57 @@ def test_the_comparison_reads_transactions_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "stored", lambda df, tag: kept.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or store(df, tag))
     jobs.run_comparison({"transactions": lines, **dict(zip(("users", "products", "merchants"), dimensions(spark)))}, str(tmp_path))
     assert kept[0][0] == "lines" and all("lines-" in plan or "parquet" in plan.lower() for tag, plan in kept[1:]) and len(kept) == 4
+
+
+def test_hot_keys_group_no_key_of_a_small_bucket(spark, monkeypatch):
+    frame = spark.range(20_000).selectExpr("'U' || id % 9000 as user_id", "if(id % 2 = 0, null, 'P' || id) as product_id", "if(id % 3 = 0, 'M1', 'M' || id % 700) as merchant_id")
+    asked, group = [], type(frame).groupBy
+    monkeypatch.setattr(type(frame), "groupBy", lambda self, *cols: asked.append((cols, self.columns)) or group(self, *cols))
+    assert skew.hot_keys(frame.select("user_id"), ["user_id"], least=500) == {"user_id": {}}
+    assert [cols for cols, _ in asked] == [("_of", "_bucket")]
+    for buckets in (1, 3, 4096):  # keys that share a bucket with hot ones are not hot
+        monkeypatch.setattr(skew, "BUCKETS", buckets)
+        found = skew.hot_keys(frame, enrich.KEYS, least=500)
+        share = max(500, 20_000 // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        want = {k: {r[0]: -(-r[1] // share) for r in frame.groupBy(k).count().collect() if r[1] > share} for k in enrich.KEYS}
+        assert found == want and set(want["product_id"]) == {None} and set(want["merchant_id"]) == {"M1"}
+
+
+def test_small_dimensions_are_joined_after_the_shuffle_by_user(spark):
+    rows = frame(spark, [tx(i, user=f"U{i % 3}") for i in range(20)])
+    users, items, shops = dimensions(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1)
+    try:
+        plan = enrich.joined(rows, users, items, shops)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top, below = plan.split("SortMergeJoin", 1)
+    assert top.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in below and "BroadcastHashJoin" not in below
+
+
+def test_wide_form_joins_broadcast_dimensions_last(spark, monkeypatch):
+    rows = frame(spark, [tx(i, user=f"U{i % 3}") for i in range(20)])
+    users, items, shops = dimensions(spark)
+    want = enrich.enrich_broadcast(rows, users, items, shops)
+    monkeypatch.setattr(enrich, "is_small", lambda df, *_: "preferred_categories" in df.columns)  # users alone
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = enrich.enrich_broadcast(rows, users, items, shops)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_supplier_like_tables_of_many_short_rows_are_small(spark):
+    assert enrich.is_small(spark.range(300_000).select("id"))
+
+
+def test_enriched_csv_is_compressed_and_read_back(spark, tmp_path):
+    enriched = enrich.enrich(frame(spark, [tx(i, user=f"U{i % 3}") for i in range(20)]), *dimensions(spark))
+    io.write_enriched(enriched, str(tmp_path))
+    files = [p.name for p in (tmp_path / "enriched_transactions_csv").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    back = io.read_csv(spark, f"{tmp_path}/enriched_transactions_csv", enriched.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, enriched.collect()))
