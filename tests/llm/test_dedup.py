@@ -5,6 +5,7 @@ import random
 import pyarrow as pa
 import pytest
 
+from bazaarlake.llm import substring_dedup
 from bazaarlake.llm import words as W
 from bazaarlake.llm.components import components
 from bazaarlake.llm.exact_dedup import exact_duplicates
@@ -249,6 +250,28 @@ def test_no_link_is_lost_to_an_earlier_holder_of_less(spark):
     assert {i: want[i] - got.get(i, set()) for i in want} == {3: set(), 13: set(), 24: set()} and set(got) == set(want)
 
 
+def test_edited_copies_are_linked_however_many_hold_their_paragraphs(spark):
+    rng = random.Random(33)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    a, b, c, d = say(24), say(24), say(22), say(22)
+    rows = [(10 * k + i, say(9) + part + say(9)) for k, part in enumerate((a, b, c, d)) for i in range(7)]
+    rows += [(50, say(5) + a + ["x"] + b + say(7)), (51, say(11) + a + ["y"] + b + say(7)), (52, say(3) + a + ["u", "v", "w"] + b + say(7))]
+    rows += [(60, say(6) + c + d + say(7)), (61, say(8) + c + ["x"] + d + say(7)), (62, say(2) + c + ["y"] + d + say(7)), (63, say(2) + c + ["u", "v"] + d + say(7))]
+    got = removed(spark, [(i, " ".join(t)) for i, t in rows])
+    assert got == {51: set(range(11, 60)), 61: set(range(8, 53)), 62: set(range(2, 47))}
+
+
+def test_shapes_of_links_without_a_long_run():
+    shapes = substring_dedup._shapes(0.8, 25)
+    assert shapes == [(20, 24, 1), (21, 23, 1), (22, 22, 1), (23, 21, 1), (24, 20, 1), (24, 24, 2)]
+    alike = lambda runs, gap: sum(runs) - 4 * len(runs) >= 0.8 * (sum(runs) + gap + 4 * (len(runs) - 2)) - 1e-9
+    for m in range(5, 25):
+        for n in range(5, 25):
+            for gap in range(1, 9):
+                assert alike((m, n), gap) == any(m >= x and n >= y and gap <= g for x, y, g in shapes), (m, n, gap)
+    assert not substring_dedup._several_edits(0.8, 25) and substring_dedup._several_edits(0.5, 25)
+
+
 @pytest.mark.parametrize("options", [{}, {"n_bands": 2, "rows": 2, "small": 2}])
 def test_unequal_spans_of_many_holders_equal_brute_force(spark, options):
     rng = random.Random(32)
