@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import fold, sampled, stored, trimmed
-from .words import mix
+from .words import mix, slices
 
 TARGETS = frozenset("you your yours u he she they him her them this that these those du dich dir ihr euch dein er sie tu toi te vous ton ta votre il elle ils tú te ti usted ustedes tu su él ella ellos".split())
 NEGATIONS = frozenset("not no never none nor isn't aren't don't nicht kein keine nie niemals pas jamais aucun ni nunca jamás ningún".split())
@@ -178,6 +178,13 @@ def _first_places(words: list[str], s: Settings) -> dict[str, int]:
     return seen
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of all batches by about 100 kB: their stems, as Python strings, take many times that."""
+    for batch in batches:
+        for a, b in slices(batch.column(0), 100_000):
+            yield batch.column(0).slice(a, b - a)
+
+
 def toxic_contexts(learn: DataFrame, s: Settings) -> DataFrame:
     """(``stem``, ``toxic``): in how many different contexts toxic texts hold each stem, ``least_texts`` or more.
 
@@ -186,9 +193,9 @@ def toxic_contexts(learn: DataFrame, s: Settings) -> DataFrame:
     """
 
     def emit(batches):
-        for batch in batches:
+        for column in _small(batches):
             found, contexts = [], []
-            for text in filter(None, batch.column(0).to_pylist()):
+            for text in filter(None, column.to_pylist()):
                 words = ["", *_WORD.findall(text.lower()), ""]
                 for x, k in _first_places(words[1:-1], s).items():
                     found.append(x)

@@ -226,3 +226,23 @@ def test_neighbours_recall_and_ties(spark):
     few = neighbours.nearest(table.where("vec_id in (0, 3)")).collect()
     assert [(r.query_id, r.vec_id) for r in few] == [(0, 3)]
     assert neighbours.nearest(table.limit(0)).count() == 0
+
+
+def test_toxic_contexts_hold_few_texts_at_a_time():
+    """A batch of 10,000 texts has some ten million stems; a task hands them on by about 100 kB of text."""
+    import pyarrow as pa
+
+    from bazaarlake.llm import toxicity
+
+    class Asked(Exception):
+        where = select = lambda self, *_: self
+
+        def mapInArrow(self, work, _):
+            self.work = work
+            raise self
+
+    texts = [None, "", *(f"w{k} " * 400 + " ".join(f"stem{k}x{j}" for j in range(200)) for k in range(400))]
+    with pytest.raises(Asked) as asked:
+        toxicity.toxic_contexts(Asked(), toxicity.Settings())
+    rows = [b.num_rows for b in asked.value.work(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))]
+    assert sum(rows) > 50_000 and max(rows) < sum(rows) / 5
