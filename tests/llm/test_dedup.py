@@ -261,6 +261,36 @@ def test_edited_copies_are_linked_however_many_hold_their_paragraphs(spark):
     assert got == {51: set(range(11, 60)), 61: set(range(8, 53)), 62: set(range(2, 47))}
 
 
+@pytest.mark.parametrize("period", [1, 2, 3])
+def test_runs_of_the_same_words_go_whole(spark, period):
+    rng = random.Random(34)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    again = lambda n: [f"w{k % period}" for k in range(n)]
+    rows = [(k, say(9) + again(n) + say(9)) for k, n in enumerate([31, 134, 90, 40, 300, 29, 61, 200])]
+    rows = [(k, " ".join(t)) for k, t in rows]
+    want, got = held_before(rows), removed(spark, rows)
+    assert {i: want[i] - got.get(i, set()) for i in want} == {i: set() for i in want} and set(got) == set(want)
+
+
+def test_a_word_said_again_and_again_is_no_edit(spark):
+    """Each place of such a run gave a key for each shape, and all of them met at its first one."""
+    rows = [(k, " ".join(["w"] * 120)) for k in range(7)] + [(9, " ".join(f"s{k}" for k in range(99)))]
+    src, row = docs(spark, rows).select("doc_id", "text"), lambda k: substring_dedup._runs(W.words(pa.array([rows[0][1]])).hashes, 22)[k]
+    shared = spark.createDataFrame([(int(row(0).astype("int64")),)], "part long")
+    assert substring_dedup._around_edits(src, shared, 22, 0.8, 25).count() == 0
+
+
+def test_word_said_twice_at_an_edit_is_linked(spark):
+    rng = random.Random(35)
+    say = lambda n: [f"s{rng.randint(0, 10**7)}" for _ in range(n)]
+    for before, after in ((21, 23), (22, 22), (23, 21)):
+        a, b = say(before), say(after)
+        rows = [(k, say(9) + (a if before > after else b) + say(9)) for k in range(7)]
+        rows += [(20, say(5) + a + b + say(7)), (21, say(6) + a + a[-1:] + b + say(7))]
+        got = removed(spark, [(i, " ".join(t)) for i, t in rows])
+        assert got.get(21, set()) >= set(range(6, 6 + before + after + 1)), (before, after)
+
+
 def test_shapes_of_links_without_a_long_run():
     shapes = substring_dedup._shapes(0.8, 25)
     assert shapes == [(20, 24, 1), (21, 23, 1), (22, 22, 1), (23, 21, 1), (24, 20, 1), (24, 24, 2)]
