@@ -13,7 +13,7 @@ from bazaarlake.functions import timefeatures as tf
 from bazaarlake.functions.digest import content_digest
 from bazaarlake.operators import cohorts, enrich, long_users, merchants, products, ranking, rfm, skew, validation, windows
 from bazaarlake.plans import fixtures, jobs, registry
-from bazaarlake.sources import io
+from bazaarlake.sources import io, scratch
 
 TX = schemas.TRANSACTIONS
 
@@ -504,3 +504,52 @@ def test_enriched_csv_is_compressed_and_read_back(spark, tmp_path):
     assert files and all(f.endswith(".csv.gz") for f in files)
     back = io.read_csv(spark, f"{tmp_path}/enriched_transactions_csv", enriched.schema)
     assert sorted(map(str, back.collect())) == sorted(map(str, enriched.collect()))
+
+
+def large_tables(spark):
+    """Transactions with frequent, null and unknown keys, and dimensions of which a key comes twice and one is null."""
+    rng = random.Random(5)
+    rows = [tx(i, user=rng.choice(["A", "A", "B", None, "X"]), product=rng.choice(["P1", "P2", None, "PX"]), merchant=rng.choice(["M1", None, "M2"]), ts=rng.choice([None, "bad", "20240115120000", "20240210233000"])) for i in range(400)]
+    users, items, shops = dimensions(spark)
+    users = users.unionByName(users.limit(1).withColumn("city", F.lit("other"))).unionByName(users.limit(1).withColumn("user_id", F.lit(None).cast("string")))
+    items = items.unionByName(items.withColumn("product_id", F.lit("P2")).withColumn("name", F.lit("ink")))
+    return frame(spark, rows), users, items, shops
+
+
+def exchanged(df):
+    """The shuffles by a key of the physical plan."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.fixture
+def large(spark, monkeypatch):
+    """No dimension is small, none is broadcast by its size."""
+    monkeypatch.setattr(scratch, "BUCKETS", 3, raising=False)
+    monkeypatch.setattr(enrich, "is_small", lambda df, *_: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_wide_form_of_large_dimensions_shuffles_no_rows(spark, request):
+    tables = large_tables(spark)
+    want = enrich.enrich_broadcast(*tables)
+    columns, want = want.dtypes, sorted(map(str, want.collect()))
+    request.getfixturevalue("large")
+    got = enrich.enrich_broadcast(*tables)
+    assert exchanged(got) == [] and got.dtypes == columns and sorted(map(str, got.collect())) == want
+
+
+@pytest.mark.parametrize("least", [None, 50])
+def test_enrichment_with_large_dimensions_shuffles_no_rows(spark, request, monkeypatch, least):
+    tables = large_tables(spark)
+    hot = skew.hot_keys(tables[0], enrich.KEYS, least=least) if least else None
+    assert not hot or None in hot["user_id"] and "A" in hot["user_id"]
+    # A user who comes twice gives equal times, so that only ranks among them may differ.
+    rows = lambda df: sorted(map(str, df.drop("transaction_rank").collect()))
+    plain = enrich.enrich(*tables)
+    want, ranks = rows(plain), sorted((str(r.user_id), r.transaction_rank) for r in plain.collect())
+    request.getfixturevalue("large")
+    got = enrich.enrich(*tables, hot=hot)
+    assert hot or exchanged(got) == []
+    assert got.dtypes == plain.dtypes and rows(got) == want and sorted((str(r.user_id), r.transaction_rank) for r in got.collect()) == ranks
