@@ -1,5 +1,6 @@
 """Edge rows of the retail operators, and helpers against their plain forms."""
 
+import os
 import random
 import re
 
@@ -553,3 +554,17 @@ def test_enrichment_with_large_dimensions_shuffles_no_rows(spark, request, monke
     got = enrich.enrich(*tables, hot=hot)
     assert hot or exchanged(got) == []
     assert got.dtypes == plain.dtypes and rows(got) == want and sorted((str(r.user_id), r.transaction_rank) for r in got.collect()) == ranks
+
+
+def files_below(*folders):
+    return {os.path.join(r, f) for folder in folders for r, _, names in os.walk(folder) for f in names}
+
+
+@pytest.mark.parametrize("name", ["roundtrip_enriched_csv"])
+def test_round_trips_leave_no_shuffle_files_and_no_intermediate_tables(spark, sf_dir, large, monkeypatch, name):
+    folders = [scratch.scratch_dir(spark).removeprefix("file:"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    before, during, write = files_below(*folders), [], io.write_csv
+    monkeypatch.setattr(io, "write_csv", lambda df, *a: during.append(files_below(*folders) - before) or write(df, *a))
+    out = registry.queries()[name](spark, sf_dir)
+    assert during and not [f for f in during[0] if "/shuffle_" in f and f.endswith(".data")]
+    assert all("/enriched_transactions/" in f for f in during[0] if f.endswith(".parquet")) and out.count() == 6000
