@@ -560,7 +560,7 @@ def files_below(*folders):
     return {os.path.join(r, f) for folder in folders for r, _, names in os.walk(folder) for f in names}
 
 
-@pytest.mark.parametrize("name", ["roundtrip_enriched_csv"])
+@pytest.mark.parametrize("name", ["roundtrip_enriched", "roundtrip_enriched_csv"])
 def test_round_trips_leave_no_shuffle_files_and_no_intermediate_tables(spark, sf_dir, large, monkeypatch, name):
     folders = [scratch.scratch_dir(spark).removeprefix("file:"), *spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
     before, during, write = files_below(*folders), [], io.write_csv
